@@ -216,10 +216,10 @@ TURNOVER = """turn as (
   from (select dt, weight - lag(weight) over (partition by asset order by dt) as change from w) group by 1)"""
 
 
-def regression(source: str, rb: str | None) -> list[str]:
-    """CTEs up to terms: least squares on three factors rb cofactors of the covariance matrix."""
-    k = f"{rb}, " if rb else ""
-    group = f"group by {rb}" if rb else ""
+def regression(source: str, by: str | None) -> list[str]:
+    """CTEs up to terms: least squares on three factors by cofactors of the covariance matrix."""
+    k = f"{by}, " if by else ""
+    group = f"group by {by}" if by else ""
     pairs = [("mktrf", "a"), ("smb", "b"), ("hml", "c")]
     cov = ", ".join(f"covar_pop({x}, {y}) as {i}{j}" for x, i in pairs for y, j in pairs if i <= j)
     cross = ", ".join(f"covar_pop({x}, ret) as r{i}" for x, i in pairs)
@@ -275,8 +275,8 @@ def query(parts: list[str], select: str) -> str:
 
 
 def _series(name: str) -> str:
-    columns = ["ret", "price_lag", "momentum_zscore", "alpha", "signal"]
-    return f"select asset, {d()}, {', '.join(r(c, c, 10) for c in columns)} from {name}"
+    columns = ["ret", "momentum_zscore", "alpha", "signal"]
+    return f"select asset, {d()}, {', '.join(r(c, c, 8) for c in columns)}, {r('price_lag', 'price_lag', 10)} from {name}"
 
 
 def build() -> dict[str, str]:

@@ -22,13 +22,13 @@ RISK = ("ret", "price", "specific_risk", "predicted_beta")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Rounded values and text dates, so that both engines print the same rows."""
+def shown(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Rounded values and text dates, so that both engines print the same rows. ``other`` sets digits by column."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind == "double":
-            rounded = F.round(c, digits)
+            rounded = F.round(c, other.get(name, digits))
             c = F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
         elif kind == "date":
             c = F.date_format(c, "yyyy-MM-dd")
@@ -178,7 +178,7 @@ def project_exposures(spark, sf):
 def _signal(make, *extra):
     def query(spark, sf):
         columns = ["asset", "dt", "ret", "price_lag", "momentum_zscore", "alpha", "signal"]
-        return shown(make(spark, sf, *extra).select(*columns), 10)
+        return shown(make(spark, sf, *extra).select(*columns), 8, price_lag=10)
     return query
 
 
