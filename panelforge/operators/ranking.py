@@ -28,13 +28,21 @@ def rank_counts(
     if largest is None:
         largest = largest_group(df, by)
     if largest <= group_rows:
-        return df.withColumns({
-            below: (F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1).cast("long"),
-            ties: F.count(F.lit(1)).over(Window.partitionBy(*by, value)),
-            total: F.count(F.lit(1)).over(Window.partitionBy(*by)),
-        })
-    ranks = value_ranks(df, by, value, prefix, group_rows)
-    return df.join(ranks, [*by, value], "left")
+        return _window_counts(df, by, value, below, ties, total)
+    hot = staged(df.groupBy(*by).count().where(F.col("count") > group_rows).select(*by))
+    n_hot = hot.count()
+    cool = _window_counts(join_small(df, hot, by, n_hot, "left_anti"), by, value, below, ties, total)
+    large = join_small(df, hot, by, n_hot, "left_semi")
+    ranks = value_ranks(large, by, value, prefix, group_rows)
+    return cool.unionByName(large.join(ranks, [*by, value], "left"))
+
+
+def _window_counts(df: DataFrame, by: list[str], value: str, below: str, ties: str, total: str) -> DataFrame:
+    return df.withColumns({
+        below: (F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1).cast("long"),
+        ties: F.count(F.lit(1)).over(Window.partitionBy(*by, value)),
+        total: F.count(F.lit(1)).over(Window.partitionBy(*by)),
+    })
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, prefix: str, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -90,23 +98,48 @@ def quantile_bucket(prefix: str, bins: int):
 def exact_percentiles(
     df: DataFrame, value: str, shares: list[float], names: list[str], group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """One row of percentiles with linear interpolation, over any number of rows."""
-    rows = df.where(F.col(value).isNotNull()).select(value)
-    n = rows.count()
+    """One row of percentiles with linear interpolation, over any number of rows. ``df`` is read more than once.
+
+    Up to ``group_rows`` rows one aggregate holds all values. Beyond that the values at the needed places are found by
+    counting: a histogram names the bin of each place, and the bin is counted again more finely until it is small.
+    Every pass scans one column and combines its counts before the shuffle.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__v"))
+    n, low, high = rows.agg(F.count("__v"), F.min("__v"), F.max("__v")).first()
     if n <= group_rows:
-        found = F.percentile(value, F.array(*[F.lit(float(s)) for s in shares]))
+        found = F.percentile("__v", F.array(*[F.lit(float(s)) for s in shares]))
         picked = rows.agg(found.alias("__p"))
         return picked.select(*[F.col("__p")[i].alias(name) for i, name in enumerate(names)])
-    ranks = value_ranks(rows.withColumn("__all", F.lit(0)), ["__all"], value, "r", group_rows)
     places = [s * (n - 1) for s in shares]
-    spots = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
-    at = {
-        k: F.max(F.when((F.col("r_below") <= k) & (k < F.col("r_below") + F.col("r_ties")), F.col(value)))
-        for k in spots
-    }
-    picked = ranks.agg(*[e.alias(f"__{k}") for k, e in at.items()])
+    at = _values_at(rows, {f(p) for p in places for f in (math.floor, math.ceil)}, low, high, n, group_rows)
     out = []
-    for name, p in zip(names, places):
-        low, high = F.col(f"__{math.floor(p)}"), F.col(f"__{math.ceil(p)}")
-        out.append((low + (high - low) * (p - math.floor(p))).alias(name))
-    return picked.select(*out)
+    for p in places:
+        a, b = at[math.floor(p)], at[math.ceil(p)]
+        out.append(a + (b - a) * (p - math.floor(p)))
+    return df.sparkSession.range(1).select(*[F.lit(x).alias(name) for name, x in zip(names, out)])
+
+
+def _values_at(rows: DataFrame, places: set[int], low: float, high: float, n: int, group_rows: int) -> dict[int, float]:
+    """Values at 0-based places of the sorted order, by repeated histograms of the ranges that hold them."""
+    found: dict[int, float] = {}
+    ranges = [(low, high, 0, n, places)]
+    while ranges:
+        low, high, before, n, places = ranges.pop()
+        if low == high:
+            found.update({k: low for k in places})
+            continue
+        inside = rows.where(F.col("__v").between(F.lit(low), F.lit(high)))
+        if n <= group_rows:
+            row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__v")) - 1 + before
+            hits = inside.withColumn("__k", row).where(F.col("__k").isin(sorted(places)))
+            found.update({r["__k"]: r["__v"] for r in hits.collect()})
+            continue
+        place = F.floor((F.col("__v") - F.lit(low)) / F.lit(high - low) * _RANGES)
+        bins = inside.groupBy(F.least(place, F.lit(_RANGES - 1).cast("long")).alias("bin")).agg(
+            F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("__v").alias("n"))
+        for r in sorted(bins.collect()):
+            here = {k for k in places if before <= k < before + r["n"]}
+            if here:
+                ranges.append((r["lo"], r["hi"], before, r["n"], here))
+            before += r["n"]
+    return found

@@ -39,6 +39,22 @@ def difference(df: DataFrame, key, order: str, value: str, out: str) -> DataFram
     return df.withColumn(out, F.col(value) - F.lag(value).over(_window(key, order)))
 
 
+def join_in_series(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Left join of two panels on (key, order), both one row per pair, that leaves each series in one partition.
+
+    The rows of both panels are interleaved by one exchange on ``key`` and the values taken from the row just before,
+    so windows over the series that follow need no further exchange, as they would after a join on both columns.
+    """
+    added = [c for c in right.columns if c not in (key, order)]
+    types = dict(right.dtypes)
+    above = left.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in added], F.lit(1).alias("__side"))
+    rows = above.unionByName(right.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(order, "__side")
+    match = (F.lag("__side").over(w) == 0) & (F.lag(order).over(w) == F.col(order))
+    rows = rows.withColumns({c: F.when(match, F.lag(c).over(w)) for c in added})
+    return rows.where(F.col("__side") == 1).drop("__side")
+
+
 def cumulative_sum(key, order: str, value: str | Column) -> Column:
     """Running sum that is null where the value is null and carries on after it."""
     value = F.col(value) if isinstance(value, str) else value
@@ -87,7 +103,7 @@ def ewm_std(
     values, and on the first value. Computed from running sums of weighted powers. Weights grow with the row
     position, so series that may exceed ``block_rows`` restart the position in each block and add the decayed sums
     of the block before; anything older weighs less than 1e-100. ``max_rows`` is a proven bound of the series
-    length: if it fits one block the restart is left out.
+    length: if it fits one block the restart is left out, and a longer series raises.
     """
     keep = 1.0 - 2.0 / (span + 1.0)
     block = block_rows or max(2, int(_LOG_RANGE / (-2.0 * math.log(keep))))
@@ -105,7 +121,11 @@ def ewm_std(
         "__dev": F.col(value) - F.first(value, ignorenulls=True).over(_so_far(w)),
     })
     df = df.withColumns({"__block": F.floor(F.col("__row") / block), "__pos": F.col("__row") % block})
-    df = df.withColumn("__u", F.when(x.isNotNull(), F.pow(F.lit(keep), -pos)))
+    growing = F.when(x.isNotNull(), F.pow(F.lit(keep), -pos))
+    if single:
+        too_long = F.raise_error(F.lit(f"series longer than the stated {max_rows} rows")).cast("double")
+        growing = F.when(F.col("__row") >= max_rows, too_long).otherwise(growing)
+    df = df.withColumn("__u", growing)
     local = _so_far(w if single else Window.partitionBy(*keys, "__block").orderBy(order))
     power = {"__w": weight, "__ww": weight * weight, "__x": weight * x, "__xx": weight * x * x}
     df = df.withColumns({c: F.sum(e).over(local) for c, e in power.items()})

@@ -12,7 +12,7 @@ from ..functions import drop_null_rows, percent_to_fraction, present
 from ..operators.crosssection import (
     cs_zscore, lagged_price, price_filter, project_exposures_wide, to_alpha, to_fraction, unpivot,
 )
-from ..operators.series import vol_scaled_momentum
+from ..operators.series import join_in_series, vol_scaled_momentum
 from ..sources.panel import require_columns
 from ..sources.staging import staged
 from .sizing import span_days
@@ -76,6 +76,6 @@ def industry_momentum(
     momentum = factor_momentum(factors, columns, max_dates)
     scores = staged(project_exposures_wide(exposures, momentum, columns, all_zero, max_dates))
     scored = cs_zscore(scores, "momentum_score", max_dates=max_dates)
-    panel = scored.join(assets, ["asset", "dt"], "left").withColumn("ret", percent_to_fraction("ret"))
+    panel = join_in_series(scored, assets, "asset", "dt").withColumn("ret", percent_to_fraction("ret"))
     panel = lagged_price(to_alpha(panel, scale=scale))
     return price_filter(panel, min_price, inclusive=True).where(present("alpha"))
