@@ -42,30 +42,47 @@ def _assets(spark, sf, columns=RISK, **kw):
     return standin.assets(spark, sf, columns, **kw)
 
 
-def _standard(spark, sf):
-    return signals.standard_momentum(_assets(spark, sf), max_dates=standin.span(spark, sf))
+def _standard(spark, sf, assets=None, days=None):
+    days = days or standin.span(spark, sf)
+    return signals.standard_momentum(_assets(spark, sf) if assets is None else assets, max_dates=days)
 
 
-def _idiosyncratic(spark, sf):
-    days = standin.span(spark, sf)
-    return signals.idiosyncratic_momentum(_assets(spark, sf, (*RISK, "specific_return"), max_dates=days), max_dates=days)
+def _idiosyncratic(spark, sf, assets=None, days=None):
+    days = days or standin.span(spark, sf)
+    if assets is None:
+        assets = _assets(spark, sf, (*RISK, "specific_return"), max_dates=days)
+    return signals.idiosyncratic_momentum(assets, max_dates=days)
 
 
-def _industry(spark, sf, all_zero="score_zero"):
+def _industry(spark, sf, assets=None, days=None, all_zero="score_zero"):
+    days = days or standin.span(spark, sf)
     return signals.industry_momentum(
-        _assets(spark, sf), standin.exposures(spark, sf), standin.factors(spark, sf), standin.INDUSTRIES, all_zero,
-        max_dates=standin.span(spark, sf),
+        _assets(spark, sf) if assets is None else assets, standin.exposures(spark, sf), standin.factors(spark, sf),
+        standin.INDUSTRIES, all_zero, max_dates=days,
     )
 
 
+def _industry_drop(spark, sf):
+    return _industry(spark, sf, all_zero="drop")
+
+
+def _alphas(signal):
+    return signal.where(F.col("alpha").isNotNull())
+
+
+def _signal(spark, sf, days=None):
+    """The signal the evaluation reads, without the rows that have no alpha."""
+    return _alphas(_standard(spark, sf, days=days))
+
+
 def _signal_table(spark, sf):
-    """The written signal the evaluation reads; rows without an alpha are left out on reading."""
-    return staged(_standard(spark, sf)).where(F.col("alpha").isNotNull())
+    """The same as a written table, for evaluations that pass over it several times."""
+    return _alphas(staged(_standard(spark, sf)))
 
 
-def _weights(spark, sf, signal=None):
-    signal = _signal_table(spark, sf) if signal is None else signal
-    return pf.mv_weights(signal, 591, BOTH, standin.span(spark, sf))
+def _weights(spark, sf, constraints=BOTH):
+    days = standin.span(spark, sf)
+    return pf.mv_weights(_signal(spark, sf, days), 591, constraints, days)
 
 
 def _returns(spark, sf):
@@ -73,14 +90,18 @@ def _returns(spark, sf):
 
 
 def _all_signals(spark, sf):
+    """The three signals from one written panel, each written for the several readers that follow."""
+    days = standin.span(spark, sf)
+    panel = staged(_assets(spark, sf, (*RISK, "specific_return"), max_dates=days))
     made = {"standard": _standard, "industry": _industry, "idiosyncratic": _idiosyncratic}
-    return {n: staged(make(spark, sf)).where(F.col("alpha").isNotNull()) for n, make in made.items()}
+    return {n: _alphas(staged(make(spark, sf, panel, days))) for n, make in made.items()}, panel, days
 
 
 def _strategy_returns(spark, sf):
     """Portfolio returns of the three strategies, stacked."""
-    stacked = compare.stack({n: _weights(spark, sf, s) for n, s in _all_signals(spark, sf).items()})
-    return pf.portfolio_returns(stacked, _returns(spark, sf), "strategy")
+    found, panel, days = _all_signals(spark, sf)
+    stacked = compare.stack({n: pf.mv_weights(s, 591, BOTH, days) for n, s in found.items()})
+    return pf.portfolio_returns(stacked, cs.to_fraction(panel.select("dt", "asset", "ret"), "ret"), "strategy")
 
 
 def _portfolio(spark, sf):
@@ -88,7 +109,7 @@ def _portfolio(spark, sf):
 
 
 def _quantiles(spark, sf):
-    return ev.quantile_portfolios(_signal_table(spark, sf), 5)
+    return ev.quantile_portfolios(_signal(spark, sf), 5)
 
 
 def _fraction_panel(spark, sf):
@@ -175,21 +196,21 @@ def project_exposures(spark, sf):
     return shown(cs.project_exposures(long, momentum, days * len(standin.INDUSTRIES)))
 
 
-def _signal(make, *extra):
+def _whole_signal(make):
     def query(spark, sf):
         columns = ["asset", "dt", "ret", "price_lag", "momentum_zscore", "alpha", "signal"]
-        return shown(make(spark, sf, *extra).select(*columns), 8, price_lag=10)
+        return shown(make(spark, sf).select(*columns), 8, price_lag=10)
     return query
 
 
 def _sample(mode):
     def query(spark, sf):
-        return shown(ev.sample_split(_signal_table(spark, sf), mode, SAMPLE_END).select("asset", "dt", "alpha", "ret"))
+        return shown(ev.sample_split(_signal(spark, sf), mode, SAMPLE_END).select("asset", "dt", "alpha", "ret"))
     return query
 
 
 def sample_summary(spark, sf):
-    return shown(ev.sample_summary(_signal_table(spark, sf)))
+    return shown(ev.sample_summary(_signal(spark, sf)))
 
 
 def signal_stats(spark, sf):
@@ -223,7 +244,7 @@ def spread_headline(spark, sf):
 
 
 def rank_ic(spark, sf):
-    return shown(ev.rank_ic(_signal_table(spark, sf)))
+    return shown(ev.rank_ic(_signal(spark, sf)))
 
 
 def rank_ic_joined(spark, sf):
@@ -233,11 +254,11 @@ def rank_ic_joined(spark, sf):
 
 
 def ic_summary(spark, sf):
-    return shown(ev.ic_summary(ev.rank_ic(_signal_table(spark, sf))))
+    return shown(ev.ic_summary(ev.rank_ic(_signal(spark, sf))))
 
 
 def cumulative_ic(spark, sf):
-    return shown(ev.cumulative_ic(ev.rank_ic(_signal_table(spark, sf))))
+    return shown(ev.cumulative_ic(ev.rank_ic(_signal(spark, sf))))
 
 
 def quantile_regression(spark, sf):
@@ -251,7 +272,7 @@ def mv_weights(spark, sf):
 
 def _weights_under(*constraints):
     def query(spark, sf):
-        return shown(pf.mv_weights(_signal_table(spark, sf), 591, constraints, standin.span(spark, sf)), 9)
+        return shown(_weights(spark, sf, constraints), 9)
     return query
 
 
@@ -306,7 +327,7 @@ def strategy_correlation(spark, sf):
 
 
 def signal_correlation(spark, sf):
-    return shown(compare.signal_correlation(_all_signals(spark, sf)))
+    return shown(compare.signal_correlation(_all_signals(spark, sf)[0]))
 
 
 def strategy_comparison(spark, sf):
@@ -327,10 +348,10 @@ def build() -> dict[str, Query]:
     found.update({
         "normalise_exposures_zero": _normalised("score_zero"),
         "normalise_exposures_drop": _normalised("drop"),
-        "standard_momentum": _signal(_standard),
-        "idiosyncratic_momentum": _signal(_idiosyncratic),
-        "industry_momentum": _signal(_industry),
-        "industry_momentum_drop": _signal(_industry, "drop"),
+        "standard_momentum": _whole_signal(_standard),
+        "idiosyncratic_momentum": _whole_signal(_idiosyncratic),
+        "industry_momentum": _whole_signal(_industry),
+        "industry_momentum_drop": _whole_signal(_industry_drop),
         "sample_in": _sample("in"),
         "sample_out": _sample("out"),
         "mv_weights_free": _weights_under(),

@@ -82,10 +82,15 @@ def forward_return(returns: DataFrame, horizon: int = 1, out: str = "fwd_ret") -
 
 
 def _scored_returns(signal: DataFrame, column: str, horizon: int) -> DataFrame:
-    """Rows with both a signal and a later return, staged for the passes of the ranking."""
+    """Rows with both a signal and a later return."""
     rows = forward_return(signal.select("dt", "asset", column, "ret"), horizon)
     rows = rows.where(F.col(column).isNotNull() & F.col("fwd_ret").isNotNull())
-    return staged(rows.select("dt", "asset", column, "fwd_ret"))
+    return rows.select("dt", "asset", column, "fwd_ret")
+
+
+def _date_size(signal: DataFrame, column: str) -> int:
+    """Rows of the date with most signals, an upper bound for the ranked rows of a date."""
+    return largest_group(signal.where(F.col(column).isNotNull()), ["dt"])
 
 
 def quantile_portfolios(
@@ -97,7 +102,10 @@ def quantile_portfolios(
     """
     if not 2 <= n <= 10:
         raise ValueError("n must be from 2 to 10")
-    ranked = rank_counts(_scored_returns(signal, column, horizon), ["dt"], column, "r", group_rows)
+    largest = _date_size(signal, column)
+    rows = _scored_returns(signal, column, horizon)
+    rows = staged(rows) if largest > group_rows else rows
+    ranked = rank_counts(rows, ["dt"], column, "r", group_rows, largest)
     bucket = ranked.withColumn("__bucket", quantile_bucket("r", n))
     sums = bucket.groupBy("dt", "__bucket").agg(F.sum("fwd_ret").alias("__sum"), F.count("fwd_ret").alias("__rows"))
     mean = [
@@ -157,8 +165,9 @@ def rank_ic(
     else:
         later = forward_return(returns.select("dt", "asset", "ret"), horizon).where(F.col("fwd_ret").isNotNull())
         both = alphas.where(F.col(column).isNotNull()).select("dt", "asset", column)
-        rows = staged(both.join(later.select("dt", "asset", "fwd_ret"), ["dt", "asset"]))
-    largest = largest_group(rows, ["dt"])
+        rows = both.join(later.select("dt", "asset", "fwd_ret"), ["dt", "asset"])
+    largest = _date_size(alphas, column)
+    rows = staged(rows) if largest > group_rows else rows
     ranked = rank_counts(rows, ["dt"], column, "a", group_rows, largest)
     ranked = rank_counts(ranked, ["dt"], "fwd_ret", "f", group_rows, largest)
     middle = (F.col("a_n") + 1) / 2

@@ -21,8 +21,8 @@ def rank_counts(
 ) -> DataFrame:
     """Add, for each row's value within its group, the rows ``<prefix>_below``, tied (``_ties``) and in all (``_n``).
 
-    ``value`` must not be null. ``df`` should be a table or staged: it is read more than once. ``largest`` is the
-    size of the largest group if already known.
+    ``value`` must not be null. ``largest`` is the size of the largest group, or a bound of it, if already known.
+    ``df`` must be a table or staged if a group may exceed ``group_rows``: it is then read more than once.
     """
     below, ties, total = f"{prefix}_below", f"{prefix}_ties", f"{prefix}_n"
     if largest is None:

@@ -65,27 +65,36 @@ def cumulative_max(key, order: str, value: str) -> Column:
     return F.max(value).over(_so_far(_window(key, order)))
 
 
+def _rolled(df: DataFrame, key, order: str, value: str, window: int, out: str) -> DataFrame:
+    """``rolling_sum`` that keeps ``__run``, the number of the run of ``window`` rows each row is in."""
+    w = _window(key, order)
+    keys = [key] if isinstance(key, str) else list(key)
+    in_run = _so_far(Window.partitionBy(*keys, "__run").orderBy(order))
+    # runs follow the dates, so this is the order of the series again, and the one the rows are sorted in by then
+    by_run = Window.partitionBy(*keys).orderBy("__run", order)
+    df = df.withColumns({"__row": F.row_number().over(w) - 1, "__seen": F.count(value).over(_so_far(w))})
+    df = df.withColumns({"__run": F.floor(F.col("__row") / window), "__pos": F.col("__row") % window})
+    df = df.withColumn("__head", F.coalesce(F.sum(value).over(in_run), F.lit(0.0)))
+    closing = F.when(F.col("__pos") == window - 1, F.col("__head"))
+    df = df.withColumns({
+        "__seen0": F.coalesce(F.lag("__seen", window).over(by_run), F.lit(0)),
+        "__head0": F.lag("__head", window).over(by_run),
+        "__run0": F.last(closing, ignorenulls=True).over(by_run.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    tail = F.when(F.col("__pos") < window - 1, F.col("__run0") - F.col("__head0")).otherwise(F.lit(0.0))
+    full = F.col("__seen") - F.col("__seen0") == window
+    return df.withColumn(out, F.when(full, F.col("__head") + tail)).drop(
+        "__row", "__seen", "__pos", "__head", "__seen0", "__head0", "__run0")
+
+
 def rolling_sum(df: DataFrame, key, order: str, value: str, window: int, out: str) -> DataFrame:
     """Sum of the last ``window`` rows; null unless the frame is full and free of nulls.
 
-    Rows are cut into runs of ``window``: every frame is the end of one run plus the start of the next, so a running
-    sum from each side of the runs replaces ``window`` additions per row, without the cancellation of differences.
+    Rows are cut into runs of ``window``, so every frame is the end of one run and the start of the next: the running
+    sum of the present run plus the total of the one before less its running sum ``window`` rows ago. That is one
+    addition per row instead of ``window``, and rounding errors do not outlive a run.
     """
-    w = _window(key, order)
-    runs = [key] if isinstance(key, str) else list(key)
-    forward = _so_far(Window.partitionBy(*runs, "__run").orderBy(order))
-    backward = _so_far(Window.partitionBy(*runs, "__run").orderBy(F.desc(order)))
-    seen, position = F.col("__seen"), F.col("__pos")
-    full = seen - F.coalesce(F.lag(seen, window).over(w), F.lit(0)) == window
-    tail = F.when(position < window - 1, F.lag("__tail", window - 1).over(w)).otherwise(F.lit(0.0))
-    return (
-        df.withColumns({"__row": F.row_number().over(w) - 1, "__seen": F.count(value).over(_so_far(w))})
-        .withColumns({"__run": F.floor(F.col("__row") / window), "__pos": F.col("__row") % window})
-        .withColumn("__tail", F.sum(value).over(backward))
-        .withColumn("__head", F.sum(value).over(forward))
-        .withColumn(out, F.when(full, F.col("__head") + tail))
-        .drop("__row", "__seen", "__run", "__pos", "__tail", "__head")
-    )
+    return _rolled(df, key, order, value, window, out).drop("__run")
 
 
 def rolling_mean(df: DataFrame, key, order: str, value: str, window: int, out: str) -> DataFrame:
@@ -161,5 +170,7 @@ def vol_scaled_momentum(
     """
     df = ewm_std(df, key, order, value, span, min_periods, "vol", max_rows)
     df = df.withColumn("scaled_ret", ratio(value, "vol"))
-    df = rolling_sum(df, key, order, "scaled_ret", window, out)
-    return lag(df, key, order, out, skip, out)
+    df = _rolled(df, key, order, "scaled_ret", window, out)
+    keys = [key] if isinstance(key, str) else list(key)
+    earlier = F.lag(out, skip).over(Window.partitionBy(*keys).orderBy("__run", order))
+    return df.withColumn(out, earlier).drop("__run")

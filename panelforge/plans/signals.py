@@ -24,9 +24,10 @@ def _own_series_signal(assets: DataFrame, value: str, min_price: float, scale: f
     if max_dates is None:
         max_dates = span_days(assets)
     panel = vol_scaled_momentum(
-        assets, "asset", "dt", value, span=SPAN, min_periods=SPAN, window=WINDOW, skip=SKIP, max_rows=max_dates,
+        lagged_price(assets), "asset", "dt", value, span=SPAN, min_periods=SPAN, window=WINDOW, skip=SKIP,
+        max_rows=max_dates,
     )
-    panel = price_filter(lagged_price(panel), min_price).where(F.col("momentum").isNotNull())
+    panel = price_filter(panel, min_price).where(F.col("momentum").isNotNull())
     return to_alpha(cs_zscore(staged(panel), "momentum", max_dates=max_dates), scale=scale)
 
 
