@@ -14,7 +14,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[*]").appName("tests").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "2000").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
