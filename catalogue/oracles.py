@@ -275,8 +275,8 @@ def query(parts: list[str], select: str) -> str:
 
 
 def _series(name: str) -> str:
-    columns = ["ret", "momentum_zscore", "alpha", "signal"]
-    return f"select asset, {d()}, {', '.join(r(c, c, 8) for c in columns)}, {r('price_lag', 'price_lag', 10)} from {name}"
+    digits = {"ret": 9, "momentum_zscore": 7, "alpha": 6, "signal": 7, "price_lag": 12}
+    return f"select asset, {d()}, {', '.join(r(c, c, n) for c, n in digits.items())} from {name}"
 
 
 def build() -> dict[str, str]:
@@ -284,7 +284,7 @@ def build() -> dict[str, str]:
     ports = ["p_1", "p_2", "p_3", "p_4", "p_5", "spread", "bmk_return"]
     moments = ("count(signal) as n, avg(signal) as m, stddev_samp(signal) as s, stddev_pop(signal) as sp")
     found = {
-        "load_panel": query([ASSETS], f"""select asset, {d()}, {r('ret/100', 'ret', 10)}, {r('price', 'price', 10)} from assets
+        "load_panel": query([ASSETS], f"""select asset, {d()}, {r('ret/100', 'ret', 10)}, {r('price', 'price', 12)} from assets
             where dt between date '1996-01-01' and date '2000-12-31'"""),
         "exposures_wide": query([EXPOSURES], f"select asset, {d()}, {', '.join(r(c, c) for c in wide)} from exposures"),
         "factors_wide": query([FACTORS], f"select {d()}, {', '.join(r(c, c) for c in wide)} from factors"),
@@ -304,16 +304,16 @@ def build() -> dict[str, str]:
             window f as (partition by asset order by dt rows between 229 preceding and current row))"""),
         "lag_22": query([ASSETS, ASSETS_FRACTION], f"""select asset, {d()}, {r('ret', 'ret')}, {r('l', 'ret_lag')} from (
             select *, lag(ret, 22) over (partition by asset order by dt) as l from fraction)"""),
-        "price_lag": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 10)}, {r('l', 'price_lag', 10)} from (
+        "price_lag": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 12)}, {r('l', 'price_lag', 12)} from (
             select *, lag(price) over (partition by asset order by dt) as l from assets) where l > 5"""),
         "vol_scaled_momentum": query([ASSETS, ASSETS_FRACTION, momentum("m", "fraction", "asset", "ret", 22)],
             f"select asset, {d()}, {r('scaled_ret', 'scaled_ret')}, {r('momentum', 'momentum')} from m"),
         "factor_momentum": query([FACTORS, FACTORS_LONG, FACTOR_MOMENTUM],
             f"select {d()}, industry, {r('vol', 'vol')}, {r('momentum', 'momentum')} from factor_momentum"),
-        "cs_zscore": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 10)}, {r('z', 'price_z', 10)} from (
+        "cs_zscore": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 12)}, {r('z', 'price_z', 9)} from (
             select *, (price - avg(price) over (partition by dt))
                       / nullif(stddev_samp(price) over (partition by dt), 0) as z from assets)"""),
-        "alpha": query([ASSETS], f"""select asset, {d()}, {r('z', 'signal', 9)}, {r('z*0.5*specific_risk', 'alpha', 9)} from (
+        "alpha": query([ASSETS], f"""select asset, {d()}, {r('z', 'signal', 8)}, {r('z*0.5*specific_risk', 'alpha', 8)} from (
             select *, (ret - avg(ret) over (partition by dt))
                       / nullif(stddev_samp(ret) over (partition by dt), 0) as z from assets)"""),
         "project_exposures": query(industry_parts(SHARES_ZERO)[:-1],

@@ -119,7 +119,7 @@ def _fraction_panel(spark, sf):
 # --- queries ----------------------------------------------------------------------------------------------------
 
 def load_panel(spark, sf):
-    return shown(cs.to_fraction(_assets(spark, sf, ("ret", "price"), start=START, end=END), "ret"), 10)
+    return shown(cs.to_fraction(_assets(spark, sf, ("ret", "price"), start=START, end=END), "ret"), 10, price=12)
 
 
 def exposures_wide(spark, sf):
@@ -164,7 +164,7 @@ def lag_22(spark, sf):
 
 
 def price_lag(spark, sf):
-    return shown(cs.price_filter(cs.lagged_price(_assets(spark, sf, ("price",)))), 10)
+    return shown(cs.price_filter(cs.lagged_price(_assets(spark, sf, ("price",)))), 12)
 
 
 def vol_scaled_momentum(spark, sf):
@@ -180,13 +180,13 @@ def factor_momentum(spark, sf):
 
 def cs_zscore(spark, sf):
     panel = staged(_assets(spark, sf, ("price",)))
-    return shown(cs.cs_zscore(panel, "price", out="price_z", max_dates=standin.span(spark, sf)), 10)
+    return shown(cs.cs_zscore(panel, "price", out="price_z", max_dates=standin.span(spark, sf)), 9, price=12)
 
 
 def alpha(spark, sf):
     panel = staged(_assets(spark, sf, ("ret", "specific_risk")))
     scored = cs.to_alpha(cs.cs_zscore(panel, "ret", out="z", max_dates=standin.span(spark, sf)), "z")
-    return shown(scored.select("asset", "dt", "signal", "alpha"), 9)
+    return shown(scored.select("asset", "dt", "signal", "alpha"), 8)
 
 
 def project_exposures(spark, sf):
@@ -199,7 +199,7 @@ def project_exposures(spark, sf):
 def _whole_signal(make):
     def query(spark, sf):
         columns = ["asset", "dt", "ret", "price_lag", "momentum_zscore", "alpha", "signal"]
-        return shown(make(spark, sf).select(*columns), 8, price_lag=10)
+        return shown(make(spark, sf).select(*columns), 7, ret=9, alpha=6, price_lag=12)
     return query
 
 

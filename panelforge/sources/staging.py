@@ -24,9 +24,23 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder and return a reader of it. Runs the plan of ``df`` once."""
     spark = df.sparkSession
     path = f"{staging_root(spark).rstrip('/')}/panel-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the staged tables of this process, once the results built on them are written. Returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -18,7 +18,7 @@ _NAMES = {"l_suppkey": "asset", "l_shipdate": "dt"}
 
 def _cents(column: str):
     """Amounts have two decimals. Whole hundredths add up to the same sum in any order."""
-    return F.round(F.col(column) * 100).cast("long")
+    return F.floor(F.col(column) * 100 + 0.5)
 
 
 def _mean_net(keep=None):

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 
 from panelforge.plans import workflow
 from panelforge.sources import (
-    load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, staged, standin,
+    drop_staged, load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, staged, standin,
     write_by_year, write_table,
 )
 
@@ -135,3 +135,11 @@ def test_workflow(spark, tmp_path):
         workflow.create_signal("other", str(tmp_path / "x"), assets)
     with pytest.raises(AnalysisException):
         workflow.run_backtest(spark, str(tmp_path / "missing"), str(tmp_path / "y"))
+
+
+def test_staged_tables_can_be_dropped(spark):
+    kept = staged(spark.range(3))
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert drop_staged(spark) >= 1 and drop_staged(spark) == 0
+    with pytest.raises(AnalysisException):
+        read_table(spark, folder)
