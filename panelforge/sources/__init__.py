@@ -2,9 +2,9 @@ from .panel import (
     load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, write_by_year,
     write_table,
 )
-from .staging import drop_staged, staged
+from .staging import staged, staging
 
 __all__ = [
     "load_panel", "read_table", "read_year_files", "require_columns", "require_rows", "require_unique_key",
-    "write_by_year", "write_table", "drop_staged", "staged",
+    "write_by_year", "write_table", "staged", "staging",
 ]
