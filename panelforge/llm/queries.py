@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
+from .bpe import bpe_tokens
 from .line_dedup import line_dedup
 from .pii import BASE, find_pii, joined
 from .quality_rules import quality_rules
 from .text import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,6 +29,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in BASE], F.sha2(base, 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tokens(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
@@ -35,7 +43,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_pii, op7_quality_rules, op9_line_dedup)}
+    return {f.__name__: f for f in (op5_pii, op6_bpe, op7_quality_rules, op9_line_dedup)}
 
 
 def oracles() -> dict[str, str]:

@@ -6,7 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 SPACES = " \t\n\x0b\f\r"
 """The white space of the contracts: 20 and 09 to 0D."""
@@ -41,39 +44,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function made once per task; it turns a batch into columns by name.
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches at ``BATCH_ROWS`` rows and 32 MB, so that long texts fit a Python worker."""
+    if int(spark.conf.get(ROWS, "10000")) in (0, 10000):
+        spark.conf.set(ROWS, str(BATCH_ROWS))
+    spark.conf.set(BYTES, str(32 << 20))
+
+
+def arrow_type(ddl: str) -> pa.DataType:
+    return to_arrow_type(_parse_datatype_string(ddl))
 
-    Batches hold ``BATCH_ROWS`` rows, so a batch of long texts stays small in the Python worker.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    fields = arrow_schema(df.sparkSession, schema)
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str) -> DataFrame:
+    """``mapInArrow`` with a function made once per task; it turns a batch into columns by name."""
+    small_batches(df.sparkSession)
+    kind = arrow_type(ddl)
 
     def run(batches):
         body = make()
         for batch in batches:
             if batch.num_rows:
-                yield from as_batches(body(batch), fields)
-
-    return df.mapInArrow(run, schema)
+                columns = body(batch)
+                yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in kind], [f.name for f in kind])
 
+    return df.mapInArrow(run, ddl)
 
-BATCH_ROWS = 1000
 
+def as_array(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    return to_arrow_schema(kind)
+def per_text(text: Column, make: Callable[[], Callable[[list[str]], dict]], ddl: str, spark: SparkSession) -> Column:
+    """A struct for each text. The other columns of the row stay in the JVM; ``make`` runs once per task."""
+    small_batches(spark)
+    kind = arrow_type(ddl)
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        body = make()
+        for column in columns:
+            found = body([x or "" for x in column.to_pylist()])
+            yield pa.StructArray.from_arrays([as_array(found[f.name], f.type) for f in kind], [f.name for f in kind])
 
-def as_batches(columns: dict, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if columns:
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array)
-                                          else columns[f.name] for f in fields], schema=fields)
+    return F.arrow_udf(run, ddl)(text)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -88,8 +104,6 @@ class WordHashes(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.limit:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
