@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.staging import staging_root
 from . import sql
 from .bpe import bpe_tokens
+from .decontamination import decontaminate
 from .line_dedup import line_dedup
 from .pii import BASE, find_pii, joined
 from .quality_rules import quality_rules
 from .text import table
+from .warc import read_archives, write_archives
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
 
@@ -37,13 +45,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{staging_root(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_pii, op6_bpe, op7_quality_rules, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_decontamination, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup)}
 
 
 def oracles() -> dict[str, str]:

@@ -46,4 +46,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-ORACLES = {"op7_quality_rules": RULES, "op9_line_dedup": LINES}
+ARCHIVES = """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
+f as (select payload_digest, min(page_id) as first_page from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when first_page is not null and first_page <> page_id then 'revisit' else 'response' end as record_type,
+       case when first_page <> page_id then first_page end as refers_to, true as complete
+from p left join f using (payload_digest)
+"""
+
+ORACLES = {"op8_warc": ARCHIVES, "op7_quality_rules": RULES, "op9_line_dedup": LINES}
