@@ -7,16 +7,16 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .text import WordHashes, per_text, shingle_hashes, text_of
+from .text import per_text, shingle_hashes, text_of, word_hashes
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 MIN_MATCH, COVERAGE, BLOCK_TOKENS = 5, 0.5, 2_000_000
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words without ASCII punctuation, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER, _MARKS).split()
+def plain(text: str) -> bytes:
+    """A text without ASCII punctuation, A-Z in lower case; its words are the tokens."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER, _MARKS)
 
 
 class Items:
@@ -99,10 +99,10 @@ def tiles(where: np.ndarray, there: np.ndarray, size: int) -> list[tuple[int, in
 def coverage(words: np.ndarray, items: Items) -> list[tuple[int, float]]:
     """(item, share of its tokens in tiles) for the items that share a seed with the document."""
     out = []
-    for item, (where, there) in tests.shared(words).items():
-        total = len(tests.tokens[item])
+    for item, (where, there) in items.shared(words).items():
+        total = len(items.tokens[item])
         reach = np.zeros(total + 1, dtype=np.int64)
-        size = min(tests.min_match, total)
+        size = min(items.min_match, total)
         np.add.at(reach, there, 1)
         np.add.at(reach, there + size, -1)
         if not (np.cumsum(reach)[:-1] > 0).any():
@@ -115,9 +115,9 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match
     """The benchmark in blocks of at most ``block_tokens`` tokens (one item at least), read one after another."""
     sizes = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hashes, out, block, held = WordHashes(), [], [], 0
+    out, block, held = [], [], 0
     for row in sizes.orderBy("id", "text").toLocalIterator():
-        words = hashes.of(tokens(row.text))
+        words = word_hashes(plain(row.text))
         if not len(words):
             continue
         if block and held + len(words) > block_tokens:
@@ -152,11 +152,11 @@ def decontaminate(
         shared = spark.sparkContext.broadcast(tests)
 
         def make(shared=shared):
-            hashes, tests = WordHashes(), shared.value
+            tests = shared.value
 
             def one(text):
                 best, over = (0.0, None), set()
-                for item, share in coverage(hashes.of(tokens(text)), tests):
+                for item, share in coverage(word_hashes(plain(text)), tests):
                     if share >= threshold:
                         over.add(tests.ids[item])
                     if share > best[0] or share == best[0] and best[1] is not None and tests.ids[item] < best[1]:

@@ -12,9 +12,13 @@ from ..sources.staging import staging_root
 from . import sql
 from .bpe import bpe_tokens
 from .decontamination import decontaminate
+from .language_id import identify
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .pii import BASE, find_pii, joined
+from .quality_classifier import grade_documents, graded
 from .quality_rules import quality_rules
+from .suffix_dedup import remove_repeats
 from .text import table
 from .warc import read_archives, write_archives
 
@@ -23,10 +27,22 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=0.85)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
 
@@ -56,8 +72,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels")))
+
+
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:

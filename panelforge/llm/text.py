@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -96,23 +95,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), looked up again while a word is known; bounded by forgetting all at a limit."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values (the finaliser of splitmix)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -120,6 +102,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PLACES = 64
+_LETTER = mixed(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+"""A random 64-bit value for each byte at each place in a word; beyond that many places it is mixed once more."""
+_INSIDE = ~np.isin(np.arange(256), list(SPACES.encode()))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word of ``data``, words being parted by ASCII white space: sums of their bytes' values."""
+    letters = np.frombuffer(data, dtype=np.uint8)
+    inside = _INSIDE[letters]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, dtype=np.uint64)
+    size = edges[1::2] - edges[::2]
+    first = np.cumsum(size) - size
+    letters = letters[inside]
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    value = _LETTER[(place & (_PLACES - 1)) << 8 | letters]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = mixed(value[far] + (place[far] // _PLACES).astype(np.uint64))
+    return mixed(np.add.reduceat(value, first) + size.astype(np.uint64))
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words; with fewer words, one for the whole sequence; none without words."""
     if not len(words):
@@ -128,5 +134,6 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     out = np.full(n, size, dtype=np.uint64)
     for i in range(size):
-        out = mixed((out * np.uint64(0x9E3779B97F4A7C15)) ^ words[i:i + n])
-    return out
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += words[i:i + n]
+    return mixed(out)
