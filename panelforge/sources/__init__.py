@@ -2,9 +2,9 @@ from .panel import (
     load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, write_by_year,
     write_table,
 )
-from .staging import staged, staging
+from .staging import staged, staging_scope
 
 __all__ = [
     "load_panel", "read_table", "read_year_files", "require_columns", "require_rows", "require_unique_key",
-    "write_by_year", "write_table", "staged", "staging",
+    "write_by_year", "write_table", "staged", "staging_scope",
 ]

@@ -42,7 +42,7 @@ _scope: ContextVar[list[str] | None] = ContextVar("staging_scope", default=None)
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[None]:
+def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside the block are deleted at its end; write the results that read them before.
 
     Scopes nest and don't see each other's tables. Tables staged outside any scope stay until their folder is cleared.
