@@ -238,8 +238,8 @@ def encode_column(text: Column, path: str, spark) -> Column:
     return per_text(text, make, "struct<ids:array<int>,decoded:string>", spark)
 
 
-def digest_column(text: Column, path: str, spark) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256, so that only digests leave the Python worker."""
+def digest_column(text: Column, path: str, spark, with_ids: bool = False) -> Column:
+    """Struct of n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids; else only digests leave the Python worker."""
     def make():
         import hashlib
 
@@ -247,29 +247,34 @@ def digest_column(text: Column, path: str, spark) -> Column:
         decimal = [str(i) for i in range(len(bpe.text_of))]
 
         def body(texts):
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for t in texts:
-                ids = bpe.encode(t).tolist()
+                found = bpe.encode(t)
+                ids = found.tolist()
+                if with_ids:
+                    kept.append(found)
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b, "ids": kept}
         return body
 
-    return per_text(text, make, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>", spark)
+    more = ",ids:array<int>" if with_ids else ""
+    return per_text(text, make, f"struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string{more}>", spark)
 
 
 def bpe_tokens(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False,
-    carry: tuple[str, ...] = (),
+    ids: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: id, ids and decoded text, or with ``digests`` the number of tokens and both SHA-256; and ``carry``.
+    """Per row: id, ids and decoded text, or with ``digests`` the number of tokens and both SHA-256 (with ``ids``, the ids
+    too); and ``carry``.
 
     A null or empty text has no tokens and decodes to an empty text. Repeated rows and null ids are encoded one by one.
     ``path`` must be readable on the executors: the tokenizer is part of their installation. No exchange.
     """
-    column = digest_column if digests else encode_column
-    made = column(text_of(text_col), path, docs.sparkSession).alias("__made")
+    text, spark = text_of(text_col), docs.sparkSession
+    made = (digest_column(text, path, spark, ids) if digests else encode_column(text, path, spark)).alias("__made")
     rest = [F.col(c).alias(f"__rest_{c}") for c in carry]
     out = docs.select(F.col(id_col).alias("__id"), made, *rest)
     return out.select(F.col("__id").alias(id_col), "__made.*", *[F.col(f"__rest_{c}").alias(c) for c in carry])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -77,7 +78,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup, op10_quality_classifier)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:
