@@ -10,6 +10,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import ahocorasick
@@ -53,7 +54,7 @@ def lowered(text: str) -> str:
     return (text.translate(_LOWER) if _RARE.search(text) else text).lower()
 
 
-CACHED = 250_000
+CACHED = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -108,10 +109,12 @@ class WordBpe:
         self.fits: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         # Decoding: all token texts in one buffer, and where each begins.
         parts = [t.encode() for t in self.text_of]
         self.offsets = np.cumsum([0] + [len(p) for p in parts]).tolist()
         self.buffer = b"".join(parts)
+        self.decimal = [str(i) for i in range(size)]
 
     def _prefixes(self, units: list[str]) -> list[int]:
         """For each token, the longest other token that begins it; -1 if none."""
@@ -180,14 +183,23 @@ class WordBpe:
         """Ids of the pieces of a run without white space, two bytes each; kept while common (two generations)."""
         found = self.old.get(chunk)
         if found is None:
-            ids = [i for p in self.pieces.findall(chunk) for i in self.encode_piece(p)]
-            found = np.array(ids, dtype="<u4").tobytes()
+            found = b"".join([self._piece(p) for p in self.pieces.findall(chunk)])
         if len(chunk) <= 64:
             if len(self.young) >= CACHED // 2:
                 self.old, self.young = self.young, {}
             self.young[chunk] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            found = array("I", self.encode_piece(piece)).tobytes()
+            if len(piece) <= 64:
+                if len(self.known) >= CACHED // 2:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         parts, out = self.specials.split(text) if self.specials else [text], []
         for part in parts:
@@ -206,13 +218,8 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """The tokens' texts, looked up by offset, joined by a space (the file names no decoder)."""
-        known, out = {}, []
-        for i in ids:
-            t = known.get(i)
-            if t is None:
-                t = known[i] = self.token(i)
-            out.append(t)
-        return b" ".join(out).decode()
+        known = {i: self.token(i) for i in set(ids)}
+        return b" ".join([known[i] for i in ids]).decode()
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -244,7 +251,7 @@ def digest_column(text: Column, path: str, spark, with_ids: bool = False) -> Col
         import hashlib
 
         bpe = loaded(path)
-        decimal = [str(i) for i in range(len(bpe.text_of))]
+        decimal = bpe.decimal
 
         def body(texts):
             n, a, b, kept = [], [], [], []
