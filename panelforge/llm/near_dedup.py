@@ -1,7 +1,7 @@
 """Near duplicates: a chosen-path similarity join over minwise tokens, with links confirmed on full shingle sets.
 
 Every distinct shingle set is sketched once. In each of several independent trees a set starts in the node of one of its
-minwise tokens; a node that is too large branches by further tokens (1.5 children on average, chosen by the node, so all
+minwise tokens; a node that is too large branches by further tokens (1.25 children on average, chosen by the node, so all
 its sets go the same ways; over 1 / threshold, so that a pair's chance doesn't die out with depth), a small one compares its sets exhaustively by 1-bit sketches. Sets with a
 candidate are confirmed leaf by leaf on their full sets; links inside what is already connected are skipped.
 """
@@ -80,8 +80,8 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def _children(node: np.ndarray, level: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of every row: one child, and a second one in every other node."""
-    two = mixed(node ^ np.uint64(0x5DEECE66D)) >> np.uint64(63) == 1
+    """(row, child node) of every row: one child, and a second one in every fourth node."""
+    two = mixed(node ^ np.uint64(0x5DEECE66D)) >> np.uint64(62) == 0
     rows = np.concatenate([np.arange(len(node)), np.flatnonzero(two)])
     which = np.concatenate([np.zeros(len(node), dtype=np.int64), np.ones(int(two.sum()), dtype=np.int64)])
     token = path[rows, 2 * level[rows] + which].astype(np.uint64)
@@ -176,7 +176,7 @@ def _split_large(rows: DataFrame, node_rows: int) -> DataFrame:
         rows = staged(rows, "rows")
         small = rows.join(sizes.select("node"), "node", "left_anti")
         large = rows.join(sizes.select("node", "at"), "node")
-        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(2)) == 0
+        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(4)) == 0
         which = F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         split = large.where(F.col("at") < last).withColumn("which", which)
         token = F.substring(F.col("path"), (F.col("level") * 2 + F.col("which")) * 2 + 1, F.lit(2))
@@ -289,7 +289,7 @@ def near_duplicates(
     component and is kept. Large classes and groups are never expanded into pairs.
 
     A pair at the threshold meets in a leaf of a tree with a chance of the threshold itself where one level is enough,
-    and of about 0.6 after many levels, so ``TREES`` trees miss at most one in some 10,000; pairs above the threshold are
+    and of about 0.5 after many levels, so ``TREES`` trees miss at most one in some 10,000; pairs above the threshold are
     missed less, and a group is joined by any of its links.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
