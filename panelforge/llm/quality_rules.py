@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .line_dedup import lines_of
 from .text import SPACES, let, stripped, text_of
 
-SYMBOLS = "#*$%&|<>"
-_GAP = "[ \t\n\x0b\f\r]+"
+_GAP, _SYMBOL = "[ \t\n\x0b\f\r]+", r"[#*$%&|<>]"
 BOILERPLATE = (
     "all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|"
     "subscribe to our|sign up for our|click here to|skip to (?:main )?content|powered by"
@@ -30,9 +29,6 @@ def repeated_words(words: Column, size: int = 5) -> Column:
 
     Hashes of the windows show whether any repeats; if so, the windows' own words are sorted and compared.
     """
-    def window_hash(hashes):
-        return lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])
-
     def covered(starts):
         gap = F.transform(starts, lambda s, k: F.least(F.lit(size), F.coalesce(F.get(starts, k + 1) - s, F.lit(size))))
         return F.aggregate(gap, F.lit(0), lambda a, b: a + b)
@@ -49,11 +45,22 @@ def repeated_words(words: Column, size: int = 5) -> Column:
 
         return let(windows, lambda s: let(starts(s), covered))
 
+    def both(a, b):
+        return F.xxhash64(a, b)
+
+    def grown(hashes, w, done):
+        """Hashes of windows of ``done`` words, made one or twice as long until they have ``size``."""
+        if done == size:
+            return let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+        n = F.size(w)
+        if 2 * done <= size:
+            return let(hashes, lambda h: grown(F.zip_with(
+                F.slice(h, F.lit(1), n - 2 * done + 1), F.slice(h, F.lit(done + 1), n - 2 * done + 1), both), w, 2 * done))
+        return let(hashes, lambda h: grown(F.zip_with(
+            F.slice(h, F.lit(1), n - done), F.slice(w, F.lit(done + 1), n - done), both), w, done + 1))
+
     def of(w):
-        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(
-            F.sequence(F.lit(0), F.size(w) - size), window_hash(h)))
-        any_twice = let(hashes, lambda g: F.size(F.array_distinct(g)) < F.size(g))
-        return F.when(F.size(w) < size, F.lit(0)).when(any_twice, exact(w)).otherwise(F.lit(0))
+        return F.when(F.size(w) < size, F.lit(0)).when(grown(w, w, 1), exact(w)).otherwise(F.lit(0))
 
     return let(words, of)
 
@@ -66,16 +73,19 @@ def failing(line: Column, short: int = 3, symbol_pct: int = 30, nav_items: int =
     to five words that is a menu word. Boilerplate: one of the fixed phrases in a line of up to 25 words.
     """
     def rules(t: Column) -> Column:
-        n = F.size(F.split(t, _GAP, -1))
         length = F.char_length(t)
         closed = t.rlike(r"""[.!?:;…。！？؟]["'”“’»)\]]*$""")
-        symbols = length - F.char_length(without(t, SYMBOLS))
+        symbols = F.regexp_count(t, F.lit(_SYMBOL))
         low = F.lower(t)
-        navigation = (F.size(F.split(t, r"\s[|»>]\s|\s[|»>]$", -1)) >= nav_items) | (
-            (n <= 5) & low.rlike(rf"^(?:{NAVIGATION})(?:\s*[|»>/·-]\s*\S+)*$"))
+        items = t.rlike("[|»>]") & (F.size(F.split(t, r"\s[|»>]\s|\s[|»>]$", -1)) >= nav_items)
+
+        def by_words(n: Column) -> Column:
+            menu = (n <= 5) & low.rlike(rf"^(?:{NAVIGATION})(?:\s*[|»>/·-]\s*\S+)*$")
+            return ((n <= short) & ~closed) | menu | ((n <= 25) & low.rlike(BOILERPLATE))
+
         return (t != "") & (
-            ~t.rlike(r"[\p{L}\p{N}]") | (symbols * 100 > length * symbol_pct) | ((n <= short) & ~closed)
-            | navigation | ((n <= 25) & low.rlike(BOILERPLATE)))
+            ~t.rlike(r"[\p{L}\p{N}]") | (symbols * 100 > length * symbol_pct) | items
+            | let(F.regexp_count(t, F.lit(_GAP)) + 1, by_words))
 
     return let(stripped(line), rules)
 
@@ -99,26 +109,25 @@ def quality_rules(
 
     def judged(lines: Column) -> Column:
         full = F.filter(lines, lambda x: stripped(x) != "")
-        keep = F.filter(lines, lambda x: ~failing(x))
 
         def line_counts(f):
             return F.size(f) - F.size(F.array_distinct(f))
 
-        return F.struct(
+        return let(F.filter(lines, lambda x: ~failing(x)), lambda keep: F.struct(
             let(full, line_counts).cast("long").alias("n_dup_lines"),
-            (F.size(lines) - F.size(keep)).cast("long").alias("n_failed_lines"), F.array_join(keep, "\n").alias("text"))
+            (F.size(lines) - F.size(keep)).cast("long").alias("n_failed_lines"), F.array_join(keep, "\n").alias("text")))
 
     out = out.select(
         "*", let(words_of(text), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("__w"),
-        F.char_length(without(text, SPACES)).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).cast("long").alias("n_repeat_words"))).alias("__w"),
+        F.regexp_count(text, F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
         let(lines_of(text), judged).alias("__l"))
-    n, repeats = F.col("__w.n_words"), F.col("__w.n_repeat_words")
+    n, repeats, chars = F.col("__w.n_words"), F.col("__w.n_repeat_words"), F.col("__w.word_chars")
     base = (n < min_words) | (repeats * 100 > n * max_repeat_pct)
-    left = F.char_length(without(F.col("__l.text"), SPACES))
-    rejected = base | ((F.col("word_chars") - left) * 100 > F.col("word_chars") * max_lost_pct)
+    left = F.when(F.col("__l.n_failed_lines") == 0, chars).otherwise(F.char_length(without(F.col("__l.text"), SPACES)))
+    rejected = base | ((chars - left) * 100 > chars * max_lost_pct)
     return out.select(
-        F.col("__id").alias(id_col), "__w.n_words", "word_chars", "n_symbols", "__l.n_dup_lines", "__w.n_repeat_words",
+        F.col("__id").alias(id_col), "__w.n_words", "__w.word_chars", "n_symbols", "__l.n_dup_lines", "__w.n_repeat_words",
         base.alias("base_failed"), "__l.n_failed_lines", (~rejected).alias("kept"), "__l.text",
         *[F.col("__rest")[c].alias(c) for c in carry])
