@@ -137,7 +137,9 @@ STANDARD = [ASSETS, own_signal("standard", "ret")]
 SIGNAL = [*STANDARD, "sig as (select * from standard where alpha is not null)"]
 
 FORWARD = """fwd as (
-  select * from (select dt, asset, alpha, lead(ret) over (partition by asset order by dt) as f from sig)
+  select s.dt, s.asset, alpha, f
+  from sig s join (select dt, asset, lead(ret/100) over (partition by asset order by dt) as f from assets) n
+    on n.dt = s.dt and n.asset = s.asset
   where f is not null)"""
 
 QUANTILES = [*SIGNAL, FORWARD, """
@@ -194,9 +196,8 @@ def weights(name: str, signal: str, flat: bool = True, neutral: bool = True) ->
         shift, tilt, sound = "0e0", "0e0", "true"
     return sums + f""",
 {name} as (
-  select s.dt, s.asset, case when {sound} then
-         (s.alpha - {shift} - {tilt}*s.predicted_beta)/(591*pow(s.specific_risk, 2)) end as weight
-  from {signal} s join {name}_sums t on t.dt = s.dt where {known})"""
+  select s.dt, s.asset, (s.alpha - {shift} - {tilt}*s.predicted_beta)/(591*pow(s.specific_risk, 2)) as weight
+  from {signal} s join {name}_sums t on t.dt = s.dt where {known} and {sound})"""
 
 
 def returns(name: str, source: str) -> str:
@@ -297,6 +298,8 @@ def build() -> dict[str, str]:
             {r('hml', 'hml', 8)} from factor_model where mktrf is not null and smb is not null and hml is not null"""),
         "ewm_std_min22": query([ASSETS, ASSETS_FRACTION, ewm("e", "fraction", "asset", "ret", 22)],
                                f"select asset, {d()}, {r('vol', 'vol', 8)} from e_vol"),
+        "ewm_std_blocks": query([ASSETS, ASSETS_FRACTION, ewm("e", "fraction", "asset", "ret", 22)],
+                                f"select asset, {d()}, {r('vol', 'vol', 8)} from e_vol"),
         "ewm_std_min1": query([FACTORS, FACTORS_LONG, ewm("e", "factors_long", "industry", "ret", 1)],
                               f"select industry, {d()}, {r('vol', 'vol')} from e_vol"),
         "rolling_sum_230": query([ASSETS, ASSETS_FRACTION], f"""select asset, {d()}, {r('total', 'total')} from (

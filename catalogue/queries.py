@@ -109,7 +109,11 @@ def _portfolio(spark, sf):
 
 
 def _quantiles(spark, sf):
-    return ev.quantile_portfolios(_signal(spark, sf), 5)
+    return ev.quantile_portfolios(_signal(spark, sf), 5, returns=_returns(spark, sf))
+
+
+def _ics(spark, sf):
+    return ev.rank_ic(_signal(spark, sf), _returns(spark, sf))
 
 
 def _fraction_panel(spark, sf):
@@ -145,7 +149,13 @@ def drop_nulls_wide(spark, sf):
 
 
 def ewm_std_min22(spark, sf):
-    panel = series.ewm_std(_fraction_panel(spark, sf), "asset", "dt", "ret", 22, 22, "vol", standin.span(spark, sf))
+    panel = series.ewm_std(_fraction_panel(spark, sf), "asset", "dt", "ret", 22, 22, "vol")
+    return shown(panel.select("asset", "dt", "vol"), 8)
+
+
+def ewm_std_blocks(spark, sf):
+    """Blocks of 64 rows, so that every series restarts many times."""
+    panel = series.ewm_std(_fraction_panel(spark, sf), "asset", "dt", "ret", 22, 22, "vol", block_rows=64)
     return shown(panel.select("asset", "dt", "vol"), 8)
 
 
@@ -168,8 +178,7 @@ def price_lag(spark, sf):
 
 
 def vol_scaled_momentum(spark, sf):
-    panel = series.vol_scaled_momentum(
-        _fraction_panel(spark, sf), "asset", "dt", "ret", max_rows=standin.span(spark, sf))
+    panel = series.vol_scaled_momentum(_fraction_panel(spark, sf), "asset", "dt", "ret")
     return shown(panel.select("asset", "dt", "scaled_ret", "momentum"))
 
 
@@ -239,12 +248,12 @@ def portfolio_metrics(spark, sf):
 
 def spread_headline(spark, sf):
     signal = _signal_table(spark, sf)
-    metrics = ev.portfolio_metrics(ev.portfolios_long(ev.quantile_portfolios(signal, 5)))
-    return shown(ev.spread_headline(metrics, ev.rank_ic(signal)))
+    metrics = ev.portfolio_metrics(ev.portfolios_long(ev.quantile_portfolios(signal, 5, returns=_returns(spark, sf))))
+    return shown(ev.spread_headline(metrics, ev.rank_ic(signal, _returns(spark, sf))))
 
 
 def rank_ic(spark, sf):
-    return shown(ev.rank_ic(_signal(spark, sf)))
+    return shown(_ics(spark, sf))
 
 
 def rank_ic_joined(spark, sf):
@@ -254,11 +263,11 @@ def rank_ic_joined(spark, sf):
 
 
 def ic_summary(spark, sf):
-    return shown(ev.ic_summary(ev.rank_ic(_signal(spark, sf))))
+    return shown(ev.ic_summary(_ics(spark, sf)))
 
 
 def cumulative_ic(spark, sf):
-    return shown(ev.cumulative_ic(ev.rank_ic(_signal(spark, sf))))
+    return shown(ev.cumulative_ic(_ics(spark, sf)))
 
 
 def quantile_regression(spark, sf):
@@ -336,7 +345,7 @@ def strategy_comparison(spark, sf):
 
 def build() -> dict[str, Query]:
     plain = [
-        load_panel, exposures_wide, factors_wide, factors_long, drop_nulls_wide, ewm_std_min22, ewm_std_min1,
+        load_panel, exposures_wide, factors_wide, factors_long, drop_nulls_wide, ewm_std_min22, ewm_std_blocks, ewm_std_min1,
         rolling_sum_230, lag_22, price_lag, vol_scaled_momentum, factor_momentum, cs_zscore, alpha, project_exposures,
         sample_summary, signal_stats, signal_histogram, quantile_portfolios, portfolios_long, quantile_cumulative,
         portfolio_metrics, spread_headline, rank_ic, rank_ic_joined, ic_summary, cumulative_ic, quantile_regression,

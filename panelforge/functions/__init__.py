@@ -1,8 +1,8 @@
 from .scalars import (
-    correlation, drop_null_rows, null_to_zero, nan_to_zero, percent_to_fraction, present, ratio, row_total,
+    correlation, drop_null_rows, known, log_growth, nan_to_zero, null_to_zero, percent_to_fraction, present, ratio, row_total,
 )
 
 __all__ = [
-    "correlation", "drop_null_rows", "null_to_zero", "nan_to_zero", "percent_to_fraction", "present", "ratio",
-    "row_total",
+    "correlation", "drop_null_rows", "known", "log_growth", "nan_to_zero", "null_to_zero", "percent_to_fraction", "present",
+    "ratio", "row_total",
 ]

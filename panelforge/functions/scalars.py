@@ -21,6 +21,18 @@ def percent_to_fraction(c) -> Column:
     return _col(c) / F.lit(100.0)
 
 
+def log_growth(c) -> Column:
+    """log(1 + return). A total loss (-1) is -Infinity; below -1 it is NaN, so that what compounds it is undefined."""
+    c = _col(c)
+    return F.when(c > -1, F.log1p(c)).when(c == -1, F.lit(float("-inf"))).when(c < -1, F.lit(float("nan")))
+
+
+def known(c) -> Column:
+    """NaN as null."""
+    c = _col(c)
+    return F.when(~F.isnan(c), c)
+
+
 def null_to_zero(c) -> Column:
     return F.coalesce(_col(c), F.lit(0.0))
 

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import correlation, drop_null_rows, null_to_zero, ratio
+from ..functions import correlation, drop_null_rows, known, log_growth, null_to_zero, ratio
 from ..plans.sizing import GROUP_ROWS, largest_group
 from ..sources.staging import staged
 from .crosssection import unpivot
@@ -81,8 +81,12 @@ def forward_return(returns: DataFrame, horizon: int = 1, out: str = "fwd_ret") -
     return lead(known, "asset", "dt", "ret", horizon, out)
 
 
-def _scored_returns(signal: DataFrame, column: str, horizon: int) -> DataFrame:
-    """Rows with both a signal and a later return."""
+def _scored_returns(signal: DataFrame, column: str, horizon: int, returns: DataFrame | None = None) -> DataFrame:
+    """Rows with both a signal and a later return, the asset's next one in ``returns`` if given."""
+    if returns is not None:
+        later = forward_return(returns.select("dt", "asset", "ret"), horizon).where(F.col("fwd_ret").isNotNull())
+        both = signal.where(F.col(column).isNotNull()).select("dt", "asset", column)
+        return both.join(later.select("dt", "asset", "fwd_ret"), ["dt", "asset"])
     rows = forward_return(signal.select("dt", "asset", column, "ret"), horizon)
     rows = rows.where(F.col(column).isNotNull() & F.col("fwd_ret").isNotNull())
     return rows.select("dt", "asset", column, "fwd_ret")
@@ -95,15 +99,17 @@ def _date_size(signal: DataFrame, column: str) -> int:
 
 def quantile_portfolios(
     signal: DataFrame, n: int = 5, column: str = "alpha", horizon: int = 1, group_rows: int = GROUP_ROWS,
+    returns: DataFrame | None = None,
 ) -> DataFrame:
     """Equal-weight return per date of ``n`` signal buckets: dt, p_1..p_n, spread (p_n - p_1), bmk_return (all).
 
-    Dates where a bucket is empty are dropped.
+    Dates where a bucket is empty are dropped. ``returns`` (dt, asset, ret) is the whole panel; without it the signal
+    table's own rows are led over, which is the same only if it holds every date of an asset.
     """
-    if not 2 <= n <= 10:
-        raise ValueError("n must be from 2 to 10")
+    if n < 2:
+        raise ValueError("n starts at 2")
     largest = _date_size(signal, column)
-    rows = _scored_returns(signal, column, horizon)
+    rows = _scored_returns(signal, column, horizon, returns)
     rows = staged(rows) if largest > group_rows else rows
     ranked = rank_counts(rows, ["dt"], column, "r", group_rows, largest)
     bucket = ranked.withColumn("__bucket", quantile_bucket("r", n))
@@ -124,9 +130,12 @@ def portfolios_long(wide: DataFrame) -> DataFrame:
 
 
 def cumulative_log_return(returns: DataFrame, by: str = "quantile", scale: float = 100.0) -> DataFrame:
-    """Running sum of log(1 + ret) by date, times ``scale``, for each portfolio (one row per date and portfolio)."""
-    total = cumulative_sum(by, "dt", F.log1p("ret")) * scale
-    return returns.select("dt", by, total.alias("cum_return"))
+    """Running sum of log(1 + ret) by date, times ``scale``, for each portfolio (one row per date and portfolio).
+
+    From a total loss on it is -Infinity, from a return below -1 on it is null.
+    """
+    total = cumulative_sum(by, "dt", log_growth("ret")) * scale
+    return returns.select("dt", by, known(total).alias("cum_return"))
 
 
 def portfolio_metrics(long: DataFrame, by: str = "quantile", periods: int = YEAR, benchmark: str = "bmk_return") -> DataFrame:
@@ -137,7 +146,7 @@ def portfolio_metrics(long: DataFrame, by: str = "quantile", periods: int = YEAR
         .groupBy(by)
         .agg(
             F.avg("ret").alias("__mean"), F.stddev_samp("ret").alias("__std"),
-            null_to_zero(F.sum(F.log1p("ret"))).alias("__log"), F.count("ret").alias("n_obs"),
+            null_to_zero(F.sum(log_growth("ret"))).alias("__log"), F.count("ret").alias("n_obs"),
         )
     )
     return stats.select(
@@ -146,7 +155,7 @@ def portfolio_metrics(long: DataFrame, by: str = "quantile", periods: int = YEAR
         (F.col("__std") * math.sqrt(periods)).alias("annual_vol"),
         ratio("__mean", "__std").alias("sharpe_ratio"),
         (ratio("__mean", "__std") * math.sqrt(periods)).alias("sharpe_annual"),
-        F.expm1("__log").alias("total_return"),
+        known(F.expm1("__log")).alias("total_return"),
         "n_obs",
     )
 
@@ -160,15 +169,11 @@ def rank_ic(
     Without ``returns`` they are read from the signal table, which saves the join. Null signals and null returns are
     left out; a date with a constant side has a null ic.
     """
-    if returns is None:
-        rows = _scored_returns(alphas, column, horizon)
-    else:
-        later = forward_return(returns.select("dt", "asset", "ret"), horizon).where(F.col("fwd_ret").isNotNull())
-        both = alphas.where(F.col(column).isNotNull()).select("dt", "asset", column)
-        rows = both.join(later.select("dt", "asset", "fwd_ret"), ["dt", "asset"])
+    rows = _scored_returns(alphas, column, horizon, returns)
     largest = _date_size(alphas, column)
     rows = staged(rows) if largest > group_rows else rows
     ranked = rank_counts(rows, ["dt"], column, "a", group_rows, largest)
+    ranked = staged(ranked) if largest > group_rows else ranked
     ranked = rank_counts(ranked, ["dt"], "fwd_ret", "f", group_rows, largest)
     middle = (F.col("a_n") + 1) / 2
     moved = ranked.select("dt", (average_rank("a") - middle).alias("__a"), (average_rank("f") - middle).alias("__f"))

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import null_to_zero, ratio
+from ..functions import known, log_growth, null_to_zero, ratio
 from ..plans.sizing import join_small
 from .evaluation import YEAR
 from .series import cumulative_max, cumulative_sum, difference, rolling_mean
@@ -21,8 +21,8 @@ def mv_weights(
     """Mean-variance weights per date with the specific variances as risk model: dt, asset, weight.
 
     Maximises w'alpha - gamma/2 * sum(risk^2 w^2), with sum(w) = 0 (``ZeroInvestment``) and/or beta'w = 0
-    (``ZeroBeta``). The solution is closed-form in five sums per date. Weights are null on dates with too few assets
-    for the constraints or a nearly singular system. ``signal``: dt, asset, alpha, specific_risk, predicted_beta.
+    (``ZeroBeta``). The solution is closed-form in five sums per date. Dates with too few assets for the constraints or a
+    nearly singular system have no weights and no rows, so nothing is reported for them. ``signal``: dt, asset, alpha, specific_risk, predicted_beta.
     """
     unknown = set(constraints) - set(CONSTRAINTS)
     if unknown:
@@ -59,7 +59,8 @@ def mv_weights(
             "dt", F.when(sound, shift).alias("__shift"), F.when(sound, tilt).alias("__tilt"))
         rows = join_small(rows, per_date, "dt", max_dates)
         free = alpha - F.col("__shift") - (F.col("__tilt") * beta if neutral else 0.0)
-    return rows.select("dt", "asset", (free * precision / float(gamma)).alias("weight"))
+    found = rows.select("dt", "asset", (free * precision / float(gamma)).alias("weight"))
+    return found.where(F.col("weight").isNotNull())
 
 
 def _keys(df: DataFrame, by: str | None) -> list[str]:
@@ -95,11 +96,16 @@ def leverage_summary(series: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def drawdown(returns: DataFrame, by: str | None = None) -> DataFrame:
-    """Loss since the highest point so far of the compounded return. The first date is always 0."""
+    """Loss since the highest point so far of the compounded return. The first date is 0.
+
+    After a total loss it is -1 for good; from a return below -1 on it is null.
+    """
     df, key = _one_series(returns, by)
-    df = df.withColumn("__log", cumulative_sum(key, "dt", F.log1p("ret")))
+    df = df.withColumn("__log", cumulative_sum(key, "dt", log_growth("ret")))
     df = df.withColumn("__peak", cumulative_max(key, "dt", "__log"))
-    return df.select(*_keys(df, by), "dt", F.expm1(F.col("__log") - F.col("__peak")).alias("drawdown"))
+    lost = F.col("__log") == F.lit(float("-inf"))
+    fall = F.when(lost, F.lit(-1.0)).otherwise(known(F.expm1(F.col("__log") - F.col("__peak"))))
+    return df.select(*_keys(returns, by), "dt", fall.alias("drawdown"))
 
 
 def drawdown_summary(series: DataFrame, by: str | None = None) -> DataFrame:
@@ -123,11 +129,11 @@ def returns_summary(returns: DataFrame, by: str | None = None, periods: int = YE
     """Dates, mean annual return, annual volatility, compounded total return, annual Sharpe ratio."""
     stats = returns.where(F.col("ret").isNotNull()).groupBy(*_keys(returns, by)).agg(
         F.count("ret").alias("count"), F.avg("ret").alias("__mean"), F.stddev_samp("ret").alias("__std"),
-        null_to_zero(F.sum(F.log1p("ret"))).alias("__log"),
+        null_to_zero(F.sum(log_growth("ret"))).alias("__log"),
     )
     return stats.select(
         *_keys(returns, by), "count", (F.col("__mean") * periods).alias("mean_annual_return"),
-        (F.col("__std") * math.sqrt(periods)).alias("volatility"), F.expm1("__log").alias("total_return"),
+        (F.col("__std") * math.sqrt(periods)).alias("volatility"), known(F.expm1("__log")).alias("total_return"),
         (ratio("__mean", "__std") * math.sqrt(periods)).alias("sharpe"),
     )
 

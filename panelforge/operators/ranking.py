@@ -102,9 +102,10 @@ def exact_percentiles(
 
     Up to ``group_rows`` rows one aggregate holds all values. Beyond that the values at the needed places are found by
     counting: a histogram names the bin of each place, and the bin is counted again more finely until it is small.
-    Every pass scans one column and combines its counts before the shuffle.
+    Every pass scans one column and combines its counts before the shuffle. Nulls, NaN and infinities are left out.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__v"))
+    finite = F.abs(F.col(value)) < F.lit(float("inf"))  # NaN is larger than any number
+    rows = df.where(finite).select(F.col(value).cast("double").alias("__v"))
     n, low, high = rows.agg(F.count("__v"), F.min("__v"), F.max("__v")).first()
     if n <= group_rows:
         found = F.percentile("__v", F.array(*[F.lit(float(s)) for s in shares]))

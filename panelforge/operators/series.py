@@ -103,25 +103,21 @@ def rolling_mean(df: DataFrame, key, order: str, value: str, window: int, out: s
 
 
 def ewm_std(
-    df: DataFrame, key, order: str, value: str, span: int, min_periods: int, out: str,
-    max_rows: int | None = None, block_rows: int | None = None,
+    df: DataFrame, key, order: str, value: str, span: int, min_periods: int, out: str, block_rows: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted, bias-corrected standard deviation with weights (1 - 2/(span+1))^age.
 
     Age counts rows, so a null ages the values before it. Null where the value is null, before ``min_periods``
     values, and on the first value. Computed from running sums of weighted powers. Weights grow with the row
-    position, so series that may exceed ``block_rows`` restart the position in each block and add the decayed sums
-    of the block before; anything older weighs less than 1e-100. ``max_rows`` is a proven bound of the series
-    length: if it fits one block the restart is left out, and a longer series raises.
+    position, so the position restarts every ``block_rows`` rows (as many as a double's range allows, by default) and
+    the closing sums of all blocks before are carried on, each decayed by its distance.
     """
     keep = 1.0 - 2.0 / (span + 1.0)
     block = block_rows or max(2, int(_LOG_RANGE / (-2.0 * math.log(keep))))
-    single = max_rows is not None and max_rows <= block
     w = _window(key, order)
     keys = [key] if isinstance(key, str) else list(key)
     sums = ["__w", "__ww", "__x", "__xx"]
     x, pos, weight = F.col("__dev"), F.col("__pos").cast("double"), F.col("__u")
-    decay = F.pow(F.lit(keep), pos)
 
     # deviations from the first value: a constant series then has exactly zero variance
     df = df.withColumns({
@@ -130,26 +126,19 @@ def ewm_std(
         "__dev": F.col(value) - F.first(value, ignorenulls=True).over(_so_far(w)),
     })
     df = df.withColumns({"__block": F.floor(F.col("__row") / block), "__pos": F.col("__row") % block})
-    growing = F.when(x.isNotNull(), F.pow(F.lit(keep), -pos))
-    if single:
-        too_long = F.raise_error(F.lit(f"series longer than the stated {max_rows} rows")).cast("double")
-        growing = F.when(F.col("__row") >= max_rows, too_long).otherwise(growing)
-    df = df.withColumn("__u", growing)
-    local = _so_far(w if single else Window.partitionBy(*keys, "__block").orderBy(order))
+    df = df.withColumn("__u", F.when(x.isNotNull(), F.pow(F.lit(keep), -pos)))
+    local = _so_far(Window.partitionBy(*keys, "__block").orderBy(order))
     power = {"__w": weight, "__ww": weight * weight, "__x": weight * x, "__xx": weight * x * x}
     df = df.withColumns({c: F.sum(e).over(local) for c, e in power.items()})
-    scale = {c: decay * decay if c == "__ww" else decay for c in sums}
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) * scale[c] for c in sums})
-    if not single:
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        closing = F.col("__pos") == block - 1
-        df = df.withColumns({
-            c + "0": F.coalesce(F.last(F.when(closing, F.col(c)), ignorenulls=True).over(before), F.lit(0.0))
-            for c in sums
-        })
-        df = df.withColumns({
-            c: F.col(c) + F.col(c + "0") * scale[c] * (keep * keep if c == "__ww" else keep) for c in sums
-        }).drop(*[c + "0" for c in sums])
+    rate = {c: keep * keep if c == "__ww" else keep for c in sums}
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(rate[c]), pos) for c in sums})
+    closing = F.when(F.col("__pos") == block - 1, F.struct(*sums))
+    df = df.withColumn("__closed", F.collect_list(closing).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def carried(c: str) -> Column:
+        return F.aggregate("__closed", F.lit(0.0), lambda total, row: total * rate[c] ** block + row[c])
+
+    df = df.withColumns({c: F.col(c) + carried(c) * F.pow(F.lit(rate[c]), pos + 1) for c in sums}).drop("__closed")
     mean = ratio("__x", "__w")
     spread = ratio("__xx", "__w") - mean * mean
     variance = ratio(spread, 1.0 - ratio("__ww", F.col("__w") * F.col("__w")))
@@ -162,13 +151,13 @@ def ewm_std(
 
 def vol_scaled_momentum(
     df: DataFrame, key, order: str, value: str, span: int = 22, min_periods: int = 22, window: int = 230,
-    skip: int = 22, out: str = "momentum", max_rows: int | None = None,
+    skip: int = 22, out: str = "momentum",
 ) -> DataFrame:
     """Sum over ``window`` rows of value / its exponentially weighted deviation, read ``skip`` rows later.
 
     Adds ``vol``, ``scaled_ret`` and ``out``.
     """
-    df = ewm_std(df, key, order, value, span, min_periods, "vol", max_rows)
+    df = ewm_std(df, key, order, value, span, min_periods, "vol")
     df = df.withColumn("scaled_ret", ratio(value, "vol"))
     df = _rolled(df, key, order, "scaled_ret", window, out)
     keys = [key] if isinstance(key, str) else list(key)

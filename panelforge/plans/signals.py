@@ -25,7 +25,6 @@ def _own_series_signal(assets: DataFrame, value: str, min_price: float, scale: f
         max_dates = span_days(assets)
     panel = vol_scaled_momentum(
         lagged_price(assets), "asset", "dt", value, span=SPAN, min_periods=SPAN, window=WINDOW, skip=SKIP,
-        max_rows=max_dates,
     )
     panel = price_filter(panel, min_price).where(F.col("momentum").isNotNull())
     return to_alpha(cs_zscore(staged(panel), "momentum", max_dates=max_dates), scale=scale)
@@ -56,8 +55,7 @@ def factor_momentum(factors: DataFrame, columns: list[str], max_dates: int | Non
     require_columns(factors, "dt", *columns)
     long = unpivot(factors.select("dt", *columns), ["dt"], columns, "industry", "ret")
     scored = vol_scaled_momentum(
-        long, "industry", "dt", "ret", span=SPAN, min_periods=1, window=WINDOW, skip=SKIP, max_rows=max_dates,
-    )
+        long, "industry", "dt", "ret", span=SPAN, min_periods=1, window=WINDOW, skip=SKIP)
     return drop_null_rows(scored)
 
 

@@ -51,14 +51,17 @@ def run_backtest(
 
 def signal_report(
     spark: SparkSession, signal_path: str, mode: str = "full", cutoff: dtm.date = ev.CUTOFF, n_quantiles: int = 5,
-    factors: DataFrame | None = None, horizon: int = 1,
+    factors: DataFrame | None = None, horizon: int = 1, returns: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Equal-weight evaluation of a written signal (dt, asset, signal, alpha, ret)."""
+    """Equal-weight evaluation of a written signal (dt, asset, signal, alpha, ret).
+
+    ``returns`` (dt, asset, ret as a fraction) is the whole panel that the return ahead is read from.
+    """
     signal = read_table(spark, signal_path).where(F.col("alpha").isNotNull())
     require_columns(signal, "dt", "asset", "signal", "alpha", "ret")
     require_rows(signal, "signal")
     signal = ev.sample_split(signal, mode, cutoff)
-    quantiles = staged(ev.quantile_portfolios(signal, n_quantiles, horizon=horizon))
+    quantiles = staged(ev.quantile_portfolios(signal, n_quantiles, horizon=horizon, returns=returns))
     long = ev.portfolios_long(quantiles)
     metrics = ev.portfolio_metrics(long)
     report = {
@@ -68,7 +71,7 @@ def signal_report(
         "quantiles": quantiles,
         "cumulative": ev.cumulative_log_return(long),
         "metrics": metrics,
-        "headline": ev.spread_headline(metrics, ev.rank_ic(signal, horizon=horizon)),
+        "headline": ev.spread_headline(metrics, ev.rank_ic(signal, returns, horizon)),
     }
     if factors is not None:
         report["regression"] = factor_regression(long, factors, by="quantile")
@@ -86,7 +89,7 @@ def portfolio_report(
     signal = ev.sample_split(signal, mode, cutoff)
     made = staged(pf.portfolio_returns(weights, returns))
     levered, dips = pf.leverage(weights), pf.drawdown(made)
-    ics = staged(ev.rank_ic(signal, horizon=horizon))
+    ics = staged(ev.rank_ic(signal, returns, horizon))
     report = {
         "sample": ev.sample_summary(weights),
         "returns": made,

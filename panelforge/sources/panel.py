@@ -32,7 +32,8 @@ def load_panel(
         raw = F.col(date)
         df = df.where((raw >= F.lit(start).cast("timestamp_ntz")) & (raw < F.lit(after).cast("timestamp_ntz")))
         df = df.withColumn(date, raw.cast("date"))
-    if in_universe and universe in df.columns:
+    if in_universe:
+        require_columns(df, universe)
         df = df.where(F.col(universe))
     return df.select(*columns) if columns else df
 
@@ -43,8 +44,9 @@ def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_year_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Only the files named ``YYYY.parquet`` of a folder, as one table."""
-    return spark.read.option("pathGlobFilter", "[0-9][0-9][0-9][0-9].parquet").parquet(folder)
+    """The files named ``YYYY.parquet`` of a folder and the ``year=YYYY`` folders of ``write_by_year``, as one table."""
+    year = "[0-9][0-9][0-9][0-9]"
+    return spark.read.parquet(f"{folder.rstrip('/')}/{{{year}.parquet,year={year}}}")
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -52,9 +54,12 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_by_year(df: DataFrame, path: str, date: str = "dt") -> None:
-    """Write one ``year=`` folder per calendar year; a large year is spread over several even files."""
+    """Write one ``year=`` folder per calendar year; a large year is spread over several even files.
+
+    Only the years in ``df`` are replaced.
+    """
     by_year = df.withColumn("year", F.year(date)).hint("rebalance", "year")
-    by_year.write.mode("overwrite").partitionBy("year").parquet(path)
+    by_year.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:

@@ -42,7 +42,7 @@ def span(spark: SparkSession, sf_dir: str) -> int:
 def _lines(spark: SparkSession, sf_dir: str, start: dtm.date | None = None, end: dtm.date | None = None) -> DataFrame:
     path = f"{sf_dir}/lineitem.parquet"
     if start and end:
-        return load_panel(spark, path, start, end, names=_NAMES)
+        return load_panel(spark, path, start, end, in_universe=False, names=_NAMES)
     return spark.read.parquet(path).withColumnsRenamed(_NAMES).withColumn("dt", F.to_date("dt"))
 
 

@@ -65,9 +65,9 @@ def test_quantile_portfolios(signal, group_rows):
 
 
 def test_number_of_quantiles_is_checked(signal):
-    for n in (1, 11):
-        with pytest.raises(ValueError):
-            ev.quantile_portfolios(signal, n)
+    with pytest.raises(ValueError):
+        ev.quantile_portfolios(signal, 1)
+    assert "p_12" in ev.quantile_portfolios(signal, 12).columns
 
 
 def test_metrics(spark):
@@ -90,8 +90,27 @@ def test_cumulative_log_return_matches_total(spark):
                                 (DAY0 + dtm.timedelta(days=2), "p", -1.0), (DAY0 + dtm.timedelta(days=3), "p", 0.2)],
                                "dt date, quantile string, ret double")
     got = [r.cum_return for r in ev.cumulative_log_return(df).orderBy("dt").collect()]
-    # the logarithm of a total loss is null
-    assert got[1] is None and got[2] is None and got[3] == pytest.approx(100 * math.log(1.1 * 1.2))
+    # nothing comes back after a total loss
+    assert got[0] == pytest.approx(100 * math.log(1.1)) and got[2] == got[3] == -math.inf
+    stats = ev.portfolio_metrics(df.withColumnRenamed("quantile", "q"), by="q").first()
+    assert stats.total_return == -1.0 and stats.n_obs == 3
+
+
+def test_returns_below_total_loss_are_undefined(spark):
+    df = spark.createDataFrame([(DAY0 + dtm.timedelta(days=i), "p", r) for i, r in enumerate([0.1, -1.2, 0.2])],
+                               "dt date, quantile string, ret double")
+    assert [r.cum_return for r in ev.cumulative_log_return(df).orderBy("dt").collect()][1:] == [None, None]
+    assert ev.portfolio_metrics(df).first().total_return is None
+
+
+def test_the_return_ahead_comes_from_the_whole_panel(spark):
+    def rows(days, kind):
+        return spark.createDataFrame([(DAY0 + dtm.timedelta(days=d), a, float(v)) for a in ("x", "y") for d, v in days], f"dt date, asset string, {kind} double")
+
+    panel = rows([(0, 0.01), (1, 0.02), (2, 0.03), (3, 0.04)], "ret")
+    signal = rows([(0, 1.0), (3, 2.0)], "alpha")  # leaves the signal and returns
+    got = ev._scored_returns(signal, "alpha", 1, panel).collect()
+    assert {(r.asset, r.dt.day, r.fwd_ret) for r in got} == {("x", DAY0.day, 0.02), ("y", DAY0.day, 0.02)}
 
 
 def test_sample_split(signal):

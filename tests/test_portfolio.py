@@ -29,7 +29,8 @@ def test_weights_solve_the_first_order_conditions(signal, constraints, max_dates
     gamma = 50.0
     w = pf.mv_weights(signal, gamma, constraints, max_dates).toPandas()
     both = w.merge(signal.toPandas(), on=["dt", "asset"])
-    assert len(both) == 53
+    undetermined = 3 if len(constraints) == 2 else 0  # the last date
+    assert len(both) == 53 - undetermined
     for _, g in both[both["dt"] < days(6)[5]].groupby("dt"):
         rows = {"ZeroInvestment": np.ones(len(g)), "ZeroBeta": g["predicted_beta"].to_numpy()}
         c = np.array([rows[n] for n in constraints]).reshape(len(constraints), len(g))
@@ -39,10 +40,10 @@ def test_weights_solve_the_first_order_conditions(signal, constraints, max_dates
         assert np.abs(c @ g["weight"]).max(initial=0) < 1e-15
 
 
-def test_weights_are_null_when_not_determined(signal):
+def test_no_weights_where_they_are_not_determined(signal):
     last = days(6)[5]
     w = pf.mv_weights(signal, 591, ("ZeroInvestment", "ZeroBeta")).where(f"dt = date'{last}'").collect()
-    assert len(w) == 3 and all(r.weight is None for r in w)
+    assert not w
     with pytest.raises(ValueError):
         pf.mv_weights(signal, 591, ["LongOnly"])
 

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalogue import oracles, queries as catalogue
 from check import database, difference
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalogue.build(), oracles.build()
 
 
 @pytest.fixture(scope="module")

@@ -6,9 +6,10 @@ from pyspark.errors import AnalysisException
 
 from panelforge.plans import workflow
 from panelforge.sources import (
-    drop_staged, load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, staged, standin,
+    load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, staged, staging_scope, standin,
     write_by_year, write_table,
 )
+from panelforge.sources.staging import checked, staging_root
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +41,7 @@ def test_load_panel_filters_and_renames(spark, panel):
 def test_load_panel_of_timestamps_reaches_the_scan(spark):
     start, end = dtm.date(1996, 1, 1), dtm.date(1996, 12, 31)
     names = {"l_suppkey": "asset", "l_shipdate": "dt"}
-    got = load_panel(spark, f"{SF}/lineitem.parquet", start, end, ["asset", "dt", "l_tax"], names=names)
+    got = load_panel(spark, f"{SF}/lineitem.parquet", start, end, ["asset", "dt", "l_tax"], in_universe=False, names=names)
     first, last = got.agg({"dt": "min"}).first()[0], got.agg({"dt": "max"}).first()[0]
     assert start <= first and last <= end and dict(got.dtypes)["dt"] == "date"
     plan = plan_of(got)
@@ -137,9 +138,45 @@ def test_workflow(spark, tmp_path):
         workflow.run_backtest(spark, str(tmp_path / "missing"), str(tmp_path / "y"))
 
 
-def test_staged_tables_can_be_dropped(spark):
-    kept = staged(spark.range(3))
-    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
-    assert drop_staged(spark) >= 1 and drop_staged(spark) == 0
+def test_scopes_drop_their_own_staged_tables(spark):
+    def folder(table):
+        return table.inputFiles()[0].rsplit("/", 1)[0]
+
+    with staging_scope(spark):
+        outer = folder(staged(spark.range(3)))
+        with staging_scope(spark):
+            inner = folder(staged(spark.range(4)))
+        assert read_table(spark, outer).count() == 3
+        with pytest.raises(AnalysisException):
+            read_table(spark, inner)
     with pytest.raises(AnalysisException):
-        read_table(spark, folder)
+        read_table(spark, outer)
+
+
+def test_missing_rows_of_a_staged_table_raise(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    with pytest.raises(RuntimeError):
+        checked(spark, str(tmp_path / "x"), 4)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: {})
+    with pytest.raises(ValueError):
+        staging_root(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_universe_column_must_be_there(spark, tmp_path):
+    spark.range(3).selectExpr("date'2020-01-01' as dt", "id as asset").write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        load_panel(spark, str(tmp_path / "p"), dtm.date(2020, 1, 1), dtm.date(2020, 1, 2))
+
+
+def test_year_files_read_what_was_written(spark, tmp_path):
+    def days(*years):
+        return spark.createDataFrame([(dtm.date(y, 5, 1), y * 1.0) for y in years], "dt date, weight double")
+
+    write_by_year(days(2020, 2021), str(tmp_path))
+    write_by_year(days(2021), str(tmp_path))
+    assert sorted(r.weight for r in read_year_files(spark, str(tmp_path)).collect()) == [2020.0, 2021.0]
