@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.staging import staged
 from .text import per_text, shingle_hashes, text_of, word_hashes
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -111,23 +113,25 @@ def coverage(words: np.ndarray, items: Items) -> list[tuple[int, float]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_tokens: int) -> list[Items]:
-    """The benchmark in blocks of at most ``block_tokens`` tokens (one item at least), read one after another."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_tokens: int) -> Iterator[Items]:
+    """The benchmark in blocks of at most ``block_tokens`` tokens (one item at least), read one after another.
+
+    The driver holds one block at a time.
+    """
     sizes = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out, block, held = [], [], 0
+    block, held = [], 0
     for row in sizes.orderBy("id", "text").toLocalIterator():
         words = word_hashes(plain(row.text))
         if not len(words):
             continue
         if block and held + len(words) > block_tokens:
-            out.append(Items(block, min_match))
+            yield Items(block, min_match)
             block, held = [], 0
         block.append((row.id, words))
         held += len(words)
     if block:
-        out.append(Items(block, min_match))
-    return out
+        yield Items(block, min_match)
 
 
 def decontaminate(
@@ -143,12 +147,17 @@ def decontaminate(
     Items shorter than ``min_match`` must occur whole. Null or empty texts on either side share nothing; items that
     repeat count once per id. Every document is judged alone, so repeated rows and null ids are kept as they are.
 
-    The benchmark goes to the executors in blocks of ``block_tokens`` tokens, 16 bytes each, whatever its size; the
-    documents pass by all blocks without an exchange.
+    The benchmark goes to the executors in blocks of ``block_tokens`` tokens, 24 bytes each, whatever its size. The
+    documents pass by the blocks without an exchange, each block in a pass of its own that is staged, so that a worker
+    holds one block; a benchmark of one block needs one pass and no staging.
     """
     spark = docs.sparkSession
-    found = []
+    rows = docs.select(
+        F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), *[F.col(c).alias(f"__rest_{c}") for c in carry])
+    names = []
     for tests in benchmark_blocks(benchmark, item_id, item_text, min_match, block_tokens):
+        if names:
+            rows = staged(rows, "tiled")
         shared = spark.sparkContext.broadcast(tests)
 
         def make(shared=shared):
@@ -169,11 +178,9 @@ def decontaminate(
             return body
 
         kind = "struct<items:array<bigint>,best_coverage:double,best_item:bigint>"
-        found.append(per_text(text_of(text_col), make, kind, spark))
-    rows = docs.select(
-        F.col(id_col).alias("__id"), *[c.alias(f"__found_{n}") for n, c in enumerate(found)],
-        *[F.col(c).alias(f"__rest_{c}") for c in carry])
-    names = [F.col(f"__found_{n}") for n in range(len(found))]
+        found = f"__found_{len(names)}"
+        rows = rows.withColumn(found, per_text(F.col("__text"), make, kind, spark))
+        names.append(F.col(found))
     items = F.array_sort(F.array_distinct(F.concat(*[c["items"] for c in names]))) if names else F.array().cast("array<bigint>")
     best = F.lit(None).cast("struct<best_coverage:double,minus:bigint,best_item:bigint>")
     if names:
