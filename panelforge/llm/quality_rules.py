@@ -14,6 +14,11 @@ BOILERPLATE = (
 )
 NAVIGATION = "home|menu|login|log in|sign in|register|search|next|previous|back to top|read more|share|contact us|sitemap"
 
+_PART = "[|»>/·-]"
+MENU = rf"^(?:{NAVIGATION})(?:\s*+{_PART}\s*+(?:\S++|\S+(?={_PART}\s)))*$"
+"""A menu word, then items after separators. An item is a whole run, or ends before a separator that closes the run, so a
+long run of separators isn't tried in all its partitions."""
+
 
 def words_of(c: Column) -> Column:
     """Runs of characters other than ASCII white space."""
@@ -80,7 +85,7 @@ def failing(line: Column, short: int = 3, symbol_pct: int = 30, nav_items: int =
         items = t.rlike("[|»>]") & (F.size(F.split(t, r"\s[|»>]\s|\s[|»>]$", -1)) >= nav_items)
 
         def by_words(n: Column) -> Column:
-            menu = (n <= 5) & low.rlike(rf"^(?:{NAVIGATION})(?:\s*[|»>/·-]\s*\S+)*$")
+            menu = (n <= 5) & low.rlike(MENU)
             return ((n <= short) & ~closed) | menu | ((n <= 25) & low.rlike(BOILERPLATE))
 
         return (t != "") & (

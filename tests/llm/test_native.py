@@ -57,6 +57,7 @@ def test_rule_counts(spark, documents, source):
     ("A sentence that ends well.", False), ("an open line of five words", False), ("", False), ("   ", False),
     ("Read more", True), ("*** --- ***", True), ("Home | About | Contact", True), ("%%% $$$ ### a", True),
     ("Copyright 2020, all rights reserved.", True), ("Yes!", False), ("Home » News", True),
+    ("menu " + "-" * 60 + "x and so on", False), ("home" + "/a" * 20_000 + " and so on", False), ("home / about- news |team|", True),
     ("Er sagte: „Nein.“", False), ("La lune est belle…", False),
 ])
 def test_line_rules(spark, line, fails):
