@@ -55,8 +55,9 @@ def signal_stats(df: DataFrame, column: str = "signal", group_rows: int = GROUP_
 
 def signal_histogram(df: DataFrame, column: str = "signal", bins: int = 50) -> DataFrame:
     """Counts in ``bins`` equal-width bins from minimum to maximum; the last bin includes the maximum. Empty bins
-    are listed with 0. Equal values give bins half a unit to each side, no values bins from 0 to 1."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__v"))
+    are listed with 0. Equal values give bins half a unit to each side, no values bins from 0 to 1. Nulls, NaN and
+    infinities are left out."""
+    values = df.where(F.abs(F.col(column)) < F.lit(float("inf"))).select(F.col(column).alias("__v"))
     low, high = values.agg(F.min("__v"), F.max("__v")).first()
     if low is None:
         low, high = 0.0, 1.0

@@ -1,7 +1,7 @@
 """Exact ranks and percentiles within groups of any size.
 
-Groups that fit one task are ranked by a window. Larger groups are cut by value into ranges small enough for one task,
-the ranges are counted, and each value's rank is its place in its range plus the rows in the ranges below.
+Groups that fit one task are ranked by a window. Larger groups are cut by value until every range is small enough for
+one task, the ranges are counted, and each value's rank is its place in its range plus the rows in the ranges below.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans.sizing import GROUP_ROWS, join_small, largest_group
 from ..sources.staging import staged
 
-_RANGES = 1024
+_BINS, _CUTS = 1024, 64
 
 
 def rank_counts(
@@ -46,43 +46,48 @@ def _window_counts(df: DataFrame, by: list[str], value: str, below: str, ties: s
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, prefix: str, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per group and distinct value with its ``_below``, ``_ties`` and ``_n`` counts.
+    """One row per group and distinct value (double) with its ``_below``, ``_ties`` and ``_n`` counts.
 
-    Ties collapse before the shuffle. A group with more than ``group_rows`` distinct values is cut into equal value
-    ranges between its own smallest and largest value; a range that is still too large is cut again between its own
-    ends, so a few far-out values do not push the rest into one range. Bounds and counts do not depend on the order
-    of the rows, so every pass assigns the same range.
+    Ties collapse before the shuffle. NaN ranks above infinity, as in a window.
     """
     below, ties, total = f"{prefix}_below", f"{prefix}_ties", f"{prefix}_n"
     values = staged(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(ties)))
-
-    values, groups = _cut(values, by, value, F.lit(_RANGES), "__r1", group_rows)
-    values, ranges = _cut(values, [*by, "__r1"], value, F.ceil(F.col("__size") / group_rows) * 4, "__r2", group_rows)
-    cells = values.groupBy(*by, "__r1", "__r2").agg(F.sum(ties).alias("__rows"))
-    order = Window.partitionBy(*by).orderBy("__r1", "__r2")
+    values = value_ranges(values, by, value, group_rows)
+    cells = values.groupBy(*by, "__range").agg(F.sum(ties).alias("__rows"))
+    order = Window.partitionBy(*by).orderBy("__range")
     offsets = staged(cells.select(
-        *by, "__r1", "__r2",
+        *by, "__range",
         F.coalesce(F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__rows").over(Window.partitionBy(*by)).alias(total),
     ))
-    inside = Window.partitionBy(*by, "__r1", "__r2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = values.withColumn("__in", F.coalesce(F.sum(ties).over(inside), F.lit(0)))
-    placed = join_small(placed, offsets, [*by, "__r1", "__r2"], offsets.count())
+    placed = join_small(placed, offsets, [*by, "__range"], offsets.count())
     return placed.select(*by, value, (F.col("__before") + F.col("__in")).alias(below), ties, total)
 
 
-def _cut(values: DataFrame, by: list[str], value: str, parts, out: str, group_rows: int):
-    """Number the value range of each row within its group; groups up to ``group_rows`` stay whole."""
-    ends = staged(
-        values.groupBy(*by)
-        .agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__size"))
-        .where((F.col("__size") > group_rows) & (F.col("__hi") > F.col("__lo")))
-        .withColumn("__parts", parts)
-    )
-    place = F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__parts"))
-    number = F.coalesce(F.least(place, F.col("__parts").cast("long") - 1), F.lit(0).cast("long"))
-    cut = join_small(values, ends, by, ends.count())
-    return cut.withColumn(out, number).drop("__lo", "__hi", "__size", "__parts"), ends
+def value_ranges(values: DataFrame, by: list[str], value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Add ``__range``, an array that sorts as the values do; no range of a group holds more than ``group_rows`` rows.
+
+    ``values`` is a table of distinct values per group. Ranges that are too large are cut at approximate quantiles,
+    which follow the counts however the values lie, until all are small enough: a pass makes them some fifty times
+    smaller. The cuts are written, so every reader assigns the same range.
+    """
+    ranged = values.withColumn("__range", F.array().cast("array<int>"))
+    on = [*by, "__range"]
+    while True:
+        large = staged(ranged.groupBy(*on).count().where(F.col("count") > group_rows).drop("count"))
+        n = large.count()
+        if not n:
+            return ranged
+        shares = F.array(*[F.lit(k / _CUTS) for k in range(1, _CUTS)])
+        cuts = staged(join_small(ranged, large, on, n, "left_semi").groupBy(*on).agg(
+            F.percentile_approx(value, shares, 10_000).alias("__cuts")))
+        ranged = join_small(ranged, cuts, on, n * _CUTS)  # a row of cuts is as large as that many plain rows
+        part = F.size(F.filter("__cuts", lambda cut: cut < F.col(value)))
+        ranged = ranged.withColumn(
+            "__range", F.when(F.col("__cuts").isNull(), F.col("__range")).otherwise(F.array_append("__range", part)))
+        ranged = ranged.drop("__cuts")
 
 
 def average_rank(prefix: str):
@@ -100,30 +105,26 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row of percentiles with linear interpolation, over any number of rows. ``df`` is read more than once.
 
-    Up to ``group_rows`` rows one aggregate holds all values. Beyond that the values at the needed places are found by
-    counting: a histogram names the bin of each place, and the bin is counted again more finely until it is small.
-    Every pass scans one column and combines its counts before the shuffle. Nulls, NaN and infinities are left out.
+    The values at the needed places are found by counting: a histogram names the bin of each place, and the bin is
+    counted again more finely until it holds ``group_rows`` rows or fewer, which are numbered. Every pass scans one
+    column and combines its counts before the shuffle. Nulls, NaN and infinities are left out.
     """
     finite = F.abs(F.col(value)) < F.lit(float("inf"))  # NaN is larger than any number
     rows = df.where(finite).select(F.col(value).cast("double").alias("__v"))
     n, low, high = rows.agg(F.count("__v"), F.min("__v"), F.max("__v")).first()
-    if n <= group_rows:
-        found = F.percentile("__v", F.array(*[F.lit(float(s)) for s in shares]))
-        picked = rows.agg(found.alias("__p"))
-        return picked.select(*[F.col("__p")[i].alias(name) for i, name in enumerate(names)])
-    places = [s * (n - 1) for s in shares]
+    places = [s * (n - 1) for s in shares] if n else []
     at = _values_at(rows, {f(p) for p in places for f in (math.floor, math.ceil)}, low, high, n, group_rows)
-    out = []
-    for p in places:
+    out = [None] * len(names)
+    for i, p in enumerate(places):
         a, b = at[math.floor(p)], at[math.ceil(p)]
-        out.append(a + (b - a) * (p - math.floor(p)))
-    return df.sparkSession.range(1).select(*[F.lit(x).alias(name) for name, x in zip(names, out)])
+        out[i] = a + (b - a) * (p - math.floor(p))
+    return df.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(name) for name, x in zip(names, out)])
 
 
 def _values_at(rows: DataFrame, places: set[int], low: float, high: float, n: int, group_rows: int) -> dict[int, float]:
     """Values at 0-based places of the sorted order, by repeated histograms of the ranges that hold them."""
     found: dict[int, float] = {}
-    ranges = [(low, high, 0, n, places)]
+    ranges = [(low, high, 0, n, places)] if places else []
     while ranges:
         low, high, before, n, places = ranges.pop()
         if low == high:
@@ -135,8 +136,11 @@ def _values_at(rows: DataFrame, places: set[int], low: float, high: float, n: in
             hits = inside.withColumn("__k", row).where(F.col("__k").isin(sorted(places)))
             found.update({r["__k"]: r["__v"] for r in hits.collect()})
             continue
-        place = F.floor((F.col("__v") - F.lit(low)) / F.lit(high - low) * _RANGES)
-        bins = inside.groupBy(F.least(place, F.lit(_RANGES - 1).cast("long")).alias("bin")).agg(
+        # halves, so that the width of the widest range doesn't overflow
+        place = F.floor((F.col("__v") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * _BINS)
+        if high / 2 == low / 2:
+            place = F.when(F.col("__v") > F.lit(low), F.lit(1)).otherwise(0).cast("long")
+        bins = inside.groupBy(F.least(place, F.lit(_BINS - 1).cast("long")).alias("bin")).agg(
             F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("__v").alias("n"))
         for r in sorted(bins.collect()):
             here = {k for k in places if before <= k < before + r["n"]}

@@ -41,9 +41,33 @@ def test_quantile_buckets(spark, group_rows):
     assert [r.b for r in got.orderBy("i").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
 
 
-def test_large_groups_are_cut_small_enough(skewed):
-    ranges = ranking.value_ranks(skewed, ["g"], "v", "r", 50)
-    assert ranges.where("g = 'hot'").count() == skewed.where("g = 'hot'").select("v").distinct().count()
+@pytest.mark.parametrize("group_rows", [1, 50, 300])
+def test_large_groups_are_cut_small_enough(skewed, group_rows):
+    values = skewed.select("g", "v").distinct()
+    ranged = ranking.value_ranges(values, ["g"], "v", group_rows)
+    sizes = ranged.groupBy("g", "__range").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = sizes.orderBy("g", "__range").toPandas()
+    assert found["n"].max() <= group_rows
+    assert found["n"].sum() == values.count()
+    for _, part in found.groupby("g"):
+        assert (part["hi"].to_numpy()[:-1] < part["lo"].to_numpy()[1:]).all()
+
+
+@pytest.mark.parametrize("group_rows", [2, 7])
+def test_infinite_and_nan_values_rank_as_in_a_window(spark, group_rows):
+    inf, nan = float("inf"), float("nan")
+    df = table(spark, {"x": [1, nan, 2, inf, -inf, 3, nan, 2, inf, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308]})
+    columns = ["i", "r_below", "r_ties", "r_n"]
+    got = ranking.rank_counts(df, ["g"], "v", "r", group_rows).select(*columns).orderBy("i").collect()
+    assert got == ranking.rank_counts(df, ["g"], "v", "r").select(*columns).orderBy("i").collect()
+
+
+@pytest.mark.parametrize("group_rows", [1, 3, 1000])
+def test_percentiles_leave_out_infinite_and_nan_values(spark, group_rows):
+    inf, nan = float("inf"), float("nan")
+    df = table(spark, {"x": [nan, inf, -inf, 4, 1.7e308, -1.7e308, 0, 5e-324, 1, 2, 2, 3] + [nan] * 10})
+    got = ranking.exact_percentiles(df, "v", [0.0, 0.125, 0.25, 0.5, 1.0], list("abcde"), group_rows).first()
+    assert tuple(got) == (-1.7e308, 0.0, 5e-324, 2.0, 1.7e308)
 
 
 @pytest.mark.parametrize("group_rows", [4, 100, 1_000_000])
