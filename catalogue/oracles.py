@@ -247,9 +247,9 @@ fit as (select *, greatest(n*(yy - ta*ra - tb*rb - tc*rc), 0) as rss, my - ta*ma
 
 def regression_select(by: str | None) -> str:
     k = f"{by}, " if by else ""
-    return (f"select {k}term, {r('coefficient', 'coefficient')}, {r('std_error', 'std_error')},"
-            f" {r('coefficient/nullif(std_error, 0)', 't_stat')}, {r('annualised', 'annualised')},"
-            f" {r('r_squared', 'r_squared')}, n_obs from terms")
+    return (f"select {k}term, {r('coefficient', 'coefficient', 12)}, {r('std_error', 'std_error', 12)},"
+            f" {r('coefficient/nullif(std_error, 0)', 't_stat', 8)}, {r('annualised', 'annualised', 12)},"
+            f" {r('r_squared', 'r_squared', 10)}, n_obs from terms")
 
 
 IDIOSYNCRATIC = [ASSETS, own_signal("idiosyncratic", "specific_return")]
@@ -369,7 +369,7 @@ def build() -> dict[str, str]:
                                             f"select {d()}, asset, {r('weight', 'weight', 9)} from w"),
         "mv_weights_zero_beta": query([*SIGNAL, weights("w", "sig", False, True)],
                                       f"select {d()}, asset, {r('weight', 'weight', 9)} from w"),
-        "portfolio_returns": query(PORTFOLIO, f"select {d()}, {r('ret', 'ret', 9)} from port"),
+        "portfolio_returns": query(PORTFOLIO, f"select {d()}, {r('ret', 'ret', 12)} from port"),
         "leverage": query([*WEIGHTS, LEVERAGE], f"select {d()}, {r('leverage', 'leverage', 9)} from lev"),
         "leverage_summary": query([*WEIGHTS, LEVERAGE], "select " + ", ".join(
             r(f"{f}(leverage)", f"{n}_leverage", 9)
@@ -381,9 +381,9 @@ def build() -> dict[str, str]:
             {r('(select drawdown from dd order by dt desc limit 1)', 'current_drawdown', 9)},
             (select coalesce(max(n), 0) from (select count(*) as n from runs where drawdown < 0 group by run)) as longest_drawdown
             from dd"""),
-        "returns_summary": query(PORTFOLIO, f"""select count(ret) as count, {r('avg(ret)*252', 'mean_annual_return')},
-            {r('stddev_samp(ret)*sqrt(252)', 'volatility')}, {r('exp(sum(ln(1 + ret))) - 1', 'total_return')},
-            {r('avg(ret)*252/(stddev_samp(ret)*sqrt(252))', 'sharpe')} from port"""),
+        "returns_summary": query(PORTFOLIO, f"""select count(ret) as count, {r('avg(ret)*252', 'mean_annual_return', 11)},
+            {r('stddev_samp(ret)*sqrt(252)', 'volatility', 11)}, {r('exp(sum(ln(1 + ret))) - 1', 'total_return', 11)},
+            {r('avg(ret)*252/(stddev_samp(ret)*sqrt(252))', 'sharpe', 11)} from port"""),
         "cumulative_return": query(PORTFOLIO, f"""select {d()}, 'standard' as strategy, {r('c', 'cum_return')} from (
             select *, 100*sum(ln(1 + ret)) over (order by dt) as c from port)"""),
         "turnover": query([*WEIGHTS, TURNOVER], f"""select {d()}, {r('t', 'two_sided_turnover', 9)} from (
@@ -402,8 +402,30 @@ def build() -> dict[str, str]:
             for a, b in PAIRS)),
         "strategy_comparison": query([*THREE_RETURNS, "stacked as (" + " union all ".join(
             f"select '{n}' as strategy, * from {n}_ret" for n in NAMES) + ")"], f"""
-            select strategy, count(ret) as count, {r('avg(ret)*252', 'mean_annual_return')},
-            {r('stddev_samp(ret)*sqrt(252)', 'volatility')}, {r('exp(sum(ln(1 + ret))) - 1', 'total_return')},
-            {r('avg(ret)*252/(stddev_samp(ret)*sqrt(252))', 'sharpe')} from stacked group by 1"""),
+            select strategy, count(ret) as count, {r('avg(ret)*252', 'mean_annual_return', 11)},
+            {r('stddev_samp(ret)*sqrt(252)', 'volatility', 11)}, {r('exp(sum(ln(1 + ret))) - 1', 'total_return', 11)},
+            {r('avg(ret)*252/(stddev_samp(ret)*sqrt(252))', 'sharpe', 11)} from stacked group by 1"""),
+        "universe_panel": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 12)} from assets
+            where asset % 3 <> 0 and dt between date '1996-01-01' and date '2000-12-31'"""),
+        "glob_union": query(SIGNAL, f"select asset, {d()}, {r('alpha', 'alpha')}, {r('ret', 'ret')} from sig"),
+        "total_loss": query([ASSETS, """
+            grown as (select asset, dt, ret/100*12.5e0 as ret,
+                             max(case when ret/100*12.5e0 <= -1 then 1 else 0 end) over w as lost,
+                             sum(ln(nullif(greatest(1 + ret/100*12.5e0, 0), 0))) over w as lv
+                      from assets window w as (partition by asset order by dt)),
+            dd as (select *, case when lost = 1 then -1e0 else exp(lv - max(lv) over w) - 1 end as drawdown
+                   from grown window w as (partition by asset order by dt)),
+            runs as (select *, row_number() over (partition by asset order by dt)
+                               - row_number() over (partition by asset, drawdown < 0 order by dt) as run from dd),
+            longest as (select asset, max(n) as n from (
+                select asset, run, count(*) as n from runs where drawdown < 0 group by 1, 2) group by 1)"""], f"""
+            select dd.asset, count(ret) as count, {r('avg(ret)*252', 'mean_annual_return', 9)},
+                   {r('case when max(lost) = 1 then -1e0 else exp(sum(ln(nullif(greatest(1 + ret, 0), 0)))) - 1 end', 'total_return', 3)},
+                   {r('avg(drawdown)', 'mean_drawdown', 9)}, {r('min(drawdown)', 'max_drawdown', 9)},
+                   {r('arg_max(drawdown, dt)', 'current_drawdown', 9)}, coalesce(any_value(n), 0) as longest_drawdown
+            from dd left join longest on longest.asset = dd.asset group by 1"""),
     }
+    for name in ("rank_ic", "quantile_portfolios", "signal_stats"):
+        found[f"{name}_ranges"] = found[name]
+    found["weights_round_trip"] = found["mv_weights"]
     return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dtm
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,8 @@ from panelforge.functions import drop_null_rows
 from panelforge.operators import compare, crosssection as cs, evaluation as ev, portfolio as pf, series
 from panelforge.operators.regression import factor_regression
 from panelforge.plans import signals
-from panelforge.sources import staged, standin
+from panelforge.sources import panel as tables, staged, standin
+from panelforge.sources.staging import staging_root
 
 BOTH = ("ZeroInvestment", "ZeroBeta")
 STRATEGIES = ("standard", "industry", "idiosyncratic")
@@ -36,6 +38,11 @@ def shown(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*out)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the cluster's shared storage."""
+    return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # --- panels -----------------------------------------------------------------------------------------------------
 
 def _assets(spark, sf, columns=RISK, **kw):
@@ -56,9 +63,10 @@ def _idiosyncratic(spark, sf, assets=None, days=None):
 
 def _industry(spark, sf, assets=None, days=None, all_zero="score_zero"):
     days = days or standin.span(spark, sf)
+    typed = standin.typed_panel(spark, sf)
     return signals.industry_momentum(
-        _assets(spark, sf) if assets is None else assets, standin.exposures(spark, sf), standin.factors(spark, sf),
-        standin.INDUSTRIES, all_zero, max_dates=days,
+        _assets(spark, sf) if assets is None else assets, standin.exposures(spark, sf, typed),
+        standin.factors(spark, sf, typed), standin.INDUSTRIES, all_zero, max_dates=days,
     )
 
 
@@ -90,11 +98,11 @@ def _returns(spark, sf):
 
 
 def _all_signals(spark, sf):
-    """The three signals from one written panel, each written for the several readers that follow."""
+    """The three signals from one panel, which ``assets`` writes once. Each signal is read from its own written table."""
     days = standin.span(spark, sf)
-    panel = staged(_assets(spark, sf, (*RISK, "specific_return"), max_dates=days))
+    panel = _assets(spark, sf, (*RISK, "specific_return"), max_dates=days)
     made = {"standard": _standard, "industry": _industry, "idiosyncratic": _idiosyncratic}
-    return {n: _alphas(staged(make(spark, sf, panel, days))) for n, make in made.items()}, panel, days
+    return {n: _alphas(make(spark, sf, panel, days)) for n, make in made.items()}, panel, days
 
 
 def _strategy_returns(spark, sf):
@@ -200,8 +208,9 @@ def alpha(spark, sf):
 
 def project_exposures(spark, sf):
     days = standin.span(spark, sf)
-    momentum = signals.factor_momentum(standin.factors(spark, sf), standin.INDUSTRIES, days)
-    long = cs.normalise_exposures(standin.exposures(spark, sf), standin.INDUSTRIES)
+    typed = standin.typed_panel(spark, sf)
+    momentum = signals.factor_momentum(standin.factors(spark, sf, typed), standin.INDUSTRIES, days)
+    long = cs.normalise_exposures(standin.exposures(spark, sf, typed), standin.INDUSTRIES)
     return shown(cs.project_exposures(long, momentum, days * len(standin.INDUSTRIES)))
 
 
@@ -272,7 +281,7 @@ def cumulative_ic(spark, sf):
 
 def quantile_regression(spark, sf):
     long = ev.portfolios_long(_quantiles(spark, sf))
-    return shown(factor_regression(long, standin.factor_model(spark, sf), by="quantile"))
+    return shown(factor_regression(long, standin.factor_model(spark, sf), by="quantile"), 12, r_squared=10, t_stat=8)
 
 
 def mv_weights(spark, sf):
@@ -286,7 +295,7 @@ def _weights_under(*constraints):
 
 
 def portfolio_returns(spark, sf):
-    return shown(_portfolio(spark, sf), 9)
+    return shown(_portfolio(spark, sf), 12)
 
 
 def leverage(spark, sf):
@@ -306,7 +315,7 @@ def drawdown_summary(spark, sf):
 
 
 def returns_summary(spark, sf):
-    return shown(pf.returns_summary(_portfolio(spark, sf)))
+    return shown(pf.returns_summary(_portfolio(spark, sf)), 11)
 
 
 def cumulative_return(spark, sf):
@@ -323,7 +332,7 @@ def turnover_summary(spark, sf):
 
 
 def portfolio_regression(spark, sf):
-    return shown(factor_regression(_portfolio(spark, sf), standin.factor_model(spark, sf)))
+    return shown(factor_regression(_portfolio(spark, sf), standin.factor_model(spark, sf)), 12, r_squared=10, t_stat=8)
 
 
 def align_strategies(spark, sf):
@@ -340,7 +349,54 @@ def signal_correlation(spark, sf):
 
 
 def strategy_comparison(spark, sf):
-    return shown(compare.strategy_comparison(_strategy_returns(spark, sf)))
+    return shown(compare.strategy_comparison(_strategy_returns(spark, sf)), 11)
+
+
+# --- the same through ranges, files and total losses -----------------------------------------------------------------
+
+def rank_ic_ranges(spark, sf):
+    """Dates of more than 8 rows are ranked by value ranges."""
+    return shown(ev.rank_ic(_signal_table(spark, sf), _returns(spark, sf), group_rows=8))
+
+
+def quantile_portfolios_ranges(spark, sf):
+    return shown(ev.quantile_portfolios(_signal_table(spark, sf), 5, group_rows=8, returns=_returns(spark, sf)), 10)
+
+
+def signal_stats_ranges(spark, sf):
+    """Quartiles by repeated histograms, down to bins of 100 rows."""
+    return shown(ev.signal_stats(_signal_table(spark, sf), group_rows=100))
+
+
+def universe_panel(spark, sf):
+    """A written panel with a universe flag, read back through the flag and the dates."""
+    path = _folder(spark, "universe")
+    tables.write_table(_assets(spark, sf, ("ret", "price")).withColumn("in_universe", F.col("asset") % 3 != 0), path)
+    return shown(tables.load_panel(spark, path, START, END, ["asset", "dt", "price"]), 12)
+
+
+def glob_union(spark, sf):
+    """Two tables read as one through a pattern."""
+    path = _folder(spark, "parts")
+    rows = _signal(spark, sf).select("asset", "dt", "alpha", "ret")
+    for mode in ("in", "out"):
+        tables.write_table(ev.sample_split(rows, mode, SAMPLE_END), f"{path}/part-{mode}")
+    return shown(tables.read_table(spark, f"{path}/part-*"))
+
+
+def weights_round_trip(spark, sf):
+    """Weights written by year and read back as year files."""
+    path = _folder(spark, "years")
+    tables.write_by_year(_weights(spark, sf), path)
+    return shown(tables.read_year_files(spark, path).select("dt", "asset", "weight"), 9)
+
+
+def total_loss(spark, sf):
+    """Each asset held at 12.5 times its return, which makes the worst return, -8 percent, a total loss."""
+    held = _returns(spark, sf).withColumn("ret", F.col("ret") * 12.5)
+    falls = pf.drawdown_summary(pf.drawdown(held, "asset"), "asset")
+    summary = pf.returns_summary(held, "asset").select("asset", "count", "mean_annual_return", "total_return")
+    return shown(summary.join(falls, "asset"), 9, total_return=3)  # up to eight digits before the point
 
 
 def build() -> dict[str, Query]:
@@ -351,7 +407,8 @@ def build() -> dict[str, Query]:
         portfolio_metrics, spread_headline, rank_ic, rank_ic_joined, ic_summary, cumulative_ic, quantile_regression,
         mv_weights, portfolio_returns, leverage, leverage_summary, drawdown, drawdown_summary, returns_summary,
         cumulative_return, turnover, turnover_summary, portfolio_regression, align_strategies, strategy_correlation,
-        signal_correlation, strategy_comparison,
+        signal_correlation, strategy_comparison, rank_ic_ranges, quantile_portfolios_ranges, signal_stats_ranges,
+        universe_panel, glob_union, weights_round_trip, total_loss,
     ]
     found = {f.__name__: f for f in plain}
     found.update({

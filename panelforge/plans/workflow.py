@@ -12,17 +12,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import compare, crosssection as cs, evaluation as ev, portfolio as pf
 from ..operators.regression import factor_regression
-from ..sources.panel import read_table, require_columns, require_rows, write_by_year, write_table
+from ..sources.panel import read_table, require_columns, require_rows, require_unique_key, write_by_year, write_table
 from ..sources.staging import staged
 from . import signals
 from .sizing import span_days
 
 
+def _ordered(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables in reading order. Each holds at most a row per date and portfolio, so the sort is small."""
+    keys = ("strategy", "quantile", "dt", "bin")
+    out = {}
+    for name, df in report.items():
+        by = [k for k in keys if k in df.columns]
+        out[name] = df.orderBy(*by) if by else df
+    return out
+
+
 def create_signal(
     kind: str, path: str, assets: DataFrame, exposures: DataFrame | None = None, factors: DataFrame | None = None,
     columns: list[str] | None = None, **options,
 ) -> DataFrame:
-    """Write the ``standard``, ``idiosyncratic`` or ``industry`` signal to ``path``, replacing it, and read it back."""
+    """Write the ``standard``, ``idiosyncratic`` or ``industry`` signal to ``path``, replacing it, and read it back.
+
+    Two rows of an asset on one date raise: lags and rolling sums count rows.
+    """
+    require_unique_key(require_columns(assets, "asset", "dt"), "asset", "dt")
     if kind == "standard":
         signal = signals.standard_momentum(assets, **options)
     elif kind == "idiosyncratic":
@@ -44,7 +58,7 @@ def run_backtest(
     """Mean-variance weights of a written signal, one folder per year. A missing signal raises; run create_signal."""
     signal = read_table(spark, signal_path)
     require_columns(signal, "dt", "asset", "alpha", "specific_risk")
-    require_rows(signal, "signal")
+    require_unique_key(require_rows(signal, "signal"), "asset", "dt")
     write_by_year(pf.mv_weights(signal, gamma, constraints, span_days(signal)), weights_path)
     return read_table(spark, weights_path)
 
@@ -75,7 +89,7 @@ def signal_report(
     }
     if factors is not None:
         report["regression"] = factor_regression(long, factors, by="quantile")
-    return report
+    return _ordered(report)
 
 
 def portfolio_report(
@@ -106,7 +120,7 @@ def portfolio_report(
     }
     if factors is not None:
         report["regression"] = factor_regression(made, factors)
-    return report
+    return _ordered(report)
 
 
 def strategy_report(
@@ -119,11 +133,11 @@ def strategy_report(
     names = list(weights_paths)
     aligned = compare.align_stacked(made, names, base or names[0])
     found = compare.strategy_correlation(aligned, names)
-    return {
+    return _ordered({
         "aligned": aligned,
         "correlation": found.select(*[F.round(c, digits).alias(c) for c in found.columns]),
         "comparison": compare.strategy_comparison(made),
-    }
+    })
 
 
 def percent_returns(assets: DataFrame) -> DataFrame:

@@ -77,20 +77,43 @@ def _typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).join(part, "l_partkey")
 
 
-def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per asset and date, with for each part type the discounted lines, the lines and their net rates.
+
+    Exposures and factors both follow from it, so a plan that needs both reads and shuffles the lines once.
+    """
+    net = _cents("l_discount") - _cents("l_tax")
+    cells = []
+    for c in INDUSTRIES:
+        mine = F.col("p_type") == c[4:]
+        cells += [
+            F.sum(F.when(mine & (F.col("l_discount") > 0), F.lit(1.0))).alias(c),
+            F.sum(F.when(mine, net)).alias(f"net_{c}"), F.count(F.when(mine, net)).alias(f"n_{c}"),
+        ]
+    return staged(_typed_lines(spark, sf_dir).groupBy("asset", "dt").agg(*cells), "typed")
+
+
+def exposures(spark: SparkSession, sf_dir: str, typed: DataFrame | None = None) -> DataFrame:
     """Wide exposures: discounted lines per asset, date and part type; null where there are none."""
+    if typed is not None:
+        return typed.select("asset", "dt", *INDUSTRIES)
     cells = [
         F.sum(F.when((F.col("p_type") == c[4:]) & (F.col("l_discount") > 0), F.lit(1.0))).alias(c) for c in INDUSTRIES
     ]
     return _typed_lines(spark, sf_dir).groupBy("asset", "dt").agg(*cells)
 
 
-def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def factors(spark: SparkSession, sf_dir: str, typed: DataFrame | None = None) -> DataFrame:
     """Wide daily factor returns (percent), 0 where a part type was not shipped."""
     def cell(name: str):
-        return F.coalesce(_mean_net(F.col("p_type") == name[4:]), F.lit(0.0)).alias(name)
-
-    return _typed_lines(spark, sf_dir).groupBy("dt").agg(*[cell(c) for c in INDUSTRIES])
+        if typed is not None:
+            mean = F.try_divide(F.sum(f"net_{name}"), F.sum(f"n_{name}"))
+        else:
+            mean = _mean_net(F.col("p_type") == name[4:])
+        return F.coalesce(mean, F.lit(0.0)).alias(name)
+
+    lines = _typed_lines(spark, sf_dir) if typed is None else typed
+    return lines.groupBy("dt").agg(*[cell(c) for c in INDUSTRIES])
 
 
 def factor_model(spark: SparkSession, sf_dir: str) -> DataFrame:
