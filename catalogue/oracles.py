@@ -419,11 +419,13 @@ def build() -> dict[str, str]:
                                - row_number() over (partition by asset, drawdown < 0 order by dt) as run from dd),
             longest as (select asset, max(n) as n from (
                 select asset, run, count(*) as n from runs where drawdown < 0 group by 1, 2) group by 1)"""], f"""
+            select asset, count, mean_annual_return, {r('case when total > 1 then log10(total) else total end', 'total_return', 9)},
+                   mean_drawdown, max_drawdown, current_drawdown, longest_drawdown from (
             select dd.asset, count(ret) as count, {r('avg(ret)*252', 'mean_annual_return', 9)},
-                   {r('case when max(lost) = 1 then -1e0 else exp(sum(ln(nullif(greatest(1 + ret, 0), 0)))) - 1 end', 'total_return', 3)},
+                   case when max(lost) = 1 then -1e0 else exp(sum(ln(nullif(greatest(1 + ret, 0), 0)))) - 1 end as total,
                    {r('avg(drawdown)', 'mean_drawdown', 9)}, {r('min(drawdown)', 'max_drawdown', 9)},
                    {r('arg_max(drawdown, dt)', 'current_drawdown', 9)}, coalesce(any_value(n), 0) as longest_drawdown
-            from dd left join longest on longest.asset = dd.asset group by 1"""),
+            from dd left join longest on longest.asset = dd.asset group by 1)"""),
     }
     for name in ("rank_ic", "quantile_portfolios", "signal_stats"):
         found[f"{name}_ranges"] = found[name]

@@ -392,11 +392,16 @@ def weights_round_trip(spark, sf):
 
 
 def total_loss(spark, sf):
-    """Each asset held at 12.5 times its return, which makes the worst return, -8 percent, a total loss."""
+    """Each asset held at 12.5 times its return, which makes the worst return, -8 percent, a total loss.
+
+    Total returns above 1 are shown as their decimal logarithm; they reach 10^11.
+    """
     held = _returns(spark, sf).withColumn("ret", F.col("ret") * 12.5)
     falls = pf.drawdown_summary(pf.drawdown(held, "asset"), "asset")
     summary = pf.returns_summary(held, "asset").select("asset", "count", "mean_annual_return", "total_return")
-    return shown(summary.join(falls, "asset"), 9, total_return=3)  # up to eight digits before the point
+    total = F.col("total_return")
+    summary = summary.withColumn("total_return", F.when(total > 1, F.log10(total)).otherwise(total))
+    return shown(summary.join(falls, "asset"), 9)
 
 
 def build() -> dict[str, Query]:
