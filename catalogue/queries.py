@@ -63,10 +63,9 @@ def _idiosyncratic(spark, sf, assets=None, days=None):
 
 def _industry(spark, sf, assets=None, days=None, all_zero="score_zero"):
     days = days or standin.span(spark, sf)
-    typed = standin.typed_panel(spark, sf)
     return signals.industry_momentum(
-        _assets(spark, sf) if assets is None else assets, standin.exposures(spark, sf, typed),
-        standin.factors(spark, sf, typed), standin.INDUSTRIES, all_zero, max_dates=days,
+        _assets(spark, sf) if assets is None else assets, standin.exposures(spark, sf),
+        standin.factors(spark, sf), standin.INDUSTRIES, all_zero, max_dates=days,
     )
 
 
@@ -208,9 +207,8 @@ def alpha(spark, sf):
 
 def project_exposures(spark, sf):
     days = standin.span(spark, sf)
-    typed = standin.typed_panel(spark, sf)
-    momentum = signals.factor_momentum(standin.factors(spark, sf, typed), standin.INDUSTRIES, days)
-    long = cs.normalise_exposures(standin.exposures(spark, sf, typed), standin.INDUSTRIES)
+    momentum = signals.factor_momentum(standin.factors(spark, sf), standin.INDUSTRIES, days)
+    long = cs.normalise_exposures(standin.exposures(spark, sf), standin.INDUSTRIES)
     return shown(cs.project_exposures(long, momentum, days * len(standin.INDUSTRIES)))
 
 
