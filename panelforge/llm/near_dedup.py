@@ -2,8 +2,9 @@
 
 Every distinct shingle set is sketched once. In each of several independent trees a set starts in the node of one of its
 minwise tokens; a node that is too large branches by further tokens (1.25 children on average, chosen by the node, so all
-its sets go the same ways; over 1 / threshold, so that a pair's chance doesn't die out with depth), a small one compares its sets exhaustively by 1-bit sketches. Sets with a
-candidate are confirmed leaf by leaf on their full sets; links inside what is already connected are skipped.
+its sets go the same ways), a small one, or one without tokens left, compares its sets exhaustively by 1-bit sketches.
+Sets with a candidate are confirmed leaf by leaf on their full sets. A first pass over few trees connects large groups; the
+whole pass over all trees then only compares sets that it left unconnected.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .text import map_batches, mixed, shingle_hashes, text_of, word_hashes
 
 BITS, TREES, COORDINATES = 256, 12, 20
 """Bits of a sketch; trees; minwise tokens of 16 bits that a set has in each tree (2 a level)."""
-LEAF, NODE_ROWS, FIRST_TREES = 256, 20_000, 2
-"""Largest node compared exhaustively; largest node that one task splits further; trees confirmed first."""
+LEAF, NODE_ROWS, FIRST_TREES, SECOND = 256, 20_000, 2, 4
+"""Largest node that isn't split; largest node that one task splits; trees of the first pass; nodes of 16 with two children."""
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SEEDS = mixed(np.arange(1, 2 * BITS + 1, dtype=np.uint64)).astype(np.uint32)
 _FLIP, _ODD = _SEEDS[:BITS], _SEEDS[BITS:] | np.uint32(1)
@@ -79,70 +80,152 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), width)
 
 
-def _children(node: np.ndarray, level: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of every row: one child, and a second one in every fourth node."""
-    two = mixed(node ^ np.uint64(0x5DEECE66D)) >> np.uint64(62) == 0
+def _children(node: np.ndarray, level: np.ndarray, path: np.ndarray, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) of every row: one child, and another one in ``second`` of 16 nodes."""
+    two = mixed(node ^ np.uint64(0x5DEECE66D)) >> np.uint64(60) < second
     rows = np.concatenate([np.arange(len(node)), np.flatnonzero(two)])
     which = np.concatenate([np.zeros(len(node), dtype=np.int64), np.ones(int(two.sum()), dtype=np.int64)])
     token = path[rows, 2 * level[rows] + which].astype(np.uint64)
     return rows, mixed(mixed(node[rows] + which.astype(np.uint64)) ^ token)
 
 
-def candidate_leaves(node, ids, size, sketch, path, level, threshold: float, leaf: int = LEAF):
-    """(leaf, id) of the sets with a candidate partner. Nodes are split until they fit a leaf or no token is left.
+def _split(node, label, path, level, leaf: int, second: int):
+    """Per level (node, row) of the nodes that fit a leaf and of the larger ones without a token left, both sorted by node.
 
-    What still doesn't fit then shares more than half of its minwise tokens; it is cut into leaves that all hold the
-    node's first set, so they stay linked through it.
+    Nodes of one label are left out, their sets are connected.
     """
-    found_leaf, found_id = [], []
-    limit, last = widest(threshold), path.shape[1] // 2
-    row = np.arange(len(node))
+    row, last = np.arange(len(node)), path.shape[1] // 2
     while len(row):
         order = np.argsort(node, kind="stable")
         node, row, level = node[order], row[order], level[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         count = np.diff(np.concatenate((first, [len(node)])))
-        of_row = np.repeat(count, count)
-        large, spent = of_row > leaf, level >= last
-        packed = large & spent
-        a_node, a_row = node[~large & (of_row > 1)], row[~large & (of_row > 1)]
-        if packed.any():
-            place = np.arange(len(node)) - np.repeat(first, count)
-            pivot = np.repeat(first, count)
-            block = mixed(node[packed] + (place[packed] // (leaf - 1)).astype(np.uint64))
-            blocks, one = np.unique(block, return_index=True)
-            b_node = np.concatenate([block, blocks])
-            b_row = np.concatenate([row[packed], row[pivot[packed][one]]])
-            pair = np.unique(np.stack([b_node, b_row.astype(np.uint64)], axis=1), axis=0)
-            a_node, a_row = np.concatenate([a_node, pair[:, 0]]), np.concatenate([a_row, pair[:, 1].astype(np.int64)])
-        if len(a_node):
-            order = np.argsort(a_node, kind="stable")
-            a_node, a_row = a_node[order], a_row[order]
-            marked = np.zeros(len(a_node), dtype=bool)
-            for s in range(1, leaf):
-                left = np.flatnonzero(a_node[:-s] == a_node[s:])
-                if not len(left):
-                    break
-                i, j = a_row[left], a_row[left + s]
-                n, m = size[i], size[j]
-                fits = (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (ids[i] != ids[j])
-                left, i, j = left[fits], i[fits], j[fits]
-                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= limit
-                marked[left[near]] = True
-                marked[left[near] + s] = True
-            found_leaf.append(a_node[marked])
-            found_id.append(ids[a_row[marked]])
-        on = large & ~spent
+        of_node = label[row]
+        several = np.repeat(np.minimum.reduceat(of_node, first) != np.maximum.reduceat(of_node, first), count)
+        large = several & (np.repeat(count, count) > leaf)
+        small, packed = several & ~large, large & (level >= last)
+        yield node[small], row[small], node[packed], row[packed]
+        on = large & ~packed
         node, row, level = node[on], row[on], level[on]
         if len(row):
-            picked, child = _children(node, level, path[row])
+            picked, child = _children(node, level, path[row], second)
             node, row, level = child, row[picked], level[picked] + 1
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(found_leaf).view(np.int64) if found_leaf else empty,
-            np.concatenate(found_id) if found_id else empty)
 
 
-_NODE_COLUMNS = ("node", "tree", "level", "id", "n", "sketch", "path")
+def _pairs_of_leaves(node, row, label, size, sketch, threshold: float, leaf: int):
+    """Places (i, j) of the pairs of different labels in small nodes, sorted by node, whose sizes and sketches are near."""
+    limit = widest(threshold)
+    for s in range(1, leaf):
+        left = np.flatnonzero(node[:-s] == node[s:])
+        if not len(left):
+            break
+        for k in range(0, len(left), 1 << 17):
+            at = left[k:k + (1 << 17)]
+            i, j = row[at], row[at + s]
+            fits = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (label[i] != label[j])
+            at, i, j = at[fits], i[fits], j[fits]
+            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= limit
+            yield at[near], at[near] + s
+
+
+def _pairs_of_node(row, label, size, sketch, threshold: float, rows: int = 64):
+    """(row, row) of all pairs of different labels in one large node whose sizes and sketches are near."""
+    limit = widest(threshold)
+    _, of_label, count = np.unique(label[row], return_inverse=True, return_counts=True)
+    order = np.lexsort((of_label, -count[of_label]))
+    row, of_label = row[order], of_label[order]
+    end = np.concatenate((np.flatnonzero(of_label[1:] != of_label[:-1]) + 1, [len(row)]))
+    words, sizes = np.ascontiguousarray(sketch[row].T), size[row].astype(np.float64)
+    k = 0
+    while k < len(row):
+        stop = min(k + rows, len(row))
+        start = int(end[np.searchsorted(end, k, "right")])
+        if start < stop:
+            start = k
+        differ = np.zeros((stop - k, len(row) - start), dtype=np.uint16)
+        for word in words:
+            differ += np.bitwise_count(word[k:stop, None] ^ word[None, start:])
+        i, j = np.nonzero(differ <= limit)
+        i, j = i + k, j + start
+        fits = (i < j) & (of_label[i] != of_label[j]) & (
+            np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
+        yield row[i[fits]], row[j[fits]]
+        k = stop
+
+
+def _tiles(i: np.ndarray, j: np.ndarray, node: np.ndarray, leaf: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, row) that hold every pair (i, j): a connected group as one leaf, a larger one in tiles of two blocks."""
+    pair = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j))
+    rows, flat = np.unique(np.concatenate([pair // len(node), pair % len(node)]), return_inverse=True)
+    a, b = flat.reshape(2, -1)
+    group = np.arange(len(rows))
+    while (group[a] != group[b]).any():
+        x, y = group[a], group[b]
+        np.minimum.at(group, np.maximum(x, y), np.minimum(x, y))
+        while (group[group] != group).any():
+            group = group[group]
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(rows), dtype=np.int64)
+    place[order] = np.arange(len(rows)) - np.searchsorted(group[order], group[order], "left")
+    block = (place // leaf).astype(np.uint64)
+    of_group = mixed(mixed(node[rows[group]] + np.uint64(turn)) + rows[group].astype(np.uint64))
+    low, high = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+    tile = mixed(of_group[a] + (low << np.uint64(32)) + high)
+    tile, row = np.concatenate([tile, tile]), rows[flat]
+    order = np.lexsort((row, tile))
+    tile, row = tile[order], row[order]
+    new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (row[1:] != row[:-1])))
+    return tile[new].view(np.int64), row[new]
+
+
+def candidate_leaves(node, label, size, sketch, path, level, threshold: float, leaf: int = LEAF, second: int = SECOND, held: int = 1 << 22):
+    """(leaf, row) of the sets with a candidate partner of another label, a pair's two sets in one leaf.
+
+    Nodes are split until they fit a leaf or no token is left; both kinds are compared exhaustively, whatever their size.
+    """
+    pairs, n, turn = [], 0, 0
+
+    def found():
+        for at_node, at_row, packed, packed_row in _split(node, label, path, level, leaf, second):
+            for x, y in _pairs_of_leaves(at_node, at_row, label, size, sketch, threshold, leaf):
+                yield at_row[x], at_row[y]
+            bounds = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1], [True]))) if len(packed) else []
+            for x, y in zip(bounds[:-1], bounds[1:]):
+                yield from _pairs_of_node(packed_row[x:y], label, size, sketch, threshold)
+
+    for pair in found():
+        pairs.append(pair)
+        n += len(pair[0])
+        if n >= held:
+            yield _tiles(*map(np.concatenate, zip(*pairs)), node, leaf, turn)
+            pairs, n, turn = [], 0, turn + 1
+    if n:
+        yield _tiles(*map(np.concatenate, zip(*pairs)), node, leaf, turn)
+
+
+def first_leaves(node, label, size, sketch, path, level, threshold: float, leaf: int = LEAF):
+    """(leaf, row) of sets with a candidate partner, found in one pass whose leaves overlap little.
+
+    Only for connecting large groups early: nodes don't branch, and what doesn't fit a leaf at the end is cut into leaves
+    that share the node's first set. The pairs that this leaves out are met by ``candidate_leaves``.
+    """
+    for at_node, at_row, packed, packed_row in _split(node, label, path, level, leaf, 0):
+        if len(packed):
+            start = np.searchsorted(packed, packed, "left")
+            block = mixed(packed + ((np.arange(len(packed)) - start) // (leaf - 1)).astype(np.uint64))
+            blocks, one = np.unique(block, return_index=True)
+            pair = np.stack([np.concatenate([block, blocks]), np.concatenate([packed_row, packed_row[start[one]]]).astype(np.uint64)], axis=1)
+            pair = np.unique(pair, axis=0)
+            at_node, at_row = np.concatenate([at_node, pair[:, 0]]), np.concatenate([at_row, pair[:, 1].astype(np.int64)])
+            order = np.argsort(at_node, kind="stable")
+            at_node, at_row = at_node[order], at_row[order]
+        marked = np.zeros(len(at_node), dtype=bool)
+        for x, y in _pairs_of_leaves(at_node, at_row, label, size, sketch, threshold, leaf):
+            marked[x] = marked[y] = True
+        yield at_node[marked].view(np.int64), at_row[marked]
+
+
+_NODE_COLUMNS = ("node", "level", "id", "label", "n", "sketch", "path")
 
 
 def _grouped(batches, key: str, rows: int):
@@ -163,20 +246,21 @@ def _grouped(batches, key: str, rows: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _split_large(rows: DataFrame, node_rows: int) -> DataFrame:
-    """Nodes of more than ``node_rows`` rows branched on the cluster until every node fits a task."""
+def _split_large(rows: DataFrame, node_rows: int, whole: bool) -> DataFrame:
+    """Nodes of more than ``node_rows`` rows branched on the cluster until every node fits a task. Nodes of one label go."""
     last = COORDINATES // 2
     while True:
         sizes = staged(rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("rows"), F.min("level").alias("at"),
+            F.count(F.lit(1)).alias("rows"), F.min("level").alias("at"), (F.min("label") != F.max("label")).alias("several"),
             *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"pivot{k}") for k in range(4)]
         ).where(F.col("rows") > node_rows), "nodes")
         if sizes.isEmpty():
             return rows
         rows = staged(rows, "rows")
         small = rows.join(sizes.select("node"), "node", "left_anti")
+        sizes = sizes.where("several")
         large = rows.join(sizes.select("node", "at"), "node")
-        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(4)) == 0
+        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(16)) < (SECOND if whole else 0)
         which = F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         split = large.where(F.col("at") < last).withColumn("which", which)
         token = F.substring(F.col("path"), (F.col("level") * 2 + F.col("which")) * 2 + 1, F.lit(2))
@@ -195,30 +279,29 @@ def _split_large(rows: DataFrame, node_rows: int) -> DataFrame:
         rows = out
 
 
-def leaves(found: DataFrame, threshold: float, node_rows: int = NODE_ROWS, leaf: int = LEAF) -> DataFrame:
-    """(tree, leaf, id) of the sets that have a candidate partner in a leaf; ``found``: sketches, one row per set."""
-    trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(
+def leaves(found: DataFrame, threshold: float, node_rows: int = NODE_ROWS, leaf: int = LEAF, trees: int = TREES, whole: bool = True) -> DataFrame:
+    """(leaf, id, label) of the sets that have a candidate partner of another label in a leaf.
+
+    ``found``: id, n, sketch, tokens, label, one row per set. ``whole``: as ``candidate_leaves``, else as ``first_leaves``.
+    """
+    paths = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(
         F.col("tokens"), t * (2 * COORDINATES) + 1, F.lit(2 * COORDINATES))))
-    rows = found.select("id", "n", "sketch", trees.alias("tree", "path"))
+    rows = found.select("id", "label", "n", "sketch", paths.alias("tree", "path"))
     rows = rows.withColumn("node", F.xxhash64("tree", F.substring("path", 1, 2))).withColumn("level", F.lit(1))
-    rows = _split_large(rows.select(*_NODE_COLUMNS), node_rows)
+    rows = _split_large(rows.select(*_NODE_COLUMNS), node_rows, whole)
 
     def run(batches):
         for table in _grouped(batches, "node", 30_000):
             node = table.column("node").to_numpy().view(np.uint64)
-            tree = table.column("tree").to_numpy()
-            ids = table.column("id").to_numpy()
+            ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
             sketch = _matrix(table.column("sketch"), BITS // 64, "<u8")
             path = _matrix(table.column("path"), COORDINATES, "<u2")
             level, size = table.column("level").to_numpy().astype(np.int64), table.column("n").to_numpy()
-            for t in np.unique(tree):
-                own = tree == t
-                leaf_of, found_id = candidate_leaves(node[own], ids[own], size[own], sketch[own], path[own], level[own], threshold, leaf)
-                if len(leaf_of):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(leaf_of), t, dtype=np.int32)), pa.array(leaf_of), pa.array(found_id)], ["tree", "leaf", "id"])
+            make = candidate_leaves if whole else first_leaves
+            for leaf_of, row in make(node, label, size, sketch, path, level, threshold, leaf):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_of), pa.array(ids[row]), pa.array(label[row])], ["leaf", "id", "label"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "tree int, leaf bigint, id bigint")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "leaf bigint, id bigint, label bigint")
 
 
 # --- confirmation -----------------------------------------------------------------------------------------------
@@ -276,6 +359,24 @@ def confirmed(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return whole.select("leaf", "id", "label", "sketch", "found").mapInArrow(run, "a bigint, b bigint")
 
 
+def _sets(rows: DataFrame, reps: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """(id, sketch, found) of the sets in ``found`` (leaf, id), made again from the texts of ``rows`` (id, text)."""
+    ids = staged(found.select("id").distinct(), "ids")
+    needed = reps.join(ids, "id", "left_semi").select("id", "d1", "d2", "sketch").distinct()
+    texts = rows.where(F.col("id").isNotNull()).join(ids.hint("shuffle_hash"), "id", "left_semi")
+
+    def make():
+        def body(batch):
+            found = [shingles(t or "", size) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh3_128_intdigest(f.tobytes()) for f in found]
+            return {"id": batch.column("id"), "d1": [(d & (1 << 64) - 1) - (1 << 63) for d in digests],
+                    "d2": [(d >> 64) - (1 << 63) for d in digests], "found": [f.tobytes() for f in found]}
+        return body
+
+    sets = map_batches(texts, make, "id bigint, d1 bigint, d2 bigint, found binary")
+    return staged(sets.join(needed, ["id", "d1", "d2"]).select("id", "sketch", "found"), "sets")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
     node_rows: int = NODE_ROWS, leaf: int = LEAF,
@@ -297,29 +398,13 @@ def near_duplicates(
     usable = made.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = staged(usable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
     reps = usable.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"])
-    found = staged(leaves(reps.select("id", "n", "sketch", "tokens"), threshold, node_rows, leaf), "leaves")
-
-    needed = reps.join(found.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2", "sketch").distinct()
-    texts = rows.where(F.col("id").isNotNull()).join(found.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-
-    def make():
-        def body(batch):
-            found = [shingles(t or "", size) for t in batch.column("text").to_pylist()]
-            digests = [xxhash.xxh3_128_intdigest(f.tobytes()) for f in found]
-            return {"id": batch.column("id"), "d1": [(d & (1 << 64) - 1) - (1 << 63) for d in digests],
-                    "d2": [(d >> 64) - (1 << 63) for d in digests], "found": [f.tobytes() for f in found]}
-        return body
-
-    sets = map_batches(texts, make, "id bigint, d1 bigint, d2 bigint, found binary")
-    sets = staged(sets.join(needed, ["id", "d1", "d2"]).select("id", "sketch", "found"), "sets")
-
-    early = found.where(F.col("tree") < FIRST_TREES).select("leaf", "id", F.col("id").alias("label"))
-    first = staged(confirmed(early, sets, threshold), "links")
+    reps = staged(reps.select("id", "n", "d1", "d2", "sketch", "tokens"), "reps")
+    early = staged(leaves(reps.withColumn("label", F.col("id")), threshold, node_rows, leaf, FIRST_TREES, whole=False), "leaves")
+    first = staged(confirmed(early, _sets(rows, reps, early, size), threshold), "links")
     known = components(first)
-    late = found.where(F.col("tree") >= FIRST_TREES).select("leaf", "id").join(known, "id", "left")
-    late = staged(late.select("leaf", "id", F.coalesce("component", "id").alias("label")), "late")
-    mixed_leaves = late.groupBy("leaf").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("leaf")
-    second = staged(confirmed(late.join(mixed_leaves, "leaf"), sets, threshold), "links")
+    labelled = reps.join(known, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    late = staged(leaves(labelled, threshold, node_rows, leaf), "leaves")
+    second = staged(confirmed(late, _sets(rows, reps, late, size), threshold), "links")
     joined = staged(components(first.unionByName(second)), "components")
 
     several = classes.where(F.col("rep") != F.col("last")).select("d1", "d2", "rep")

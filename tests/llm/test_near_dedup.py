@@ -90,6 +90,25 @@ def test_large_groups(spark, crowd, limits):
     assert not wrong if not limits else len(wrong) <= 3, wrong
 
 
+def edited(rng, words, n, mark):
+    """A copy of ``words`` with ``n`` of them replaced by words of its own."""
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"{mark}{k}x{rng.randint(0, 10**9)}"
+    return words
+
+
+def test_copies_linked_through_one_original_alone(spark):
+    """Far too many for a leaf, none linked to another, in nodes without a token left."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(402)]
+    rows = [(i, " ".join(edited(rng, base, 10, f"e{i}_"))) for i in range(1, 500)]
+    rows[300] = (301, " ".join(base))
+    want = all_pairs(rows, 3, 85)
+    assert {c for _, c in want.values()} == {1}
+    assert result(near_duplicates(frame(spark, rows), size=3, threshold=0.85, leaf=32)) == want
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "two words"), (5, "TWO  words"), (6, "one"), (7, "é one"), (8, "É one"), (None, "one"),
             (9, "a b c d"), (9, "q r s t u"), (10, "a b c d"), (11, "long " * 50_000)]
