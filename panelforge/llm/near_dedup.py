@@ -246,13 +246,45 @@ def _grouped(batches, key: str, rows: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _dealt(rows: DataFrame, spent: DataFrame, part_rows: int) -> DataFrame:
+    """First pass only: nodes without tokens left dealt into parts, anew in each node, that share four of its sets."""
+    parts = F.ceil(F.col("rows") / part_rows).cast("int").alias("parts")
+    dealt = rows.join(spent.select("node", parts), "node").withColumn(
+        "node", F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.col("parts")).cast("int")))
+    pivots = spent.select("node", F.explode(F.array_distinct(F.array(*[f"pivot{k}" for k in range(4)]))).alias("id"), parts)
+    pivots = rows.join(pivots, ["node", "id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*_NODE_COLUMNS).unionByName(pivots.withColumn("node", F.xxhash64("node", "part")).select(*_NODE_COLUMNS))
+
+
+def _all_tiles(rows: DataFrame, spent: DataFrame, part_rows: int) -> DataFrame:
+    """Nodes without tokens left in tiles of two parts each, so that every pair of different labels shares a tile.
+
+    The sets of a node's most frequent label don't meet each other, so they are written once for each part of the others.
+    """
+    inside = rows.join(spent.select("node"), "node")
+    counts = staged(inside.groupBy("node", "label").agg(F.count(F.lit(1)).alias("rows")), "labels")
+    most = counts.groupBy("node").agg(
+        F.max(F.struct("rows", "label")).alias("top"), F.sum("rows").alias("all")).select(
+        "node", F.col("top.label").alias("top"), F.ceil(F.col("top.rows") / part_rows).cast("int").alias("of_top"),
+        F.ceil((F.col("all") - F.col("top.rows")) / part_rows).cast("int").alias("of_rest"))
+    inside = inside.join(most, "node").withColumn("is_top", F.col("label") == F.col("top"))
+    part = F.pmod(F.xxhash64("id", "node"), F.when(F.col("is_top"), F.col("of_top")).otherwise(F.col("of_rest"))).cast("int")
+    inside = inside.withColumn("part", part)
+    each_rest, each_top = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("of_rest", "of_top"))
+    with_top = F.transform(F.when(F.col("is_top"), each_rest).otherwise(each_top), lambda k: F.xxhash64(
+        "node", F.when(F.col("is_top"), k).otherwise(F.col("part")), F.lit("top"), F.when(F.col("is_top"), F.col("part")).otherwise(k)))
+    with_rest = F.transform(each_rest, lambda k: F.xxhash64("node", F.least("part", k), F.lit("rest"), F.greatest("part", k)))
+    tiles = F.when(F.col("is_top"), with_top).otherwise(F.concat(with_top, with_rest))
+    return inside.withColumn("node", F.explode(tiles))
+
+
 def _split_large(rows: DataFrame, node_rows: int, whole: bool) -> DataFrame:
     """Nodes of more than ``node_rows`` rows branched on the cluster until every node fits a task. Nodes of one label go."""
     last = COORDINATES // 2
     while True:
         sizes = staged(rows.groupBy("node").agg(
             F.count(F.lit(1)).alias("rows"), F.min("level").alias("at"), (F.min("label") != F.max("label")).alias("several"),
-            *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"pivot{k}") for k in range(4)]
+            *[F.min_by("id", F.xxhash64("id", "node", F.lit(k))).alias(f"pivot{k}") for k in range(4)]
         ).where(F.col("rows") > node_rows), "nodes")
         if sizes.isEmpty():
             return rows
@@ -268,14 +300,8 @@ def _split_large(rows: DataFrame, node_rows: int, whole: bool) -> DataFrame:
         out = small.select(*_NODE_COLUMNS).unionByName(split.select(*_NODE_COLUMNS))
         spent = sizes.where(F.col("at") >= last)
         if not spent.isEmpty():
-            # No token left: dealt out by id, and the same four sets join every part, so the parts stay linked.
-            parts = F.ceil(F.col("rows") / (node_rows // 2)).cast("int")
-            dealt = rows.join(spent.withColumn("parts", parts).select("node", "parts"), "node").withColumn(
-                "node", F.xxhash64("node", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-            pivots = spent.select("node", F.explode(F.array_distinct(F.array(*[f"pivot{k}" for k in range(4)]))).alias("id"), parts.alias("parts"))
-            pivots = rows.join(pivots, ["node", "id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
-                "node", F.xxhash64("node", F.col("part")))
-            return out.unionByName(dealt.select(*_NODE_COLUMNS)).unionByName(pivots.select(*_NODE_COLUMNS))
+            made = _all_tiles(rows, spent, node_rows // 2) if whole else _dealt(rows, spent, node_rows // 2)
+            return out.unionByName(made.select(*_NODE_COLUMNS))
         rows = out
 
 

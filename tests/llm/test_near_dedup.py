@@ -109,6 +109,19 @@ def test_copies_linked_through_one_original_alone(spark):
     assert result(near_duplicates(frame(spark, rows), size=3, threshold=0.85, leaf=32)) == want
 
 
+def test_pairs_in_one_large_node(spark):
+    """Pairs that only link to each other, in nodes without a token left that are too large for a task."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(402)]
+    rows = []
+    for i in range(200):
+        one = edited(rng, base, 10, f"e{i}_")
+        rows += [(i, " ".join(one)), (1000 + i, " ".join(edited(rng, one, 3, f"f{i}_")))]
+    want = all_pairs(rows, 3, 85)
+    assert all(c == i % 1000 for i, (_, c) in want.items())
+    assert result(near_duplicates(frame(spark, rows), size=3, threshold=0.85, node_rows=40, leaf=16)) == want
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "two words"), (5, "TWO  words"), (6, "one"), (7, "é one"), (8, "É one"), (None, "one"),
             (9, "a b c d"), (9, "q r s t u"), (10, "a b c d"), (11, "long " * 50_000)]
