@@ -1,8 +1,8 @@
 """Near duplicates: a chosen-path similarity join over minwise tokens, with links confirmed on full shingle sets.
 
 Every distinct shingle set is sketched once. In each of several independent trees a set starts in the node of one of its
-minwise tokens; a node that is too large branches by further tokens (1.25 children on average, chosen by the node, so all
-its sets go the same ways), a small one, or one without tokens left, compares its sets exhaustively by 1-bit sketches.
+minwise tokens; a node that is too large branches by further tokens (one child or two, chosen by the node, so all its sets
+go the same ways; as many as a pair's chance to meet needs at the last level), a small one, or one without tokens left, compares its sets exhaustively by 1-bit sketches.
 Sets with a candidate are confirmed leaf by leaf on their full sets. A first pass over few trees connects large groups; the
 whole pass over all trees then only compares sets that it left unconnected.
 """
@@ -22,8 +22,9 @@ from .text import map_batches, mixed, shingle_hashes, text_of, word_hashes
 
 BITS, TREES, COORDINATES = 256, 12, 20
 """Bits of a sketch; trees; minwise tokens of 16 bits that a set has in each tree (2 a level)."""
-LEAF, NODE_ROWS, FIRST_TREES, SECOND = 256, 20_000, 2, 4
-"""Largest node that isn't split; largest node that one task splits; trees of the first pass; nodes of 16 with two children."""
+LEAF, NODE_ROWS, FIRST_TREES, MISSED = 256, 20_000, 2, 1e-4
+"""Largest node that isn't split; largest node that one task splits; trees of the first pass; share of the pairs at the
+threshold that the trees may miss, and the sketches as well."""
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SEEDS = mixed(np.arange(1, 2 * BITS + 1, dtype=np.uint64)).astype(np.uint32)
 _FLIP, _ODD = _SEEDS[:BITS], _SEEDS[BITS:] | np.uint32(1)
@@ -68,10 +69,27 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, lambda: lambda batch: _sketched(batch, size), "id bigint, n bigint, d1 bigint, d2 bigint, sketch binary, tokens binary")
 
 
-def widest(threshold: float, sigmas: float = 3.5) -> int:
-    """The most differing sketch bits of a pair at ``threshold``, but for one in some 4,000 such pairs."""
-    p = (1 - threshold) / 2
-    return math.floor(BITS * p + sigmas * math.sqrt(BITS * p * (1 - p)))
+def widest(threshold: float) -> int:
+    """The most differing sketch bits of a pair at ``threshold``, but for a share of ``MISSED`` of such pairs."""
+    p, bits, within = (1 - threshold) / 2, 0, (1 - (1 - threshold) / 2) ** BITS
+    while bits < BITS and 1 - within > MISSED:
+        bits += 1
+        within += math.comb(BITS, bits) * p ** bits * (1 - p) ** (BITS - bits)
+    return bits
+
+
+def missed(threshold: float, second: int, branchings: int = COORDINATES // 2 - 1) -> float:
+    """Share of the pairs at ``threshold`` that meet in no tree if all their nodes branch to the last level."""
+    met = 1.0
+    for _ in range(branchings):
+        apart = 1 - threshold * met
+        met = 1 - (apart * (16 - second) + apart * apart * second) / 16
+    return (1 - threshold * met) ** TREES
+
+
+def second_children(threshold: float) -> int:
+    """Of 16 nodes, how many branch into two children: as few as keep ``missed`` at ``MISSED``, all at low thresholds."""
+    return next((k for k in range(16) if missed(threshold, k) <= MISSED), 16)
 
 
 # --- trees ------------------------------------------------------------------------------------------------------
@@ -178,12 +196,12 @@ def _tiles(i: np.ndarray, j: np.ndarray, node: np.ndarray, leaf: int, turn: int)
     return tile[new].view(np.int64), row[new]
 
 
-def candidate_leaves(node, label, size, sketch, path, level, threshold: float, leaf: int = LEAF, second: int = SECOND, held: int = 1 << 22):
+def candidate_leaves(node, label, size, sketch, path, level, threshold: float, leaf: int = LEAF, held: int = 1 << 22):
     """(leaf, row) of the sets with a candidate partner of another label, a pair's two sets in one leaf.
 
     Nodes are split until they fit a leaf or no token is left; both kinds are compared exhaustively, whatever their size.
     """
-    pairs, n, turn = [], 0, 0
+    pairs, n, turn, second = [], 0, 0, second_children(threshold)
 
     def found():
         for at_node, at_row, packed, packed_row in _split(node, label, path, level, leaf, second):
@@ -278,7 +296,7 @@ def _all_tiles(rows: DataFrame, spent: DataFrame, part_rows: int) -> DataFrame:
     return inside.withColumn("node", F.explode(tiles))
 
 
-def _split_large(rows: DataFrame, node_rows: int, whole: bool) -> DataFrame:
+def _split_large(rows: DataFrame, node_rows: int, whole: bool, second: int) -> DataFrame:
     """Nodes of more than ``node_rows`` rows branched on the cluster until every node fits a task. Nodes of one label go."""
     last = COORDINATES // 2
     while True:
@@ -292,7 +310,7 @@ def _split_large(rows: DataFrame, node_rows: int, whole: bool) -> DataFrame:
         small = rows.join(sizes.select("node"), "node", "left_anti")
         sizes = sizes.where("several")
         large = rows.join(sizes.select("node", "at"), "node")
-        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(16)) < (SECOND if whole else 0)
+        two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(16)) < second
         which = F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         split = large.where(F.col("at") < last).withColumn("which", which)
         token = F.substring(F.col("path"), (F.col("level") * 2 + F.col("which")) * 2 + 1, F.lit(2))
@@ -314,7 +332,7 @@ def leaves(found: DataFrame, threshold: float, node_rows: int = NODE_ROWS, leaf:
         F.col("tokens"), t * (2 * COORDINATES) + 1, F.lit(2 * COORDINATES))))
     rows = found.select("id", "label", "n", "sketch", paths.alias("tree", "path"))
     rows = rows.withColumn("node", F.xxhash64("tree", F.substring("path", 1, 2))).withColumn("level", F.lit(1))
-    rows = _split_large(rows.select(*_NODE_COLUMNS), node_rows, whole)
+    rows = _split_large(rows.select(*_NODE_COLUMNS), node_rows, whole, second_children(threshold) if whole else 0)
 
     def run(batches):
         for table in _grouped(batches, "node", 30_000):
@@ -415,9 +433,11 @@ def near_duplicates(
     texts without words have no set and no links. Rows that repeat an id share one component. A row without id has no
     component and is kept. Large classes and groups are never expanded into pairs.
 
-    A pair at the threshold meets in a leaf of a tree with a chance of the threshold itself where one level is enough,
-    and of about 0.5 after many levels, so ``TREES`` trees miss at most one in some 10,000; pairs above the threshold are
-    missed less, and a group is joined by any of its links.
+    Of the pairs at the threshold, the trees miss at most one in 10,000 (``MISSED``) if all 9 branchings are needed, as
+    computed by ``missed``, and the sketches another one in 10,000, by the binomial distribution of their bits. Below a
+    threshold of about 0.69 the trees miss more: ``missed(threshold, 16)``. Pairs above the threshold are missed less, and
+    a group is joined by any of its links. Nodes without a token left are compared whole, so their cost grows with the
+    square of the sets that the first pass leaves unconnected there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     made = staged(sketches(rows, size), "sketches")

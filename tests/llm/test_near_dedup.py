@@ -141,6 +141,16 @@ def test_sketch_estimates_similarity():
     assert abs((x == y).mean() - true) < 0.12 and abs(1 - 2 * ((x ^ y) & np.uint64(1)).mean() - true) < 0.18
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.95])
+def test_few_pairs_at_the_threshold_are_missed(threshold):
+    """By the model of the trees, and among sketches of pairs drawn at the threshold."""
+    assert near_dedup.missed(threshold, near_dedup.second_children(threshold)) <= 1e-4
+    rng = np.random.default_rng(3)
+    differ = rng.binomial(near_dedup.BITS, (1 - threshold) / 2, 400_000)
+    assert (differ > near_dedup.widest(threshold)).mean() <= 1.5e-4
+    assert near_dedup.second_children(0.8) > 4 and near_dedup.second_children(0.95) < near_dedup.second_children(0.8)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
