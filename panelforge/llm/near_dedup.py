@@ -421,6 +421,15 @@ def _sets(rows: DataFrame, reps: DataFrame, found: DataFrame, size: int) -> Data
     return staged(sets.join(needed, ["id", "d1", "d2"]).select("id", "sketch", "found"), "sets")
 
 
+def _links_of_ids(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from an id whose rows have different sets to the smallest ids of the classes of these sets."""
+    rows = made.where(F.col("id").isNotNull()).select("id", "d1", "d2")
+    of_set = F.struct(F.coalesce("d1", F.lit(0)), F.coalesce("d2", F.lit(0)))
+    several = rows.groupBy("id").agg(F.min(of_set).alias("x"), F.max(of_set).alias("y")).where("x != y").select("id")
+    own = rows.join(several, "id", "left_semi").distinct().join(classes, ["d1", "d2"])
+    return own.where(F.col("rep") != F.col("id")).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
     node_rows: int = NODE_ROWS, leaf: int = LEAF,
@@ -430,7 +439,8 @@ def near_duplicates(
     A set is the distinct runs of ``size`` words (A-Z lowered, split at ASCII white space), or the whole sequence where
     there are fewer words. Two documents are linked if their Jaccard similarity reaches ``threshold``, in whole percent,
     computed on the full sets. Equal sets form a class and only its smallest id goes through the trees. Null texts and
-    texts without words have no set and no links. Rows that repeat an id share one component. A row without id has no
+    texts without words have no set and no links. Rows that repeat an id share one component, also where their texts differ,
+    so all of them are kept or none. A row without id has no
     component and is kept. Large classes and groups are never expanded into pairs.
 
     Of the pairs at the threshold, the trees miss at most one in 10,000 (``MISSED``) if all 9 branchings are needed, as
@@ -451,7 +461,7 @@ def near_duplicates(
     labelled = reps.join(known, "id", "left").withColumn("label", F.coalesce("component", "id"))
     late = staged(leaves(labelled, threshold, node_rows, leaf), "leaves")
     second = staged(confirmed(late, _sets(rows, reps, late, size), threshold), "links")
-    joined = staged(components(first.unionByName(second)), "components")
+    joined = staged(components(first.unionByName(second).unionByName(_links_of_ids(made, classes))), "components")
 
     several = classes.where(F.col("rep") != F.col("last")).select("d1", "d2", "rep")
     out = made.select("id", "n", "d1", "d2").join(several, ["d1", "d2"], "left")

@@ -131,6 +131,12 @@ def test_edges(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rows = [(8, "a b c d"), (9, "a b c d"), (9, "q r s t u"), (9, None), (20, "q r s t u"), (21, "k l m n")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows), size=3, threshold=0.85).collect())
+    assert got == [(8, 8, True), (9, 8, False), (9, 8, False), (9, 8, False), (20, 8, False), (21, 21, True)]
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(2000)]
