@@ -127,9 +127,13 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = 3,
           max_docs: int = TRAINING_DOCS, buckets: int = BUCKETS) -> Ordinal:
-    """Fit on at most ``max_docs`` rated documents, those with the smallest hash of the id; only their buckets are collected."""
+    """Fit on at most ``max_docs`` rated documents, those with the smallest hash of the id; only their buckets are collected.
+
+    Of the rows of one id, the text with the smallest digest counts.
+    """
     sample = ratings.orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
     rated = docs.select(F.col(id_col), text_of(text_col).alias("__text")).join(F.broadcast(sample), id_col)
+    rated = rated.groupBy(id_col).agg(F.first("grade").alias("grade"), F.min_by("__text", F.sha2("__text", 256)).alias("__text"))
 
     def make():
         table = Buckets(buckets)

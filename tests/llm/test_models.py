@@ -99,3 +99,11 @@ def test_classifier_odd_rows(spark):
     assert qc.grade_documents(docs, qc.graded(labels), carry=("text",)).count() == 5
     assert {r.tail for r in qc.grade_documents(docs, qc.graded(labels.limit(0))).collect()} == {float(qc.sigmoid(-1.0))}
     assert qc.grade_documents(docs.limit(0), qc.graded(labels)).count() == 0
+
+
+def test_repeated_ids_train_once(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(qc, "fit", lambda rows, grades, levels, buckets: taken.append(len(rows)) or qc.Ordinal(np.zeros(buckets, np.float32), np.arange(2.0)))
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "another")], "doc_id long, text string")
+    qc.train(docs, spark.createDataFrame([(1, 0), (2, 2)], "doc_id long, grade int"), max_docs=2)
+    assert taken == [2]
