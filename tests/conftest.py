@@ -4,10 +4,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from helpers import DAY0  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,9 +25,6 @@ def spark():
     session.stop()
 
 
-DAY0 = dtm.date(2020, 1, 1)
-
-
 @pytest.fixture(scope="session")
 def series_of(spark):
     """(asset, dt, x) rows from {asset: values}, one day apart."""
@@ -33,8 +33,3 @@ def series_of(spark):
                 for a, vs in values.items() for i, v in enumerate(vs)]
         return spark.createDataFrame(rows, f"asset string, dt date, {name} double")
     return make
-
-
-def plan_of(df) -> str:
-    """Executed plan before adaptive changes."""
-    return df._jdf.queryExecution().executedPlan().toString()

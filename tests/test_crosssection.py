@@ -2,7 +2,7 @@ import datetime as dtm
 import math
 
 import pytest
-from conftest import DAY0, plan_of
+from helpers import DAY0, plan_of
 from pyspark.sql import functions as F
 
 from panelforge.functions import correlation, drop_null_rows, nan_to_zero, present, ratio

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DAY0
+from helpers import DAY0
 
 from panelforge.operators import compare, evaluation as ev
 

@@ -1,5 +1,9 @@
 """Every registered query against its SQL on DuckDB, over the whole tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -24,6 +28,13 @@ def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()) is None
 
 
+def test_queries_without_a_text_dependency():
+    code = ("import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))")
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(QUERIES)), "True"], said.stderr
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["asset", "dt", "ret", "price_lag", "momentum_zscore", "alpha", "signal"]

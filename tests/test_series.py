@@ -3,7 +3,7 @@ import datetime as dtm
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DAY0, plan_of
+from helpers import DAY0, plan_of
 from pyspark.sql import functions as F
 
 from panelforge.operators import series

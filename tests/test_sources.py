@@ -1,7 +1,7 @@
 import datetime as dtm
 
 import pytest
-from conftest import DAY0, plan_of
+from helpers import DAY0, plan_of
 from pyspark.errors import AnalysisException
 
 from panelforge.plans import workflow
