@@ -13,6 +13,8 @@ from ..sources.staging import staging_root
 from . import sql
 from .bpe import bpe_tokens
 from .decontamination import decontaminate
+from .fingerprints import fingerprint_documents
+from .hard_negatives import hard_negatives
 from .language_id import identify
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
@@ -22,6 +24,7 @@ from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
 from .text import table
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,8 +80,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels")))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def build() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_pii, op6_bpe, op7_quality_rules, op8_warc, op9_line_dedup, op10_quality_classifier)}
+    operators = (
+        op1_language, op2_decontamination, op3_near_dedup, op4_suffix_dedup, op5_pii, op6_bpe, op7_quality_rules, op8_warc,
+        op9_line_dedup, op10_quality_classifier, op11_fingerprints, op12_hard_negatives, op13_whitening)
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
 def oracles() -> dict[str, str]:

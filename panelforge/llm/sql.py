@@ -55,4 +55,21 @@ select page_id, payload_bytes, payload_digest,
 from p left join f using (payload_digest)
 """
 
-ORACLES = {"op8_warc": ARCHIVES, "op7_quality_rules": RULES, "op9_line_dedup": LINES}
+NEGATIVES = """
+with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.id as anchor_id, b.id as other_id, a.label = b.label as same,
+             list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::bigint as score
+      from v a join v b on a.id % 50 = 0 and a.id <> b.id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from (
+    select p.*, other_id as negative_id, score as negative_score,
+           row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank
+    from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+where rank <= 3
+"""
+
+ORACLES = {"op12_hard_negatives": NEGATIVES, "op8_warc": ARCHIVES, "op7_quality_rules": RULES, "op9_line_dedup": LINES}
