@@ -146,16 +146,22 @@ def _chunks(texts: list[str], most: int = CHUNK) -> Iterator[list[str]]:
         yield part
 
 
+def sketches(texts: list[str], keep: int = SIGNATURES) -> list[bytes]:
+    """The ``keep`` smallest signatures of each text, four bytes each, by size."""
+    return [s[:keep].astype(">u4").tobytes() for part in _chunks(texts) for s in signatures(part)]
+
+
 def fingerprints(texts: list[str], keep: int = SIGNATURES) -> list[str]:
-    """The ``keep`` smallest signatures of each text as hex digits, eight each, by size."""
-    return [s[:keep].astype(">u4").tobytes().hex() for part in _chunks(texts) for s in signatures(part)]
+    """Sketches as hex digits."""
+    return [s.hex() for s in sketches(texts, keep)]
 
 
-def likeness(a: str, b: str, keep: int = SIGNATURES) -> float:
-    """Share of the ``keep`` smallest signatures of both fingerprints together that are in both: an estimate of the sets' Jaccard similarity, exact if both have fewer."""
+def likeness(a: bytes | str, b: bytes | str, keep: int = SIGNATURES) -> float:
+    """Share of the ``keep`` smallest signatures of both sketches or fingerprints together that are in both: an estimate of the sets' Jaccard similarity, exact if both have fewer."""
     if a == b:
         return 1.0
-    x, y = ({f[i:i + 8] for i in range(0, len(f), 8)} for f in (a, b))
+    wide = 4 if isinstance(a, bytes) else 8
+    x, y = ({f[i:i + wide] for i in range(0, len(f), wide)} for f in (a, b))
     joint = sorted(x | y)[:keep]
     return sum(s in x and s in y for s in joint) / len(joint)
 
@@ -166,13 +172,13 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
-_OUT = ("n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+_OUT = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _compared(texts: list[str], nexts: list[str], own: list[str], following: list[str]) -> list[tuple]:
+def _compared(texts: list[str], nexts: list[str], own: list[bytes], following: list[bytes]) -> list[tuple]:
     changed = [edited(t, f) for t, f in zip(texts, nexts)]
-    prints = fingerprints(changed)
-    return [(len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), a, e, likeness(a, e), likeness(a, b))
+    prints = sketches(changed)
+    return [(len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest(), a, e, likeness(a, e), likeness(a, b))
             for t, c, a, e, b in zip(texts, changed, own, prints, following)]
 
 
@@ -196,7 +202,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, {_OUT}, edge int, h bigint, place bigint, text string"
     fields = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: pa.Array, found: list[tuple], edge: int | None, keys: list[list], texts: list[str | None]) -> pa.RecordBatch:
@@ -207,7 +213,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                  *[pa.array(c, pa.int64()) for c in keys], pa.array(texts, pa.string())],
                 ["id", *fields, "edge", "h", "place", "text"])
 
-        def end(at: int, ids: pa.Array, keys: list, text: str, mark: str) -> pa.RecordBatch:
+        def end(at: int, ids: pa.Array, keys: list, text: str, mark: bytes) -> pa.RecordBatch:
             return out(ids, [(len(text), None, mark, None, None, None)], at, [[k] for k in keys], [text])
 
         held = None  # the row whose next isn't known yet
@@ -216,7 +222,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 continue
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             keys = [batch.column(k).to_pylist() for k in ("h", "place")]
-            marks = fingerprints(texts)
+            marks = sketches(texts)
             if held is None:
                 yield end(0, ids[:1], [k[0] for k in keys], texts[0], marks[0])
                 known, seen, own = ids, texts, marks
@@ -240,11 +246,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     made = staged(dealt.mapInArrow(run, schema), "fingerprints")
     ends = made.where(F.col("edge").isNotNull())
     order = Window.orderBy("id", "h", "place", "edge")  # two rows per task
-    heads = ends.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
-    first = ends.orderBy("id", "h", "place", "edge").limit(1).select(
-        F.col("text").alias("first_text"), F.col("fingerprint").alias("first_fingerprint"))
-    tails = heads.where("edge = 1").join(F.broadcast(first)).withColumns({
-        "next_text": F.coalesce("next_text", "first_text"), "next_fingerprint": F.coalesce("next_fingerprint", "first_fingerprint")})
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tails = ends.select("*", *[F.coalesce(F.lead(c).over(order), F.first(c).over(whole)).alias(f"next_{c}") for c in ("text", "fingerprint")])
+    tails = tails.where("edge = 1")
     last = tails.select("id", "text", "next_text", "fingerprint", "next_fingerprint").mapInArrow(pairs, f"id {id_type}, {_OUT}")
-    columns = [F.col("id").alias(id_col), *fields]
+    columns = [F.col("id").alias(id_col), *[F.lower(F.hex(f)).alias(f) if k == pa.binary() else F.col(f) for f, k in zip(fields, kinds)]]
     return made.where(F.col("edge").isNull()).select(*columns).unionByName(last.select(*columns))
