@@ -206,6 +206,63 @@ def returns(name: str, source: str) -> str:
   from {source} w left join assets a on a.dt = w.dt and a.asset = w.asset group by 1)"""
 
 
+def factor_risk() -> list[str]:
+    """CTEs up to fcov (dt and f_i_j) and fw: weights from a Gauss-Jordan elimination per date."""
+    names, keep, g = [f"IND_{x}" for x in INDUSTRIES], "(1e0 - 2e0/64)", 591
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = ", ".join([f"sum(p*b.{n}) as s_{i}" for i, n in enumerate(names)] + [f"sum(p*b.{names[i]}*b.{names[j]}) as s_{i}_{j}" for i, j in pairs])
+    cov = ", ".join(f"case when n >= 60 then (s_{i}_{j}/w - s_{i}*s_{j}/(w*w))/(1 - ww/(w*w)) end as f_{i}_{j}" for i, j in pairs)
+    covariance = f"""
+frows as (select *, row_number() over (order by dt) as rn from factors),
+fsums as (
+  select a.dt, count(*) as n, sum(p) as w, sum(p*p) as ww, {sums}
+  from frows a join (select * from frows) b on b.rn <= a.rn, lateral (select pow({keep}, a.rn - b.rn) as p) group by 1),
+fcov as (select dt, {cov} from fsums)"""
+    z = [f"x_{i}" for i in range(k)] + ["alpha", "one", "beta"]
+    total = " + ".join(f"coalesce(e.{n}, 0)" for n in names)
+    shares = ", ".join(f"case when ({total}) > 0 then coalesce(e.{n}, 0)/({total}) else 0e0 end as x_{i}" for i, n in enumerate(names))
+    moments = ", ".join(f"sum(p*{z[i]}*{z[j]}) as m_{i}_{j}" for i in range(k + 3) for j in range(i, k + 3))
+
+    def m(i, j):
+        return f"m_{min(i, j)}_{max(i, j)}"
+
+    def times(i, j):
+        return " + ".join(f"f_{min(i, c)}_{max(i, c)}*{m(c, j)}" for c in range(k))
+
+    lines = [[f"{int(i == j)} + {times(i, j)}" for j in range(k)] + [times(i, k + 1), times(i, k + 2), times(i, k)] for i in range(k)]
+    lines += [[m(j, a) for j in range(k)] + [m(k + 1, a), m(k + 2, a), m(k, a)] for a in (k + 1, k + 2)]
+    matrix = "[" + ", ".join("[" + ", ".join(f"cast({c} as double)" for c in line) + "]" for line in lines) + "]"
+    n = k + 2
+    return [EXPOSURES, FACTORS, covariance, f"""
+frisk as (
+  select s.dt, s.asset, s.alpha, 1e0 as one, s.predicted_beta as beta, 1/pow(s.specific_risk, 2) as p, {shares}
+  from sig s left join exposures e on e.dt = s.dt and e.asset = s.asset),
+fmoments as (select dt, count(*) as n, {moments} from frisk group by 1),
+gauss as (
+  select dt, 1 as step, {matrix} as a from fmoments join fcov using (dt)
+  where n > 3 and {m(k + 1, k + 1)}*{m(k + 2, k + 2)} - pow({m(k + 1, k + 2)}, 2) > 1e-9*{m(k + 1, k + 1)}*{m(k + 2, k + 2)} and f_0_0 is not null
+  union all
+  select dt, step + 1, list_transform(a, lambda row, i: case when i = step then top else list_transform(row, lambda v, j: v - row[step]*top[j]) end)
+  from (select dt, step, a, list_transform(a[step], lambda v: v/a[step][step]) as top from gauss where step <= {n})),
+fw as (
+  select r.dt, r.asset, p/{g}*(alpha - a[{k + 1}][{n + 1}] - a[{k + 2}][{n + 1}]*beta - ({" + ".join(f"a[{i + 1}][{n + 1}]*x_{i}" for i in range(k))})) as weight
+  from frisk r join gauss s on s.dt = r.dt and s.step = {n + 1})"""]
+
+
+BOUNDED = """
+bq as (select dt, asset, alpha, 0.05e0*pow(specific_risk, 2) as q from sig),
+bounds as (select *, alpha - q*0.2e0 as full_at, alpha as none_at, count(*) over (partition by dt) as n from bq),
+marks as (select distinct dt, unnest([full_at, none_at]) as l from bounds where n*0.2e0 >= 1),
+sums as (select m.dt, m.l, sum(least(greatest((b.alpha - m.l)/b.q, 0), 0.2e0)) as total from marks m join bounds b on b.dt = m.dt group by 1, 2),
+ends as (select dt, max(l) filter (total >= 1) as lo, min(l) filter (total <= 1) as hi from sums group by 1),
+solved as (
+  select e.dt, coalesce((sum(alpha/q) filter (full_at <= lo and none_at >= hi) + coalesce(sum(0.2e0) filter (full_at >= hi), 0) - 1)
+                        / sum(1/q) filter (full_at <= lo and none_at >= hi), any_value(lo)) as l
+  from ends e join bounds b on b.dt = e.dt where lo < hi group by 1
+  union all select dt, lo from ends where lo >= hi),
+bw as (select b.dt, b.asset, least(greatest((alpha - l)/q, 0), 0.2e0) as weight from bounds b join solved s on s.dt = b.dt)"""
+
 WEIGHTS = [*SIGNAL, weights("w", "sig")]
 PORTFOLIO = [*WEIGHTS, returns("port", "w")]
 LEVERAGE = "lev as (select dt, coalesce(sum(abs(weight)), 0e0) as leverage from w group by 1)"
@@ -272,7 +329,7 @@ def corr(a: str, b: str, name: str) -> str:
 
 
 def query(parts: list[str], select: str) -> str:
-    return "with " + ",\n".join(parts) + "\n" + select
+    return "with recursive " + ",\n".join(parts) + "\n" + select
 
 
 def _series(name: str) -> str:
@@ -369,6 +426,10 @@ def build() -> dict[str, str]:
                                             f"select {d()}, asset, {r('weight', 'weight', 9)} from w"),
         "mv_weights_zero_beta": query([*SIGNAL, weights("w", "sig", False, True)],
                                       f"select {d()}, asset, {r('weight', 'weight', 9)} from w"),
+        "factor_covariance": query([FACTORS, factor_risk()[2]], " union all ".join(
+            f"select {d()}, {i} as i, {j} as j, {r(f'f_{i}_{j}', 'covariance', 9)} from fcov" for i in range(6) for j in range(i, 6))),
+        "mv_weights_factor_risk": query([*SIGNAL, *factor_risk()], f"select {d()}, asset, {r('weight', 'weight', 9)} from fw"),
+        "mv_weights_bounded": query([*SIGNAL, BOUNDED], f"select {d()}, asset, {r('weight', 'weight', 9)} from bw"),
         "portfolio_returns": query(PORTFOLIO, f"select {d()}, {r('ret', 'ret', 12)} from port"),
         "leverage": query([*WEIGHTS, LEVERAGE], f"select {d()}, {r('leverage', 'leverage', 9)} from lev"),
         "leverage_summary": query([*WEIGHTS, LEVERAGE], "select " + ", ".join(
@@ -406,7 +467,7 @@ def build() -> dict[str, str]:
             {r('stddev_samp(ret)*sqrt(252)', 'volatility', 11)}, {r('exp(sum(ln(1 + ret))) - 1', 'total_return', 11)},
             {r('avg(ret)*252/(stddev_samp(ret)*sqrt(252))', 'sharpe', 11)} from stacked group by 1"""),
         "universe_panel": query([ASSETS], f"""select asset, {d()}, {r('price', 'price', 12)} from assets
-            where asset % 3 <> 0 and dt between date '1996-01-01' and date '2000-12-31'"""),
+            where price > 13 and dt between date '1996-01-01' and date '2000-12-31'"""),
         "glob_union": query(SIGNAL, f"select asset, {d()}, {r('alpha', 'alpha')}, {r('ret', 'ret')} from sig"),
         "total_loss": query([ASSETS, """
             grown as (select asset, dt, ret/100*12.5e0 as ret,
@@ -429,5 +490,6 @@ def build() -> dict[str, str]:
     }
     for name in ("rank_ic", "quantile_portfolios", "signal_stats"):
         found[f"{name}_ranges"] = found[name]
+    found["project_exposures_sparse"] = found["project_exposures"]
     found["weights_round_trip"] = found["mv_weights"]
     return found

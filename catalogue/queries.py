@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import drop_null_rows
-from panelforge.operators import compare, crosssection as cs, evaluation as ev, portfolio as pf, series
+from panelforge.operators import compare, crosssection as cs, evaluation as ev, portfolio as pf, risk, series
 from panelforge.operators.regression import factor_regression
 from panelforge.plans import signals
 from panelforge.sources import panel as tables, staged, standin
@@ -292,6 +292,35 @@ def _weights_under(*constraints):
     return query
 
 
+def _covariance(spark, sf):
+    return risk.factor_covariance(standin.factors(spark, sf), standin.INDUSTRIES, 63, 60)
+
+
+def factor_covariance(spark, sf):
+    return shown(_covariance(spark, sf), 9)
+
+
+def project_exposures_sparse(spark, sf):
+    days = standin.span(spark, sf)
+    momentum = signals.factor_momentum(standin.factors(spark, sf), standin.INDUSTRIES, days)
+    sparse = cs.sparse_exposures(standin.exposures(spark, sf), standin.INDUSTRIES)
+    return shown(cs.project_exposures_sparse(sparse, momentum, standin.INDUSTRIES, days))
+
+
+def mv_weights_factor_risk(spark, sf):
+    """Weights without net investment or beta under the covariance of the factors and the specific risks."""
+    days = standin.span(spark, sf)
+    sparse = cs.sparse_exposures(standin.exposures(spark, sf), standin.INDUSTRIES)
+    found = risk.factor_risk_weights(_signal(spark, sf, days), sparse, _covariance(spark, sf), len(standin.INDUSTRIES), 591, BOTH, days)
+    return shown(found, 9)
+
+
+def mv_weights_bounded(spark, sf):
+    """Long only, at most a fifth in one asset, fully invested."""
+    days = standin.span(spark, sf)
+    return shown(risk.bounded_weights(_signal(spark, sf, days), 0.05, 0.0, 0.2, 1.0, days), 9)
+
+
 def portfolio_returns(spark, sf):
     return shown(_portfolio(spark, sf), 12)
 
@@ -367,9 +396,9 @@ def signal_stats_ranges(spark, sf):
 
 
 def universe_panel(spark, sf):
-    """A written panel with a universe flag, read back through the flag and the dates."""
+    """A written panel with a universe flag (a price floor), read back through the flag and the dates."""
     path = _folder(spark, "universe")
-    tables.write_table(_assets(spark, sf, ("ret", "price")).withColumn("in_universe", F.col("asset") % 3 != 0), path)
+    tables.write_table(_assets(spark, sf, ("ret", "price")).withColumn("in_universe", F.col("price") > 13), path)
     return shown(tables.load_panel(spark, path, START, END, ["asset", "dt", "price"]), 12)
 
 
@@ -411,7 +440,8 @@ def build() -> dict[str, Query]:
         mv_weights, portfolio_returns, leverage, leverage_summary, drawdown, drawdown_summary, returns_summary,
         cumulative_return, turnover, turnover_summary, portfolio_regression, align_strategies, strategy_correlation,
         signal_correlation, strategy_comparison, rank_ic_ranges, quantile_portfolios_ranges, signal_stats_ranges,
-        universe_panel, glob_union, weights_round_trip, total_loss,
+        universe_panel, glob_union, weights_round_trip, total_loss, factor_covariance, project_exposures_sparse,
+        mv_weights_factor_risk, mv_weights_bounded,
     ]
     found = {f.__name__: f for f in plain}
     found.update({

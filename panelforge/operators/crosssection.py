@@ -99,5 +99,36 @@ def project_exposures_wide(
     return scored.withColumn("__score", row_total(cells)).select("dt", "asset", F.col("__score").alias(out))
 
 
+def sparse_exposures(
+    exposures: DataFrame, columns: list[str], all_zero: str = "score_zero", index: tuple[str, ...] = ("dt", "asset"),
+) -> DataFrame:
+    """One row per asset and date with its shares above 0: places among ``columns`` (``at``, rising) and shares (``share``).
+
+    A row without any exposure has empty arrays (``score_zero``) or is left out (``drop``). Stored, it takes room for the
+    non-zero cells only, and scores need neither a row per cell nor a column per industry.
+    """
+    shares = exposure_shares(exposures, columns, all_zero)
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), nan_to_zero(c).alias("share")) for i, c in enumerate(columns)])
+    kept = shares.select(*index, F.filter(cells, lambda c: c["share"] > 0).alias("__cells"))
+    return kept.select(*index, F.col("__cells.at").alias("at"), F.col("__cells.share").alias("share"))
+
+
+def sparse_dot(at: str, share: str, vector: str):
+    """Sum of share times the vector's entry at its place; a missing vector or entry counts 0."""
+    pairs = F.zip_with(F.col(at), F.col(share), lambda i, s: s * F.get(F.col(vector), i))
+    return F.aggregate(F.coalesce(pairs, F.array().cast("array<double>")), F.lit(0.0), lambda total, x: total + null_to_zero(x))
+
+
+def project_exposures_sparse(
+    exposures: DataFrame, momentum: DataFrame, columns: list[str], max_dates: int | None = None, out: str = "momentum_score",
+) -> DataFrame:
+    """The scores of ``project_exposures`` from ``sparse_exposures``: the momentum of a date becomes one vector, which is
+    joined on the date and multiplied with each row's few cells."""
+    by_date = momentum.groupBy("dt").pivot("industry", columns).agg(F.first("momentum"))
+    by_date = by_date.select("dt", F.array(*columns).alias("__m"))
+    scored = join_small(exposures, by_date, "dt", max_dates and max_dates * len(columns))
+    return scored.select("dt", "asset", sparse_dot("at", "share", "__m").alias(out))
+
+
 def to_fraction(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: percent_to_fraction(c) for c in columns})

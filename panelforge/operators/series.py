@@ -102,51 +102,88 @@ def rolling_mean(df: DataFrame, key, order: str, value: str, window: int, out: s
     return rolling_sum(df, key, order, value, window, out).withColumn(out, F.col(out) / window)
 
 
+def decayed_sums(df: DataFrame, key, order: str, terms: dict[str, tuple[Column, float]], block_rows: int | None = None) -> DataFrame:
+    """For each (value, rate) of ``terms`` the sum over the series so far of value * rate^age; age counts rows, nulls add 0.
+
+    A scan in two levels. Rows are cut into blocks small enough for weights that grow with the place in the block, so
+    within a block these are plain running sums. Blocks are combined by doubling: a row holds the decayed sum over the
+    2^k blocks before its own and adds what the row 2^k blocks earlier holds, decayed by that distance, until the decay
+    is 0 in a double. All windows follow the order of the series, so they share its exchange, and no row carries a list.
+    """
+    fastest = max(-math.log(rate) for _, rate in terms.values())
+    block = block_rows or max(2, int(_LOG_RANGE / fastest))
+    w, keys = _window(key, order), [key] if isinstance(key, str) else list(key)
+    df = df.withColumn("__row", F.row_number().over(w) - 1)
+    df = df.withColumns({"__block": F.floor(F.col("__row") / block), "__pos": (F.col("__row") % block).cast("double")})
+    local = _so_far(Window.partitionBy(*keys, "__block").orderBy(order))
+    by_block = Window.partitionBy(*keys).orderBy("__block", order)  # the order of the series, and the one rows are in by then
+    df = df.withColumns({
+        name: F.coalesce(F.sum(value * F.pow(F.lit(rate), -F.col("__pos"))).over(local), F.lit(0.0))
+        * F.pow(F.lit(rate), F.col("__pos")) for name, (value, rate) in terms.items()})
+    closed = F.last(F.when(F.col("__pos") == block - 1, F.struct(*terms)), ignorenulls=True).over(
+        by_block.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("__before", closed)
+    step = 1
+    while max(rate for _, rate in terms.values()) ** (block * step) > 0.0:
+        df = df.withColumn("__earlier", F.lag("__before", block * step).over(by_block))
+        df = df.withColumn("__before", F.when(F.col("__earlier").isNull(), F.col("__before")).otherwise(F.struct(*[
+            (F.col("__before")[name] + F.col("__earlier")[name] * rate ** (block * step)).alias(name)
+            for name, (_, rate) in terms.items()])))
+        step *= 2
+    return df.withColumns({
+        name: F.col(name) + F.coalesce(F.col("__before")[name], F.lit(0.0)) * F.pow(F.lit(rate), F.col("__pos") + 1)
+        for name, (_, rate) in terms.items()}).drop("__row", "__block", "__pos", "__before", "__earlier")
+
+
 def ewm_std(
     df: DataFrame, key, order: str, value: str, span: int, min_periods: int, out: str, block_rows: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted, bias-corrected standard deviation with weights (1 - 2/(span+1))^age.
 
     Age counts rows, so a null ages the values before it. Null where the value is null, before ``min_periods``
-    values, and on the first value. Computed from running sums of weighted powers. Weights grow with the row
-    position, so the position restarts every ``block_rows`` rows (as many as a double's range allows, by default) and
-    the closing sums of all blocks before are carried on, each decayed by its distance.
+    values, and on the first value.
     """
     keep = 1.0 - 2.0 / (span + 1.0)
-    block = block_rows or max(2, int(_LOG_RANGE / (-2.0 * math.log(keep))))
     w = _window(key, order)
-    keys = [key] if isinstance(key, str) else list(key)
-    sums = ["__w", "__ww", "__x", "__xx"]
-    x, pos, weight = F.col("__dev"), F.col("__pos").cast("double"), F.col("__u")
-
     # deviations from the first value: a constant series then has exactly zero variance
     df = df.withColumns({
-        "__row": F.row_number().over(w) - 1,
         "__n": F.count(value).over(_so_far(w)),
         "__dev": F.col(value) - F.first(value, ignorenulls=True).over(_so_far(w)),
     })
-    df = df.withColumns({"__block": F.floor(F.col("__row") / block), "__pos": F.col("__row") % block})
-    df = df.withColumn("__u", F.when(x.isNotNull(), F.pow(F.lit(keep), -pos)))
-    local = _so_far(Window.partitionBy(*keys, "__block").orderBy(order))
-    power = {"__w": weight, "__ww": weight * weight, "__x": weight * x, "__xx": weight * x * x}
-    df = df.withColumns({c: F.sum(e).over(local) for c, e in power.items()})
-    rate = {c: keep * keep if c == "__ww" else keep for c in sums}
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(rate[c]), pos) for c in sums})
-    closing = F.when(F.col("__pos") == block - 1, F.struct(*sums))
-    df = df.withColumn("__closed", F.collect_list(closing).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-
-    def carried(c: str) -> Column:
-        return F.aggregate("__closed", F.lit(0.0), lambda total, row: total * rate[c] ** block + row[c])
-
-    df = df.withColumns({c: F.col(c) + carried(c) * F.pow(F.lit(rate[c]), pos + 1) for c in sums}).drop("__closed")
-    mean = ratio("__x", "__w")
-    spread = ratio("__xx", "__w") - mean * mean
-    variance = ratio(spread, 1.0 - ratio("__ww", F.col("__w") * F.col("__w")))
+    x = F.col("__dev")
+    one = F.when(x.isNotNull(), F.lit(1.0))
+    sums = {"__w": (one, keep), "__ww": (one, keep * keep), "__x": (x, keep), "__xx": (x * x, keep)}
+    df = decayed_sums(df, key, order, sums, block_rows)
     ready = F.col(value).isNotNull() & (F.col("__n") >= max(min_periods, 2))
-    return (
-        df.withColumn(out, F.when(ready, F.sqrt(F.greatest(variance, F.lit(0.0)))))
-        .drop("__row", "__n", "__dev", "__block", "__pos", "__u", *sums)
-    )
+    spread = _decayed_covariance("__x", "__x", "__xx")
+    return df.withColumn(out, F.when(ready, F.sqrt(F.greatest(spread, F.lit(0.0))))).drop("__n", "__dev", *sums)
+
+
+def _decayed_covariance(x: str, y: str, xy: str) -> Column:
+    """Covariance without bias from decayed sums of x, y, xy, and of weights ``__w`` and squared weights ``__ww``."""
+    spread = ratio(xy, "__w") - ratio(x, "__w") * ratio(y, "__w")
+    return ratio(spread, 1.0 - ratio("__ww", F.col("__w") * F.col("__w")))
+
+
+def ewm_cov(
+    df: DataFrame, key, order: str, x: str, y: str, span: int, min_periods: int, out: str, block_rows: int | None = None,
+) -> DataFrame:
+    """Exponentially weighted, bias-corrected covariance of two columns of a series; rows with a null in either count as
+    null. With ``x`` as ``y`` it is the square of ``ewm_std``."""
+    keep = 1.0 - 2.0 / (span + 1.0)
+    w = _window(key, order)
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    df = df.withColumn("__both", F.when(both, F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    df = df.withColumns({
+        "__n": F.count("__both").over(_so_far(w)), "__0": F.first("__both", ignorenulls=True).over(_so_far(w))})
+    df = df.withColumns({"__dx": F.col("__both.x") - F.col("__0.x"), "__dy": F.col("__both.y") - F.col("__0.y")})
+    dx, dy = F.col("__dx"), F.col("__dy")
+    one = F.when(dx.isNotNull(), F.lit(1.0))
+    sums = {"__w": (one, keep), "__ww": (one, keep * keep), "__x": (dx, keep), "__y": (dy, keep), "__xy": (dx * dy, keep)}
+    df = decayed_sums(df, key, order, sums, block_rows)
+    ready = both & (F.col("__n") >= max(min_periods, 2))
+    return df.withColumn(out, F.when(ready, _decayed_covariance("__x", "__y", "__xy"))).drop(
+        "__both", "__n", "__0", "__dx", "__dy", *sums)
 
 
 def vol_scaled_momentum(
