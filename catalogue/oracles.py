@@ -389,7 +389,8 @@ def build() -> dict[str, str]:
         "sample_summary": query(SIGNAL, """select strftime(min(dt), '%Y-%m-%d') as first_date,
             strftime(max(dt), '%Y-%m-%d') as last_date, count(distinct dt) as n_dates from sig"""),
         "signal_stats": query([*SIGNAL, f"mo as (select {moments} from sig)"], f"""select any_value(n) as count,
-            count(*) filter (where signal is null) as null_count, {r('any_value(m)', 'mean')},
+            count(*) filter (where signal is null) as null_count,
+            count(*) filter (where not isfinite(signal)) as nonfinite_count, {r('any_value(m)', 'mean')},
             {r('any_value(s)', 'std')}, {r('min(signal)', 'min')}, {r('quantile_cont(signal, 0.25)', 'p25')},
             {r('quantile_cont(signal, 0.5)', 'p50')}, {r('quantile_cont(signal, 0.75)', 'p75')},
             {r('max(signal)', 'max')}, {r('avg(pow((signal - m)/sp, 3))', 'skew')},
@@ -488,6 +489,18 @@ def build() -> dict[str, str]:
                    {r('arg_max(drawdown, dt)', 'current_drawdown', 9)}, coalesce(any_value(n), 0) as longest_drawdown
             from dd left join longest on longest.asset = dd.asset group by 1)"""),
     }
+    found["contract_counts"] = query([ASSETS], "select count(*) as rows, count(*) - count(distinct (asset, dt)) as repeated, " + ", ".join(
+        f"count(*) filter ({c} is null) as null_{c}" for c in ("asset", "dt", "ret", "price", "specific_risk", "predicted_beta")) + " from assets")
+    found["factor_gaps"] = query([FACTOR_MODEL, "long as (" + " union all ".join(
+        f"select dt, '{c}' as factor, {c} as ret from factor_model" for c in ("mktrf", "smb", "hml")) + ")"], """
+        select factor, count(*) as n_rows, count(*) filter (ret is null) as n_null, count(*) filter (rn >= 230 and recent > 0) as n_lost
+        from (select *, row_number() over (partition by factor order by dt) as rn, count(*) filter (ret is null) over (
+                  partition by factor order by dt rows between 229 preceding and current row) as recent from long) group by 1""")
+    found["signal_replaced"] = found["glob_union"].replace("round(alpha, 6)", "round(-alpha, 6)")
+    found["stored_panel"] = found["standard_momentum"]
+    found["workflow_summary"] = found["returns_summary"]
+    found["workflow_correlation"] = query([*THREE_RETURNS, ALIGNED],
+        f"select {r('corr(standard, idiosyncratic)', 'standard_vs_idiosyncratic', 2)} from aligned")
     for name in ("rank_ic", "quantile_portfolios", "signal_stats"):
         found[f"{name}_ranges"] = found[name]
     found["project_exposures_sparse"] = found["project_exposures"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions import drop_null_rows
 from panelforge.operators import compare, crosssection as cs, evaluation as ev, portfolio as pf, risk, series
 from panelforge.operators.regression import factor_regression
-from panelforge.plans import signals
+from panelforge.plans import signals, workflow
 from panelforge.sources import panel as tables, staged, standin
 from panelforge.sources.staging import staging_root
 
@@ -115,12 +115,19 @@ def _portfolio(spark, sf):
     return pf.portfolio_returns(_weights(spark, sf), _returns(spark, sf))
 
 
+def _scored(spark, sf):
+    """The signal and the returns of the whole panel, both from one written panel."""
+    panel, days = staged(_assets(spark, sf)), standin.span(spark, sf)
+    return _alphas(_standard(spark, sf, panel, days)), cs.to_fraction(panel.select("dt", "asset", "ret"), "ret")
+
+
 def _quantiles(spark, sf):
-    return ev.quantile_portfolios(_signal(spark, sf), 5, returns=_returns(spark, sf))
+    signal, returns = _scored(spark, sf)
+    return ev.quantile_portfolios(signal, 5, returns=returns)
 
 
 def _ics(spark, sf):
-    return ev.rank_ic(_signal(spark, sf), _returns(spark, sf))
+    return ev.rank_ic(*_scored(spark, sf))
 
 
 def _fraction_panel(spark, sf):
@@ -391,8 +398,8 @@ def quantile_portfolios_ranges(spark, sf):
 
 
 def signal_stats_ranges(spark, sf):
-    """Quartiles by repeated histograms, down to bins of 100 rows."""
-    return shown(ev.signal_stats(_signal_table(spark, sf), group_rows=100))
+    """Quartiles from a coarse sketch, so that a fifth of the rows lies around each place."""
+    return shown(ev.signal_stats(_signal_table(spark, sf), accuracy=20))
 
 
 def universe_panel(spark, sf):
@@ -431,6 +438,58 @@ def total_loss(spark, sf):
     return shown(summary.join(falls, "asset"), 9)
 
 
+def contract_counts(spark, sf):
+    """Rows, nulls and repeated keys of the panel, counted by the job that writes it."""
+    panel, seen = tables.with_contract(_assets(spark, sf), "asset", "dt", RISK)
+    tables.replace_table(panel, _folder(spark, "contract"))
+    return spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"{c} bigint" for c in seen.get))
+
+
+def factor_gaps(spark, sf):
+    """Nulls of the factor model's series and the rows whose window of 230 they break."""
+    long = cs.unpivot(standin.factor_model(spark, sf), ["dt"], ["mktrf", "smb", "hml"], "factor", "ret")
+    return series.series_gaps(long, "factor", "dt", "ret", 230)
+
+
+def signal_replaced(spark, sf):
+    """A signal written twice, the second time from itself, and read through its pointer."""
+    path = _folder(spark, "replaced")
+    tables.replace_table(_signal(spark, sf).select("asset", "dt", "alpha", "ret"), path)
+    tables.replace_table(tables.read_table(spark, path).withColumn("alpha", -F.col("alpha")), path)
+    return shown(tables.read_table(spark, path))
+
+
+def stored_panel(spark, sf):
+    """The standard signal of a panel that is stored by asset, so that its series need no exchange."""
+    name = f"panel_{uuid.uuid4().hex}"
+    panel = tables.store_by_series(_assets(spark, sf, ("ret", "price", "specific_risk")), name, _folder(spark, "by-series"), 8)
+    return _whole_signal(lambda spark, sf: _standard(spark, sf, panel))(spark, sf)
+
+
+def _written(spark, sf, *kinds):
+    """Signals and weights of some strategies, each written and read by the research steps; their folders."""
+    panel = _assets(spark, sf, (*RISK, "specific_return"), max_dates=standin.span(spark, sf))
+    made = {}
+    for kind in kinds:
+        made[kind] = _folder(spark, f"signal-{kind}"), _folder(spark, f"weights-{kind}")
+        workflow.create_signal(kind, made[kind][0], panel)
+        workflow.run_backtest(spark, *made[kind], 591, BOTH)
+    return made, workflow.percent_returns(panel)
+
+
+def workflow_summary(spark, sf):
+    """Panel to signal, weights and the report on them, through files."""
+    made, returns = _written(spark, sf, "standard")
+    signal, weights = made["standard"]
+    return shown(workflow.portfolio_report(spark, weights, signal, returns)["summary"], 11)
+
+
+def workflow_correlation(spark, sf):
+    """The rounded correlation of two strategies, through files."""
+    made, returns = _written(spark, sf, "standard", "idiosyncratic")
+    return workflow.strategy_report(spark, {n: w for n, (_, w) in made.items()}, returns)["correlation"]
+
+
 def build() -> dict[str, Query]:
     plain = [
         load_panel, exposures_wide, factors_wide, factors_long, drop_nulls_wide, ewm_std_min22, ewm_std_blocks, ewm_std_min1,
@@ -441,7 +500,8 @@ def build() -> dict[str, Query]:
         cumulative_return, turnover, turnover_summary, portfolio_regression, align_strategies, strategy_correlation,
         signal_correlation, strategy_comparison, rank_ic_ranges, quantile_portfolios_ranges, signal_stats_ranges,
         universe_panel, glob_union, weights_round_trip, total_loss, factor_covariance, project_exposures_sparse,
-        mv_weights_factor_risk, mv_weights_bounded,
+        mv_weights_factor_risk, mv_weights_bounded, contract_counts, factor_gaps, signal_replaced, stored_panel, workflow_summary,
+        workflow_correlation,
     ]
     found = {f.__name__: f for f in plain}
     found.update({

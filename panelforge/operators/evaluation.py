@@ -39,18 +39,21 @@ def sample_summary(df: DataFrame, date: str = "dt") -> DataFrame:
     )
 
 
-def signal_stats(df: DataFrame, column: str = "signal", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row: count, nulls, mean, std, min, quartiles, max, skewness, excess kurtosis. Read more than once."""
+def signal_stats(df: DataFrame, column: str = "signal", accuracy: int = 10_000) -> DataFrame:
+    """One row: count, nulls, NaN and infinite values, and of the others mean, std, min, quartiles, max, skewness, excess
+    kurtosis. Read three times, one column each; ``accuracy`` as in ``exact_percentiles``."""
     c = F.col(column)
+    finite = F.when(F.abs(c) < F.lit(float("inf")), c)
     moments = df.agg(
-        F.count(c).alias("count"), F.count_if(c.isNull()).alias("null_count"), F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.skewness(c).alias("skew"),
-        F.kurtosis(c).alias("kurtosis"),
+        F.count(finite).alias("count"), F.count_if(c.isNull()).alias("null_count"),
+        F.count_if(c.isNotNull() & finite.isNull()).alias("nonfinite_count"), F.avg(finite).alias("mean"),
+        F.stddev_samp(finite).alias("std"), F.min(finite).alias("min"), F.max(finite).alias("max"), F.skewness(finite).alias("skew"),
+        F.kurtosis(finite).alias("kurtosis"),
     )
     names = ["p25", "p50", "p75"]
-    quartiles = exact_percentiles(df, column, [0.25, 0.5, 0.75], names, group_rows)
+    quartiles = exact_percentiles(df, column, [0.25, 0.5, 0.75], names, accuracy)
     both = moments.withColumn("__k", F.lit(1)).join(quartiles.withColumn("__k", F.lit(1)), "__k")
-    return both.select("count", "null_count", "mean", "std", "min", *names, "max", "skew", "kurtosis")
+    return both.select("count", "null_count", "nonfinite_count", "mean", "std", "min", *names, "max", "skew", "kurtosis")
 
 
 def signal_histogram(df: DataFrame, column: str = "signal", bins: int = 50) -> DataFrame:

@@ -186,6 +186,21 @@ def ewm_cov(
         "__both", "__n", "__0", "__dx", "__dy", *sums)
 
 
+def series_gaps(df: DataFrame, key, order: str, value: str, window: int = 230) -> DataFrame:
+    """Per series: rows, null values, and the rows that lose a full window of ``window`` rows to a null (n_rows, n_null, n_lost).
+
+    A null costs the rows after it up to ``window``; overlapping gaps cost a row once. Rows before the first full window
+    count as lost only from the row on that would complete it.
+    """
+    w = _window(key, order)
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.withColumns({"__row": F.row_number().over(w), "__null": F.count_if(F.col(value).isNull()).over(_so_far(w))})
+    recent = F.col("__null") - F.coalesce(F.lag("__null", window).over(w), F.lit(0))
+    rows = rows.withColumn("__lost", (F.col("__row") >= window) & (recent > 0))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(value).isNull()).alias("n_null"), F.count_if("__lost").alias("n_lost"))
+
+
 def vol_scaled_momentum(
     df: DataFrame, key, order: str, value: str, span: int = 22, min_periods: int = 22, window: int = 230,
     skip: int = 22, out: str = "momentum",

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import compare, crosssection as cs, evaluation as ev, portfolio as pf
 from ..operators.regression import factor_regression
-from ..sources.panel import read_table, require_columns, require_rows, require_unique_key, write_by_year, write_table
+from ..sources.panel import (
+    check_contract, read_table, replace_table, require_columns, require_rows, require_unique_key, with_contract, write_by_year,
+)
 from ..sources.staging import staged
 from . import signals
 from .sizing import span_days
@@ -34,9 +36,12 @@ def create_signal(
 ) -> DataFrame:
     """Write the ``standard``, ``idiosyncratic`` or ``industry`` signal to ``path``, replacing it, and read it back.
 
-    Two rows of an asset on one date raise: lags and rolling sums count rows.
+    Two rows of an asset on one date raise: lags and rolling sums count rows. An empty panel and a null asset or date
+    raise, too. All of it is counted by the jobs that make the signal, and a refused signal leaves the old one in place.
     """
-    require_unique_key(require_columns(assets, "asset", "dt"), "asset", "dt")
+    require_columns(assets, "asset", "dt")
+    options["max_dates"] = options.get("max_dates") or max(span_days(df) for df in (assets, factors) if df is not None)
+    assets, seen = with_contract(assets, "asset", "dt")
     if kind == "standard":
         signal = signals.standard_momentum(assets, **options)
     elif kind == "idiosyncratic":
@@ -47,7 +52,7 @@ def create_signal(
         signal = signals.industry_momentum(assets, exposures, factors, columns, **options)
     else:
         raise ValueError(f"unknown signal {kind!r}")
-    write_table(signal, path)
+    replace_table(signal, path, lambda: check_contract(seen.get, "the panel", ("asset", "dt")))
     return read_table(assets.sparkSession, path)
 
 

@@ -1,10 +1,10 @@
 from .panel import (
-    load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, write_by_year,
-    write_table,
+    check_contract, current_version, load_panel, read_table, read_year_files, replace_table, require_columns, require_rows,
+    require_unique_key, store_by_series, with_contract, write_by_year, write_table,
 )
 from .staging import staged, staging_scope
 
 __all__ = [
-    "load_panel", "read_table", "read_year_files", "require_columns", "require_rows", "require_unique_key",
-    "write_by_year", "write_table", "staged", "staging_scope",
+    "check_contract", "current_version", "load_panel", "read_table", "read_year_files", "replace_table", "require_columns",
+    "require_rows", "require_unique_key", "store_by_series", "with_contract", "write_by_year", "write_table", "staged", "staging_scope",
 ]

@@ -63,7 +63,8 @@ def assets(
         (F.lit(10.0) + F.abs("s_acctbal") / 500).alias("specific_risk"),
         (F.lit(0.5) + (F.col("s_nationkey") % 10) / F.lit(10.0)).alias("predicted_beta"),
     )
-    panel = panel.join(supplier, "asset")
+    if set(columns) & set(supplier.columns):
+        panel = panel.join(supplier, "asset")
     if "specific_return" in columns:
         panel = staged(panel)
         market = panel.groupBy("dt").agg(F.avg("ret").alias("__market"))

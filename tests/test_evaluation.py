@@ -124,9 +124,9 @@ def test_sample_split(signal):
     assert (row.first_date, row.n_dates) == (DAY0, 60)
 
 
-@pytest.mark.parametrize("group_rows", [10, 10_000])
-def test_signal_stats(signal, group_rows):
-    row = ev.signal_stats(signal, "signal", group_rows).first()
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_signal_stats(signal, accuracy):
+    row = ev.signal_stats(signal, "signal", accuracy).first()
     x = signal.toPandas()["signal"]
     assert row["count"] == x.count() and row["null_count"] == x.isna().sum()
     assert row["mean"] == pytest.approx(x.mean()) and row["std"] == pytest.approx(x.std())
@@ -135,6 +135,13 @@ def test_signal_stats(signal, group_rows):
     assert row["skew"] == pytest.approx((z**3).mean()) and row["kurtosis"] == pytest.approx((z**4).mean() - 3)
 
 
+def test_signal_stats_set_nan_and_infinities_aside(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, None, float("nan"), float("inf"), float("-inf"))], "signal double")
+    row = ev.signal_stats(df).first()
+    assert (row["count"], row.null_count, row.nonfinite_count, row.min, row.p50, row.max) == (3, 1, 3, 1.0, 2.0, 4.0)
+    assert row["mean"] == pytest.approx(7 / 3) and row["std"] == pytest.approx(np.std([1, 2, 4], ddof=1))
+
+
 def test_histogram(signal, spark):
     x = signal.toPandas()["signal"].dropna()
     got = ev.signal_histogram(signal, bins=7).orderBy("bin").toPandas()

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import plan_of
 from panelforge.operators import ranking
 
 
@@ -41,16 +42,28 @@ def test_quantile_buckets(spark, group_rows):
     assert [r.b for r in got.orderBy("i").collect()] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
 
 
-@pytest.mark.parametrize("group_rows", [1, 50, 300])
-def test_large_groups_are_cut_small_enough(skewed, group_rows):
-    values = skewed.select("g", "v").distinct()
-    ranged = ranking.value_ranges(values, ["g"], "v", group_rows)
-    sizes = ranged.groupBy("g", "__range").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    found = sizes.orderBy("g", "__range").toPandas()
-    assert found["n"].max() <= group_rows
-    assert found["n"].sum() == values.count()
-    for _, part in found.groupby("g"):
-        assert (part["hi"].to_numpy()[:-1] < part["lo"].to_numpy()[1:]).all()
+def test_a_hot_group_is_spread_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["hot"] * 9000 + ["b", "c"] * 50, "v": rng.permutation(9100) / 7.0}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        values = df.groupBy("g", "v").count().withColumnRenamed("count", "n")
+        ranges = ranking._counted_ranges(values, ["g"], "v", "n")
+        assert plan_of(ranges).count("Exchange ") == 2
+        found = ranges.where("g = 'hot'").groupBy("__part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) >= 7 and max(r["count"] for r in found) < 2500
+
+
+def test_small_batches_count_on(spark, skewed):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = ranking.value_ranks(skewed, ["g"], "v", "r").toPandas().sort_values(["g", "v"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for _, part in got.groupby("g"):
+        assert (part.r_below.to_numpy() == np.cumsum(part.r_ties) - part.r_ties).all() and (part.r_n == part.r_ties.sum()).all()
 
 
 @pytest.mark.parametrize("group_rows", [2, 7])
@@ -62,22 +75,31 @@ def test_infinite_and_nan_values_rank_as_in_a_window(spark, group_rows):
     assert got == ranking.rank_counts(df, ["g"], "v", "r").select(*columns).orderBy("i").collect()
 
 
-@pytest.mark.parametrize("group_rows", [1, 3, 1000])
-def test_percentiles_leave_out_infinite_and_nan_values(spark, group_rows):
+@pytest.mark.parametrize("accuracy", [2, 3, 1000])
+def test_percentiles_leave_out_infinite_and_nan_values(spark, accuracy):
     inf, nan = float("inf"), float("nan")
     df = table(spark, {"x": [nan, inf, -inf, 4, 1.7e308, -1.7e308, 0, 5e-324, 1, 2, 2, 3] + [nan] * 10})
-    got = ranking.exact_percentiles(df, "v", [0.0, 0.125, 0.25, 0.5, 1.0], list("abcde"), group_rows).first()
+    got = ranking.exact_percentiles(df, "v", [0.0, 0.125, 0.25, 0.5, 1.0], list("abcde"), accuracy).first()
     assert tuple(got) == (-1.7e308, 0.0, 5e-324, 2.0, 1.7e308)
 
 
-@pytest.mark.parametrize("group_rows", [4, 100, 1_000_000])
-def test_exact_percentiles(spark, skewed, group_rows):
+@pytest.mark.parametrize("accuracy", [5, 40, 500, 10_000])
+def test_exact_percentiles(spark, skewed, accuracy):
     shares, names = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0], ["a", "b", "c", "d", "e", "f"]
-    got = ranking.exact_percentiles(skewed, "v", shares, names, group_rows).first()
+    got = ranking.exact_percentiles(skewed, "v", shares, names, accuracy).first()
     want = np.percentile(skewed.toPandas()["v"], [100 * s for s in shares])
     np.testing.assert_allclose(list(got), want, rtol=1e-12)
 
 
+def test_brackets_hold_few_rows(spark):
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=200_000)
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(16)
+    got = ranking.exact_percentiles(df, "v", [0.1, 0.5, 0.9], ["a", "b", "c"], 1000).first()
+    np.testing.assert_allclose(list(got), np.percentile(values, [10, 50, 90]), rtol=1e-13)
+    assert ranking._disjoint([(3, 4), (0, 1), (1, 2), (3.5, 9)]) == [(0, 2), (3, 9)]
+
+
 def test_percentiles_of_nothing_and_of_nulls(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert ranking.exact_percentiles(df, "v", [0.5], ["m"]).first().m is None

@@ -5,9 +5,10 @@ from helpers import DAY0, plan_of
 from pyspark.errors import AnalysisException
 
 from panelforge.plans import workflow
+from panelforge.operators import series
 from panelforge.sources import (
-    load_panel, read_table, read_year_files, require_columns, require_rows, require_unique_key, staged, staging_scope, standin,
-    write_by_year, write_table,
+    check_contract, current_version, load_panel, read_table, read_year_files, replace_table, require_columns, require_rows,
+    require_unique_key, staged, staging_scope, standin, store_by_series, with_contract, write_by_year, write_table,
 )
 from panelforge.sources.staging import checked, staging_root
 
@@ -180,3 +181,70 @@ def test_year_files_read_what_was_written(spark, tmp_path):
     write_by_year(days(2020, 2021), str(tmp_path))
     write_by_year(days(2021), str(tmp_path))
     assert sorted(r.weight for r in read_year_files(spark, str(tmp_path)).collect()) == [2020.0, 2021.0]
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    replace_table(spark.range(5), path)
+    before = current_version(spark, path)
+    broken = spark.range(100).selectExpr("if(id = 77, raise_error('lost'), id) as id").repartition(4)
+    with pytest.raises(Exception, match="lost"):
+        replace_table(broken, path)
+
+    def refuse():
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        replace_table(spark.range(9), path, refuse)
+    assert current_version(spark, path) == before and read_table(spark, path).count() == 5
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("v-")]) == 1
+
+
+def test_a_table_is_replaced_from_itself(spark, tmp_path):
+    path = str(tmp_path / "table")
+    replace_table(spark.range(5), path)
+    held = read_table(spark, path)
+    for k in (1, 2):
+        replace_table(read_table(spark, path).selectExpr("id + 1 as id"), path)
+        assert sorted(r.id for r in read_table(spark, path).collect()) == [k, 1 + k, 2 + k, 3 + k, 4 + k]
+        if k == 1:
+            assert held.count() == 5  # a reader that began before the switch
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_contract_is_counted_in_the_series_exchange(spark, series_of):
+    df = series_of({"a": [1, None, 3], "b": [4]}).unionByName(series_of({"a": [9]}))
+    counted, seen = with_contract(df, "asset", "dt", ["x"])
+    plan = plan_of(series.lag(counted, "asset", "dt", "x", 1, "y"))
+    assert plan.count("Exchange ") == 1
+    assert counted.count() == 5 and seen.get == {"rows": 5, "repeated": 1, "null_asset": 0, "null_dt": 0, "null_x": 1}
+    with pytest.raises(ValueError, match="unique"):
+        check_contract(seen.get)
+    for counts, said in (({"rows": 0, "repeated": 0}, "empty"), ({"rows": 1, "repeated": 0, "null_x": 2}, "nulls")):
+        with pytest.raises(ValueError, match=said):
+            check_contract(counts, "table", ("x",))
+
+
+def test_gaps(spark, series_of):
+    df = series_of({"a": [1, None, 3, 4, 5, 6, None, None, 9], "b": [1, 2, 3]})
+    got = {r.asset: (r.n_rows, r.n_null, r.n_lost) for r in series.series_gaps(df, "asset", "dt", "x", 3).collect()}
+    assert got == {"a": (9, 3, 5), "b": (3, 0, 0)}
+
+
+def test_a_panel_stored_by_series_needs_no_exchange(spark, series_of, tmp_path):
+    rows = series_of({f"a{i}": list(range(1, 30 + i)) for i in range(20)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    held = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(held, "false")
+    try:
+        x, y = (store_by_series(rows.withColumnRenamed("x", c), f"stored_{c}", str(tmp_path / c), 4) for c in "xy")
+        first = series.vol_scaled_momentum(x, "asset", "dt", "x", 3, 2, 5, 2)
+        second = series.rolling_sum(x, "asset", "dt", "x", 4, "total")
+        joined = x.join(y, ["asset", "dt"])
+        assert all("Exchange" not in plan_of(df) for df in (first, second, joined))
+        assert joined.count() == rows.count() and first.where("momentum is not null").count() > 0
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", held):
+            spark.conf.unset(c)
+        for c in "xy":
+            spark.sql(f"drop table if exists stored_{c}")
