@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,16 @@ def plain(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER, _MARKS)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, base, dtype=np.uint64)]))
+
+
 class Items:
-    """A block of benchmark items: token hashes, and their seeds (hashes of ``min_match`` tokens in a row), sorted."""
+    """A block of benchmark items: token hashes, and the distinct seeds (hashes of ``min_match`` tokens in a row) of each, sorted."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], min_match: int):
         self.ids = [i for i, _ in items]
@@ -32,21 +39,16 @@ class Items:
         self.sizes = sorted({min(min_match, len(t)) for t in self.tokens})
         self.seeds = {}
         for size in self.sizes:
-            hashes, item, place = [], [], []
-            for n, t in enumerate(self.tokens):
-                if min(min_match, len(t)) == size:
-                    h = shingle_hashes(t, size)
-                    hashes.append(h)
-                    item.append(np.full(len(h), n, dtype=np.int32))
-                    place.append(np.arange(len(h), dtype=np.int32))
-            h = np.concatenate(hashes)
+            found = [(np.unique(shingle_hashes(t, size)), n) for n, t in enumerate(self.tokens) if min(min_match, len(t)) == size]
+            h = np.concatenate([f for f, _ in found])
+            item = np.repeat(np.array([n for _, n in found], dtype=np.int32), [len(f) for f, _ in found])
             order = np.argsort(h, kind="stable")
-            self.seeds[size] = h[order], np.concatenate(item)[order], np.concatenate(place)[order]
+            self.seeds[size] = h[order], item[order]
 
-    def shared(self, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """The join of seeds: item -> places in the document and places in the item with equal seeds."""
-        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, (known, item, place) in self.seeds.items():
+    def shared(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """The join of seeds: item -> places in the document whose seed the item has, rising; a place once an item."""
+        out: dict[int, np.ndarray] = {}
+        for size, (known, item) in self.seeds.items():
             if len(words) < size:
                 continue
             h = shingle_hashes(words, size)
@@ -56,60 +58,85 @@ class Items:
                 continue
             n = np.searchsorted(known, h[hit], "right") - low[hit]
             at = np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            where, which, there = np.repeat(hit, n), item[at], place[at]
+            where, which = np.repeat(hit, n), item[at]
             order = np.argsort(which, kind="stable")
             cut = np.flatnonzero(np.diff(which[order])) + 1
             for part in np.split(order, cut):
-                out[int(which[part[0]])] = where[part], there[part]
+                out[int(which[part[0]])] = where[part]
         return out
 
 
-def tiles(where: np.ndarray, there: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the document, place in the item, length) from seed matches of ``size`` tokens.
+class _Marked:
+    """Tokens of which some are marked. Running sums give the hash of any window, and whether it is free, in one step."""
+
+    def __init__(self, words: np.ndarray, place: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
+        self.words, self.place, self.inverse = words, place, inverse
+        self.free = np.ones(len(words), dtype=bool)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers[:len(words)], dtype=np.uint64)])
 
-    Runs of seeds on one diagonal are the maximal matches. The longest whose tokens are free in both texts is marked,
-    then the next; a match that is partly marked is cut to its free runs, which wait their turn, down to ``size``.
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``size`` free tokens stand next to each other, and their hashes."""
+        n = len(self.words) - size + 1
+        if n <= 0:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero((taken[size:] == taken[:n]) & (self.place[size - 1:] - self.place[:n] == size - 1))
+        return at, (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, where: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the document, place in the item, length) of ``size`` tokens or more; none overlap.
+
+    The longest run that is free in both texts is marked, the first one in the document and then in the item if there
+    are several, and so on. A length is tried by comparing the hashes of all free windows of that length (Karp-Rabin);
+    runs contain shorter runs, so the longest is found by halving, and no run is longer than the one marked before. A
+    run is compared token by token before it is marked. ``where`` are the places of shared seeds: only tokens in one can
+    be matched. Memory is that of the tokens, whatever repeats in them.
     """
-    order = np.lexsort((where, where - there))
-    w, d = where[order], (where - there)[order]
-    cut = np.flatnonzero((np.diff(w) != 1) | (np.diff(d) != 0)) + 1
-    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(w)])) - 1
-    queue = [(-(int(w[b] - w[a]) + size), int(w[a]), int(w[a] - d[a])) for a, b in zip(first, last)]
-    heapq.heapify(queue)
-    in_doc: set[int] = set()
-    in_item: set[int] = set()
-    out = []
-    while queue:
-        n, a, b = heapq.heappop(queue)
-        free = [a + k not in in_doc and b + k not in in_item for k in range(-n)]
-        if all(free):
-            out.append((a, b, -n))
-            in_doc.update(range(a, a - n))
-            in_item.update(range(b, b - n))
+    reach = np.zeros(len(doc) + 1, dtype=np.int64)
+    np.add.at(reach, where, 1)
+    np.add.at(reach, np.minimum(where + size, len(doc)), -1)
+    place = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
+    n = max(len(place), len(item))
+    powers, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
+    left = _Marked(doc[place], place, powers, inverse)
+    right = _Marked(item, np.arange(len(item)), powers, inverse)
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        a, ha = left.windows(length)
+        b, hb = right.windows(length)
+        hit = np.isin(ha, hb)
+        return (a[hit], ha[hit], b, hb) if hit.any() else None
+
+    out, longest = [], min(len(place), len(item))
+    while longest >= size:
+        found = common(longest)
+        if found is None:
+            low, high = size - 1, longest
+            while high - low > 1:
+                middle = (low + high) // 2
+                if common(middle) is None:
+                    high = middle
+                else:
+                    low = middle
+            longest = low
             continue
-        k = 0
-        while k < -n:
-            start = k
-            while k < -n and free[k]:
-                k += 1
-            if k - start >= size:
-                heapq.heappush(queue, (start - k, a + start, b + start))
-            k += 1
+        a, ha, b, hb = found
+        start, there = int(a[0]), int(b[hb == ha[0]][0])
+        ends = slice(start, start + longest), slice(there, there + longest)
+        left.free[ends[0]] = right.free[ends[1]] = False
+        if (left.words[ends[0]] == right.words[ends[1]]).all():
+            out.append((int(place[start]), there, longest))
     return out
 
 
 def coverage(words: np.ndarray, items: Items) -> list[tuple[int, float]]:
     """(item, share of its tokens in tiles) for the items that share a seed with the document."""
     out = []
-    for item, (where, there) in items.shared(words).items():
-        total = len(items.tokens[item])
-        reach = np.zeros(total + 1, dtype=np.int64)
-        size = min(items.min_match, total)
-        np.add.at(reach, there, 1)
-        np.add.at(reach, there + size, -1)
-        if not (np.cumsum(reach)[:-1] > 0).any():
-            continue
-        out.append((item, sum(n for _, _, n in tiles(where, there, size)) / total))
+    for item, where in items.shared(words).items():
+        tokens = items.tokens[item]
+        found = tiles(words, tokens, where, min(items.min_match, len(tokens)))
+        out.append((item, sum(n for _, _, n in found) / len(tokens)))
     return out
 
 
