@@ -1,5 +1,7 @@
 """The native operators: rules, lines and personal data."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 import brute
 from panelforge.llm import queries
 from panelforge.llm.line_dedup import line_dedup
-from panelforge.llm.pii import find_pii, mod97
+from panelforge.llm.pii import before_each, find_pii, mod97
 from panelforge.llm.quality_rules import failing, quality_rules
 
 SF = "/root/testdata/sf0.01"
@@ -104,6 +106,36 @@ def test_added_kinds_and_scores(spark):
     assert find_pii(frame(spark, [])).count() == 0
 
 
+def test_context_words_stand_alone(spark):
+    rows = [(1, "the hotel antisocial club serial 123-45-6789"), (2, "insecurity in room 123-45-6789"), (3, "SSN: 123-45-6789"),
+            (4, "123-45-6789 (social security)"), (5, 'api_key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+            (6, "digest 04dbebab91ab85687d33eeaaf9ac699e1188f962"), (7, "token " + "ab1" * 12), (8, "secret " + "a1B2c3D4e5" * 9),
+            (9, "iban DE89370400440532013000 but DE8937040044053201300 not")]
+    out = {r.doc_id: [(s.kind, s.value) for s in r.pii] for r in find_pii(frame(spark, rows)).collect()}
+    assert [out[i] for i in (1, 2, 6, 7, 8)] == [[]] * 5 and out[3] == out[4] == [("ssn", "123-45-6789")]
+    assert out[5] == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")] and out[9] == [("iban", "DE89370400440532013000")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1023, 1024, 1025, 5000])
+def test_sums_before_each_place(spark, n):
+    sizes = [i * 7 % 13 for i in range(n)]
+    got = spark.createDataFrame([(sizes,)], "x array<int>").select(before_each(F.col("x"))).first()[0]
+    assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    def seconds(n):
+        df = frame(spark, [(1, " ".join(f"user{i}@mail{i}.org" for i in range(n)))])
+        start = time.perf_counter()
+        found = find_pii(df, carry=("text",)).selectExpr(
+            "size(pii) as n", "pii[size(pii) - 1].end as end", "char_length(text) as whole").first()
+        assert found.n == n and found.end == found.whole
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(32_000) < 12 * max(seconds(4_000), 0.5)
+
+
 def test_pii_query_digest(spark, documents):
     for r in queries.op5_pii(spark, SF).collect():
         want = brute.base_pii(dict(documents)[r.doc_id])
