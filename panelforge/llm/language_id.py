@@ -12,7 +12,14 @@ from .text import per_text, text_of
 
 HIDDEN, STEPS, PER_LANGUAGE, SNIPPET = 8, 220, 300, 1_024
 SEGMENT, TRAINED_LENGTH, LANES = 128, 48, 2_048
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); signs such as a half, circled or Roman numbers are none."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -139,7 +146,7 @@ def fit(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = STE
     """Train on windows of the samples, every language equally often, by Adam with a falling rate."""
     by: dict[str, list[np.ndarray]] = {}
     for data, lang in samples:
-        if len(data) >= 8:
+        if data:
             by.setdefault(lang, []).append(np.frombuffer(data, dtype=np.uint8))
     langs = sorted(by)
     net, rng = Net.random(langs, hidden, seed), np.random.default_rng(seed)
@@ -225,7 +232,7 @@ def identify(
         net = shared.value
 
         def body(texts):
-            known = [bool(net.langs) and _LETTER.search(t) is not None for t in texts]
+            known = [bool(net.langs) and has_letter(t) for t in texts]
             data = [_bytes(t) for t, k in zip(texts, known) if k]
             probability = iter(pooled(net, data) if data else ())
             rows = [next(probability) if k else None for k in known]

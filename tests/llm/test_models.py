@@ -50,6 +50,11 @@ def test_pooling_ignores_filling_and_order():
     assert np.allclose(together, [li.pooled(net, [t])[0] for t in texts]) and np.allclose(together.sum(axis=1), 1, atol=1e-5)
 
 
+def test_letters_by_category():
+    assert all(li.has_letter(t) for t in ("a", "1é", "中", "_ß", "ªx"))
+    assert not any(li.has_letter(t) for t in ("", "½ ②", "Ⅷ ①", "² 12_", "!?…", "🎉"))
+
+
 def test_language_query_held_out_accuracy(spark):
     rows = {r.doc_id: r for r in queries.op1_language(spark, SF).collect()}
     truth = dict(duckdb.sql(f"select doc_id, lang from '{SF}/documents.parquet'").fetchall())
