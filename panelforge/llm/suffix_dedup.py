@@ -51,7 +51,10 @@ def _hash(sums: np.ndarray, start: np.ndarray, size) -> np.ndarray:
 
 
 def segments(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor hash, content hash) of the segments: ``windows`` strings of ``length`` bytes from ``start`` on."""
+    """(start, windows, anchor hash, content hash, times) of the segments: ``windows`` strings of ``length`` bytes from ``start`` on.
+
+    Periodic text makes the same segment again and again; neighbours that are equal are one entry, ``times`` in a row.
+    """
     parts = []
     for offset in range(0, max(len(data) - length + 1, 0), PART):
         text = np.frombuffer(data[offset:offset + PART + length - 1], dtype=np.uint8)
@@ -70,9 +73,12 @@ def segments(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[n
         windows = np.diff(first, append=count)
         at = place[first]
         content = mixed(_hash(sums, first, windows + (length - 1)) + (at - first).astype(np.uint64))
-        parts.append((first + offset, windows, grams[at], content))
+        gram = grams[at]
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1]) | (windows[1:] != windows[:-1])])
+        head = np.flatnonzero(new)
+        parts.append((first[head] + offset, windows[head], gram[head], content[head], np.diff(head, append=len(first))))
     if not parts:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0, dtype=np.int64),)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -239,21 +245,22 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int = LENG
 # --- on the cluster ---------------------------------------------------------------------------------------------
 
 _SPOT = "id bigint, mark int, start bigint, windows int"
+_COUNTED = f"{_SPOT}, gram bigint, content bigint, times bigint"
 
 
 def _segments_of(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """One row per segment of each text (id, mark, data)."""
     def body(batch):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         for i, m, data in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "data"))):
-            start, windows, gram, content = segments(data, length, anchor)
+            start, windows, gram, content, times = segments(data, length, anchor)
             if len(start):
-                for column, values in zip(out, (np.full(len(start), i), np.full(len(start), m), start, windows, gram.view(np.int64), content.view(np.int64))):
+                for column, values in zip(out, (np.full(len(start), i), np.full(len(start), m), start, windows, gram.view(np.int64), content.view(np.int64), times)):
                     column.append(values)
         joined = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
-        return dict(zip(("id", "mark", "start", "windows", "gram", "content"), joined))
+        return dict(zip(("id", "mark", "start", "windows", "gram", "content", "times"), joined))
 
-    return map_batches(docs, lambda: body, f"{_SPOT}, gram bigint, content bigint")
+    return map_batches(docs, lambda: body, _COUNTED)
 
 
 def _cut_segments(texts: DataFrame, length: int, anchor: int, shard: int) -> DataFrame:
@@ -337,10 +344,10 @@ def remove_repeats(
         "mark", F.pmod(F.xxhash64(F.lit("mark"), "data"), F.lit((1 << 31) - 1)).cast("int"))
     long_enough = rows.where(F.octet_length("data") >= length).select("id", "mark", "data")
     all_spots = staged(_segments_of(long_enough, length, anchor), "segments")
-    twice = all_spots.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    twice = all_spots.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
     spots = staged(all_spots.join(twice, "gram", "left_semi"), "spots")
     place = F.struct("id", "mark", "start", "windows")
-    distinct = staged(spots.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "distinct")
+    distinct = staged(spots.groupBy("gram", "content").agg(F.sum("times").alias("copies"), F.min(place).alias("at")), "distinct")
 
     open_grams = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 and least = 1")
     looked_at = distinct.join(open_grams.select("gram", "n"), "gram").select(
@@ -353,7 +360,7 @@ def remove_repeats(
     sorted_out = _sort_shards(parts, length, shard, memory)
 
     copied = spots.join(distinct.where("copies > 1").select("gram", "content"), ["gram", "content"]).select(
-        "id", "mark", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+        "id", "mark", "start", (F.col("start") + F.col("windows") * F.col("times") + (length - 1)).alias("end"))
     spans = copied.unionByName(sorted_out).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     changed = map_batches(texts.join(spans, ["id", "mark"]), lambda: _removed, "id bigint, mark int, n_removed bigint, n_spans bigint, kept binary")
     changed = staged(changed.withColumn("kept_sha256", F.sha2("kept", 256)), "changed")

@@ -63,12 +63,24 @@ def test_segments_cover_all_windows_and_depend_on_content():
     rng = random.Random(3)
     shared = bytes(rng.randrange(97, 123) for _ in range(900))
     for before in (b"", b"x" * 333):
-        start, windows, gram, content = segments(before + shared)
-        assert start[0] == 0 and (start[1:] == start[:-1] + windows[:-1]).all() and start[-1] + windows[-1] == len(before + shared) - 199
+        start, windows, gram, content, times = segments(before + shared)
+        ends = start + windows * times
+        assert start[0] == 0 and (start[1:] == ends[:-1]).all() and ends[-1] == len(before + shared) - 199
     a, b = segments(shared), segments(b"y" * 77 + shared)
     assert set(a[2].tolist()) <= set(b[2].tolist()) and len(set(a[3].tolist()) & set(b[3].tolist())) >= len(a[3]) - 2
 
 
+@pytest.mark.parametrize("period", [b"a", b"ab", b"a line that repeats\n"])
+def test_periodic_texts_make_few_segments(spark, period):
+    data = period * (2_000_000 // len(period))
+    assert len(segments(data)[0]) < 50
+    rows = [(1, data.decode()), (2, "front " * 5 + data[:500].decode() + " and its end, which is not periodic at all"), (3, data[:150].decode())]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept == b"" and got[1].n_spans == 1 and got[1].n_removed == len(data)
+    want = brute_repeats([(1, data[:3000].decode()), *rows[1:]], 200)
+    assert tuple(got[2])[:5] == [w for w in want if w[0] == 2][0] and got[3].kept is None
+
+
 @pytest.fixture(scope="module")
 def crowd():
     rng = random.Random(5)
