@@ -13,7 +13,7 @@ from panelforge.operators import compare, crosssection as cs, evaluation as ev,
 from panelforge.operators.regression import factor_regression
 from panelforge.plans import signals, workflow
 from panelforge.sources import panel as tables, staged, standin
-from panelforge.sources.staging import staging_root
+from panelforge.sources.staging import scratch_folder
 
 BOTH = ("ZeroInvestment", "ZeroBeta")
 STRATEGIES = ("standard", "industry", "idiosyncratic")
@@ -38,9 +38,7 @@ def shown(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*out)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the cluster's shared storage."""
-    return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = scratch_folder
 
 
 # --- panels -----------------------------------------------------------------------------------------------------

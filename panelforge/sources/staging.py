@@ -43,7 +43,8 @@ _scope: ContextVar[list[str] | None] = ContextVar("staging_scope", default=None)
 
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside the block are deleted at its end; write the results that read them before.
+    """Tables staged and scratch folders asked for inside the block are deleted at its end; write the results that read
+    them before.
 
     Scopes nest and don't see each other's tables. Tables staged outside any scope stay until their folder is cleared.
     """
@@ -57,6 +58,15 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with the scope it was asked for in."""
+    path = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    mine = _scope.get()
+    if mine is not None:
+        mine.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -77,10 +87,7 @@ def staged(df: DataFrame, name: str = "panel") -> DataFrame:
     Select what is read later first: every column of ``df`` is written.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    mine = _scope.get()
-    if mine is not None:
-        mine.append(path)
     return checked(spark, path, seen.get["rows"])

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from catalogue import oracles, queries as catalogue
 from check import database, difference
+from panelforge.sources import staging_scope
 
 SF = "/root/testdata/sf0.01"
 QUERIES, SQL = catalogue.build(), oracles.build()
@@ -25,7 +26,8 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()) is None
+    with staging_scope(spark):
+        assert difference(QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()) is None
 
 
 def test_queries_without_a_text_dependency():

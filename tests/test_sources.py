@@ -8,7 +8,7 @@ from panelforge.plans import workflow
 from panelforge.operators import series
 from panelforge.sources import (
     check_contract, current_version, load_panel, read_table, read_year_files, replace_table, require_columns, require_rows,
-    require_unique_key, staged, staging_scope, standin, store_by_series, with_contract, write_by_year, write_table,
+    require_unique_key, scratch_folder, staged, staging_scope, standin, store_by_series, with_contract, write_by_year, write_table,
 )
 from panelforge.sources.staging import checked, staging_root
 
@@ -248,3 +248,13 @@ def test_a_panel_stored_by_series_needs_no_exchange(spark, series_of, tmp_path):
             spark.conf.unset(c)
         for c in "xy":
             spark.sql(f"drop table if exists stored_{c}")
+
+
+def test_scratch_folders_go_with_their_scope(spark, tmp_path):
+    import os
+
+    with staging_scope(spark):
+        path = scratch_folder(spark, "mine")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
