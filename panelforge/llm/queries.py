@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.staging import staging_root
+from ..sources.staging import scratch_folder
 from . import sql
 from .bpe import bpe_tokens
 from .decontamination import decontaminate
@@ -66,7 +65,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{staging_root(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
