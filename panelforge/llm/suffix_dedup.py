@@ -2,26 +2,26 @@
 
 Every string of ``length`` bytes picks the smallest hash among its short substrings, its anchor, so equal strings pick
 equal anchors. The strings that pick one anchor lie side by side and make a segment; only segments whose anchor occurs
-again can hold repeats. Equal segments are combined by hash; what differs goes, anchor by anchor, to shards whose
-suffixes are sorted by induction from the sorted LMS suffixes. The queues of the induction spill to disk.
+again can hold repeats. Equal segments are combined by hash; what differs goes, anchor by anchor, to the shards. A shard
+is what a task gets, of any size; its suffixes are sorted with their common prefixes by external induced sorting.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.staging import staged
-from .near_dedup import _grouped
+from .suffix_sort import MEMORY, room, suffix_order
 from .text import map_batches, mixed, text_of
 
 LENGTH, ANCHOR, PART = 200, 32, 1 << 22
-SHARD_SEGMENTS, QUEUE_BYTES = 6_000, 48 << 20
-"""Segments sorted together, about 300 bytes each, and bytes of the sorter's queues held in memory."""
+SHARD_SEGMENTS = 6_000
+"""Segments of one anchor, about 300 bytes each, that go to one task together; more are cut by where the string stands."""
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -82,164 +82,31 @@ def segments(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-# --- induced sorting --------------------------------------------------------------------------------------------
-
-class BucketQueue:
-    """Priority queue of positions by the byte they begin with, first in first out within a byte; spills to one file."""
-
-    def __init__(self, memory: int = QUEUE_BYTES):
-        self.memory, self.held = memory, 0
-        self.buckets: list[list] = [[] for _ in range(256)]
-        self.file, self.at = None, 0
-
-    def push(self, keys: np.ndarray, places: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        keys, places = keys[order], places[order]
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        for key, part in zip(keys[np.concatenate(([0], cut))].tolist(), np.split(places, cut)):
-            self.buckets[key].append(part)
-            self.held += part.nbytes
-        if self.held > self.memory:
-            self.spill()
-
-    def spill(self) -> None:
-        if self.file is None:
-            handle, path = tempfile.mkstemp()
-            self.file = os.fdopen(handle, "w+b")
-            os.unlink(path)  # the open file lives as long as the queue
-        for bucket in self.buckets:
-            for n, part in enumerate(bucket):
-                if isinstance(part, np.ndarray):
-                    self.file.seek(self.at)
-                    self.file.write(part.tobytes())
-                    bucket[n] = (self.at, part.dtype, len(part))
-                    self.at += part.nbytes
-        self.held = 0
-
-    def pop(self, key: int) -> np.ndarray:
-        """All positions of a byte, in the order they came."""
-        out = []
-        for part in self.buckets[key]:
-            if isinstance(part, np.ndarray):
-                self.held -= part.nbytes
-                out.append(part)
-            else:
-                self.file.seek(part[0])
-                out.append(np.frombuffer(self.file.read(part[1].itemsize * part[2]), dtype=part[1]))
-        self.buckets[key] = []
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def _is_s(text: np.ndarray) -> np.ndarray:
-    """Whether the suffix at each place is smaller than the next one; the last is not."""
-    step = np.diff(text.astype(np.int16))
-    places = np.flatnonzero(step)
-    after = np.searchsorted(places, np.arange(len(text)))
-    rising = np.concatenate((step[places] > 0, [False]))
-    return rising[after]
-
-
-def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, memory: int) -> np.ndarray:
-    """All suffixes in order, from the LMS places ``seeds`` in the order of their suffixes."""
-    heads = text[seeds]
-    bounds = np.searchsorted(heads, np.arange(257))
-    larger: list[list[np.ndarray]] = [[] for _ in range(256)]
-
-    def spread(places, queue, want_small):
-        """Pushes the places just before; returns none that is kept back. Types decide the direction."""
-        before = places[places > 0] - 1
-        before = before[small[before] == want_small]
-        if len(before):
-            queue.push(text[before], before)
-
-    def drained(queue, key, want_small):
-        rounds = []
-        while len(now := queue.pop(key)):
-            rounds.append(now)
-            spread(now, queue, want_small)
-        return rounds
-
-    up = BucketQueue(memory)
-    last = np.array([len(text) - 1])
-    up.push(text[last], last)  # the empty suffix comes first of all
-    for key in range(256):
-        larger[key] = drained(up, key, False)
-        if bounds[key] < bounds[key + 1]:
-            spread(seeds[bounds[key]:bounds[key + 1]], up, False)
-    up.close()
-    down, out = BucketQueue(memory), []
-    for key in range(255, -1, -1):
-        falling = drained(down, key, True)
-        rising = np.concatenate(larger[key]) if larger[key] else np.zeros(0, dtype=np.int64)
-        if len(rising):
-            spread(rising[::-1], down, True)
-        smaller = np.concatenate(falling)[::-1] if falling else np.zeros(0, dtype=np.int64)
-        out.append(np.concatenate([rising, smaller]))
-    down.close()
-    return np.concatenate(out[::-1])
-
-
-def suffix_order(text: np.ndarray, depth: int, memory: int = QUEUE_BYTES) -> np.ndarray:
-    """Places in the order of their suffixes, by the first ``depth`` bytes at least.
-
-    The LMS substrings are sorted by a first induction and named; the names, one string a third as long or less, are
-    ranked by doubling until they are distinct or reach ``depth``; a second induction from that order gives all suffixes.
-    """
-    small = _is_s(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if not len(lms):
-        return _induce(text, small, lms, memory)
-    rough = _induce(text, small, lms[np.argsort(text[lms], kind="stable")], memory)
-    is_lms = np.zeros(len(text), dtype=bool)
-    is_lms[lms] = True
-    order = rough[is_lms[rough]]
-    index = np.empty(len(text), dtype=np.int64)
-    index[lms] = np.arange(len(lms))
-    ends = np.append(lms[1:] + 1, len(text))
-    sums = _sums(text)
-    content = _hash(sums, lms, ends - lms)[index[order]]
-    names = np.empty(len(lms), dtype=np.int64)
-    names[index[order]] = np.cumsum(np.concatenate(([0], content[1:] != content[:-1])))
-    reach, distinct = 1, int(names.max()) + 1
-    while distinct < len(names) and reach < depth:  # an LMS substring has a byte of its own, at least
-        ahead = np.full(len(names), -1, dtype=np.int64)
-        ahead[:-reach or None] = names[reach:]
-        pair = names * (len(names) + 1) + ahead + 1
-        by = np.argsort(pair, kind="stable")
-        names[by] = np.cumsum(np.concatenate(([0], np.diff(pair[by]) != 0)))
-        reach, distinct = reach * 2, int(names.max()) + 1
-    return _induce(text, small, lms[np.argsort(names, kind="stable")], memory)
-
-
-def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int = LENGTH, memory: int = QUEUE_BYTES) -> list[np.ndarray]:
-    """For each part, which of its first ``windows`` strings of ``length`` bytes another place in the parts has too.
-
-    The parts are parted by a byte that no text has. Neighbours in the order of the suffixes whose common prefix
-    reaches ``length`` are repeats: equal by hash, then by their bytes.
+def repeated_windows(text: np.ndarray, sizes: np.ndarray, windows: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> np.ndarray:
+    """For each place of ``text``, whether the string of ``length`` bytes there begins elsewhere too.
+
+    The text is made of parts of ``sizes`` bytes, each followed by a byte that no text has; only the first ``windows``
+    strings of a part count. Suffixes that share ``length`` bytes lie side by side, told by the common prefixes.
     """
-    joint = np.frombuffer(b"\xff".join(parts) + b"\xff", dtype=np.uint8)
-    sizes = np.array([len(p) for p in parts])
+    wanted, twice = room(len(text), bool, memory), room(len(text), bool, memory)
+    twice[:] = False
     starts = np.cumsum(sizes + 1) - sizes - 1
-    wanted = np.zeros(len(joint) + 1, dtype=np.int8)
-    np.add.at(wanted, starts, 1)
-    np.add.at(wanted, starts + windows, -1)
-    wanted = np.cumsum(wanted[:-1]).astype(bool)
-    order = suffix_order(joint, length, memory)
-    order = order[wanted[order]]
-    sums = _sums(joint)
-    key = _hash(sums, order, length)
-    same = np.flatnonzero(key[1:] == key[:-1])
-    view = np.lib.stride_tricks.sliding_window_view(joint, length)
-    sure = [same[i:i + 4096][(view[order[same[i:i + 4096]]] == view[order[same[i:i + 4096] + 1]]).all(axis=1)] for i in range(0, len(same), 4096)]
-    same = np.concatenate(sure) if sure else same
-    twice = np.zeros(len(joint), dtype=bool)
-    twice[order[same]] = True
-    twice[order[same + 1]] = True
-    return [twice[a:a + n] for a, n in zip(starts, windows)]
+    wanted[:] = False
+    for a, n in zip(starts.tolist(), windows.tolist()):
+        wanted[a:a + n] = True
+    order, shared = suffix_order(text, length, memory)
+    group, held = 0, (np.zeros(0, dtype=np.int64),) * 2
+    for a in range(0, len(order), 1 << 16):
+        place = order[a:a + (1 << 16)]
+        groups = group + np.cumsum(shared[a:a + (1 << 16)] < length)
+        group = int(groups[-1])
+        counts = wanted[place]
+        place, groups = (np.concatenate(c) for c in zip(held, (place[counts], groups[counts])))
+        same = np.flatnonzero(groups[1:] == groups[:-1])
+        twice[place[same]] = True
+        twice[place[same + 1]] = True
+        held = place[-1:], groups[-1:]
+    return twice
 
 
 # --- on the cluster ---------------------------------------------------------------------------------------------
@@ -292,23 +159,42 @@ def _cut_segments(texts: DataFrame, length: int, anchor: int, shard: int) -> Dat
     return map_batches(texts, lambda: body, f"shard bigint, {_SPOT}, single boolean, data binary")
 
 
-def _sort_shards(parts: DataFrame, length: int, shard: int, memory: int) -> DataFrame:
-    """Repeated ranges (id, mark, start, end) in the single segments of each shard."""
+def _joint_text(batches, memory: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+    """The segments of a shard in one text, each followed by a byte that no text has, written batch by batch; and their other columns."""
+    with tempfile.TemporaryFile() as file:
+        rows = []
+        for batch in batches:
+            for data in batch.column("data"):
+                file.write(data.as_buffer())
+                file.write(b"\xff")
+            size = pa.compute.binary_length(batch.column("data"))
+            rows.append(batch.drop_columns(["data", "shard"]).append_column("size", size))
+        n = file.tell()
+        file.flush()
+        return np.memmap(file, dtype=np.uint8, mode="r", shape=(n,)) if n else np.zeros(0, dtype=np.uint8), rows
+
+
+def _sort_shards(parts: DataFrame, length: int, memory: int) -> DataFrame:
+    """Repeated ranges (id, mark, start, end) in the single segments. What a task gets is one shard, of any size."""
     def run(batches):
-        for table in _grouped(batches, "shard", shard):
-            windows = table.column("windows").to_numpy().astype(np.int64)
-            found = repeated_windows(table.column("data").to_pylist(), windows, length, memory)
+        text, rows = _joint_text(batches, memory)
+        if not len(text):
+            return
+        sizes, windows = (np.concatenate([b.column(c).to_numpy() for b in rows]).astype(np.int64) for c in ("size", "windows"))
+        twice, at = repeated_windows(text, sizes, windows, length, memory), 0
+        for batch in rows:
             out = []
-            for i, m, start, single, twice in zip(*(table.column(c).to_pylist() for c in ("id", "mark", "start", "single")), found):
-                if single and twice.any():
-                    edge = np.flatnonzero(np.diff(twice, prepend=False, append=False))
+            for i, m, start, n, single, size in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "start", "windows", "single", "size"))):
+                found = twice[at:at + n]
+                at += size + 1
+                if single and found.any():
+                    edge = np.flatnonzero(np.diff(found, prepend=False, append=False))
                     out += [(i, m, start + a, start + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "mark", "start", "end"])
 
-    parts = parts.repartition("shard").sortWithinPartitions("shard")
-    return parts.mapInArrow(run, "id bigint, mark int, start bigint, end bigint")
+    return parts.repartition("shard").mapInArrow(run, "id bigint, mark int, start bigint, end bigint")
 
 
 def _removed(batch: pa.RecordBatch) -> dict:
@@ -329,7 +215,7 @@ def _removed(batch: pa.RecordBatch) -> dict:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
-    shard: int = SHARD_SEGMENTS, memory: int = QUEUE_BYTES,
+    shard: int = SHARD_SEGMENTS, memory: int = MEMORY,
 ) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept.
 
@@ -357,7 +243,7 @@ def remove_repeats(
     concerned = spots.select("id", "mark").distinct()
     texts = staged(long_enough.join(concerned.hint("shuffle_hash"), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]), "texts")
     parts = _cut_segments(texts.join(listed, ["id", "mark"]), length, anchor, shard)
-    sorted_out = _sort_shards(parts, length, shard, memory)
+    sorted_out = _sort_shards(parts, length, memory)
 
     copied = spots.join(distinct.where("copies > 1").select("gram", "content"), ["gram", "content"]).select(
         "id", "mark", "start", (F.col("start") + F.col("windows") * F.col("times") + (length - 1)).alias("end"))

@@ -1,14 +1,16 @@
 """Removed repeats against a dictionary of all strings; the sorter against sorted()."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pytest
 
 import brute
-from panelforge.llm import queries
-from panelforge.llm.suffix_dedup import remove_repeats, repeated_windows, segments, suffix_order
+from panelforge.llm import queries, suffix_sort
+from panelforge.llm.suffix_dedup import remove_repeats, repeated_windows, segments
+from panelforge.llm.suffix_sort import DiskQueue, suffix_order
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,13 +39,61 @@ def result(df):
     return sorted([tuple(r)[:5] for r in df.collect()], key=str)
 
 
-@pytest.mark.parametrize("memory", [1 << 30, 64])
-def test_suffix_order(memory):
+def shared(a, b, most):
+    return next((k for k in range(min(len(a), len(b), most)) if a[k] != b[k]), min(len(a), len(b), most))
+
+
+@pytest.mark.parametrize("memory", [1 << 30, 4096, 64])
+def test_suffix_order_and_common_prefixes(memory):
     rng = random.Random(1)
-    for _ in range(120):
+    for _ in range(150):
         text = bytes(rng.choice(b"abc"[:rng.randint(1, 3)]) for _ in range(rng.randint(1, 60))) * rng.choice([1, 1, 2, 4])
-        got = suffix_order(np.frombuffer(text, dtype=np.uint8), len(text), memory).tolist()
-        assert got == sorted(range(len(text)), key=lambda i: text[i:])
+        depth = rng.choice([5, 60, len(text)])
+        order, prefixes = suffix_order(np.frombuffer(text, dtype=np.uint8), depth, memory)
+        cut = [text[i:i + depth] for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(len(text))) and cut == sorted(cut)
+        assert prefixes.tolist() == [0] + [shared(a, b, depth) for a, b in zip(cut, cut[1:])]
+
+
+def test_shard_many_times_the_memory():
+    """Twice the text takes no more memory; recursion and runs on disk are used, and the order is that of one piece."""
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    memory, depths, spilled, peaks = 100_000, [], [], []
+    inner, spill = suffix_sort.suffix_order, suffix_sort.DiskQueue.spill
+    for n in (30_000, 60_000):
+        text = np.frombuffer(b" ".join(rng.choice(words) for _ in range(n)), dtype=np.uint8)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffix_sort, "suffix_order", lambda t, d, m: depths.append(d) or inner(t, d, m))
+            patch.setattr(suffix_sort.DiskQueue, "spill", lambda q: spilled.append(q.held) or spill(q))
+            patch.setattr(suffix_sort, "_BLOCK", 1 << 9)
+            tracemalloc.start()
+            got, prefixes = suffix_sort.suffix_order(text, 200, memory)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        want, want_prefixes = inner(text, 200)
+        assert (got == want).all() and (prefixes == want_prefixes).all()
+    assert len(depths) >= 4 and len(spilled) > 50 and max(spilled) < 2 * memory
+    assert 9 * len(text) > 30 * memory and peaks[1] < 1.2 * peaks[0], (peaks, len(text))
+
+
+def test_queue_is_first_in_first_out():
+    rng, queue, waiting = np.random.default_rng(0), DiskQueue(500), {}
+    key = n = 0
+    while n < 3000 or waiting:
+        if n < 3000:
+            keys = np.sort(rng.integers(key, key + 20, 30))
+            for k, place in zip(keys.tolist(), range(n, n + 30)):
+                waiting.setdefault(k, []).append(place)
+            queue.push(keys, np.arange(n, n + 30), np.zeros(30, dtype=np.int16))
+            n += 30
+        key = queue.next_key()
+        assert key == min(waiting)
+        for place in queue.pop(key, 7)[0].tolist():
+            assert waiting[key].pop(0) == place
+        if not waiting[key]:
+            del waiting[key]
+    assert queue.next_key() is None and len(queue.runs) > 5
 
 
 def test_repeated_windows():
@@ -51,12 +101,13 @@ def test_repeated_windows():
     for _ in range(60):
         parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(1, 6))]
         windows = np.array([len(p) - 7 for p in parts])
+        text = np.frombuffer(b"".join(p + b"\xff" for p in parts), dtype=np.uint8)
         count = {}
         for p, n in zip(parts, windows):
             for i in range(n):
                 count[p[i:i + 8]] = count.get(p[i:i + 8], 0) + 1
-        for p, n, got in zip(parts, windows, repeated_windows(parts, windows, 8, 100)):
-            assert got.tolist() == [count[p[i:i + 8]] > 1 for i in range(n)]
+        want = [i < n and count[p[i:i + 8]] > 1 for p, n in zip(parts, windows) for i in range(len(p) + 1)]
+        assert repeated_windows(text, np.array([len(p) for p in parts]), windows, 8, 100).tolist() == want
 
 
 def test_segments_cover_all_windows_and_depend_on_content():
