@@ -13,9 +13,9 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 128 << 20
+MEMORY = 96 << 20
 """Bytes that a queue holds, and from which on an array is mapped from a file; places a block, and bytes an entry and a list of entries take."""
-_BLOCK, _ENTRY, _PART = 1 << 16, 18, 200
+_BLOCK, _ENTRY, _PART = 1 << 16, 14, 200
 
 
 def room(n: int, dtype, memory: int) -> np.ndarray:
@@ -28,6 +28,20 @@ def room(n: int, dtype, memory: int) -> np.ndarray:
         return np.memmap(file, dtype=dtype, mode="r+", shape=(n,))
 
 
+def _whole(n: int) -> type:
+    """Type of places in a text of ``n`` symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of integers from 0 on, by 16 bits at a time, for which numpy counts instead of comparing."""
+    by, most, shift = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable"), int(keys.max()), 16
+    while most >> shift:
+        by = by[np.argsort((keys[by] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return by
+
+
 class _Run:
     """A sorted run in the file of a queue, read once from front to back."""
 
@@ -178,18 +192,24 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most) -> np.nd
     most = np.minimum(np.broadcast_to(most, a.shape), len(text) - np.maximum(a, b))
     out = np.zeros(len(a), dtype=np.int64)
     live = np.flatnonzero(most > 0)
+    x, y, end, n = a[live], b[live], most[live], 0
     while len(live):
-        at = out[live]
-        live = live[text[a[live] + at] == text[b[live] + at]]
-        out[live] += 1
-        live = live[out[live] < most[live]]
+        same = text[x] == text[y]
+        n += 1
+        out[live[~same]] = n - 1
+        same &= end > n
+        if not same.all():
+            ended = ~same & (text[x] == text[y])
+            out[live[ended]] = n
+            live, x, y, end = live[same], x[same], y[same], end[same]
+        x, y = x + 1, y + 1
     return out
 
 
 def _turns(text: np.ndarray, memory: int) -> np.ndarray:
     """The LMS places: larger symbol before, and the suffix is smaller than the next one. By blocks from the right."""
     n, rising = len(text), False
-    out = room(n // 2 + 1, np.int64, memory)
+    out = room(n // 2 + 1, _whole(n), memory)
     filled = len(out)
     for end in range(n - 1, 0, -_BLOCK):
         begin = max(end - _BLOCK, 0)
@@ -207,11 +227,11 @@ def _turns(text: np.ndarray, memory: int) -> np.ndarray:
 
 def _by_symbol(text: np.ndarray, places: np.ndarray, memory: int) -> np.ndarray:
     """Places in the order of their symbols."""
-    queue, out, at = DiskQueue(memory), room(len(places), np.int64, memory), 0
+    queue, out, at = DiskQueue(memory), room(len(places), places.dtype, memory), 0
     for a in range(0, len(places), _BLOCK):
         part = places[a:a + _BLOCK]
         part = part[np.argsort(text[part], kind="stable")]
-        queue.push(text[part].astype(np.int64), part, np.zeros(len(part), dtype=np.int16))
+        queue.push(text[part], part, np.zeros(len(part), dtype=np.int16))
     while (key := queue.next_key()) is not None:
         part = queue.pop(key, _BLOCK)[0]
         out[at:at + len(part)] = part
@@ -227,26 +247,27 @@ def _sweep(text, sign: int, seeds, prefixes, depth: int, memory: int, out, share
     batch itself falls on. Writes what it takes, rising without the seeds, and returns how many; each common
     prefix is that with the suffix taken before.
     """
-    queue, most, top = DiskQueue(memory), max(memory // (8 * _ENTRY), 256), np.iinfo(np.int64).max // 4
+    queue, most = DiskQueue(memory), max(memory // (8 * _ENTRY), 256)
     minima = None if prefixes is None else _Minima(int(text.max()) + 1, depth, memory)
-    near = np.zeros((0,), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int16)
+    wide, whole = np.int16 if text.dtype == np.uint8 else np.int64, _whole(len(text))
+    near = np.zeros(0, dtype=wide), np.zeros(0, dtype=whole), np.zeros(0, dtype=np.int16)
     if sign > 0:
         last = int(text[-1])
-        queue.push(np.array([last]), np.array([len(text) - 1]), np.zeros(1, dtype=np.int16))
+        queue.push(np.array([last], dtype=wide), np.array([len(text) - 1], dtype=whole), np.zeros(1, dtype=np.int16))
         if minima:
             minima.batch[last], minima.rest[last] = 0, np.iinfo(np.int16).max
-    s, filled, limit, target, before = 0, 0, -top, 256, (None, 0)
-    block, block_key = 0, np.zeros(0, dtype=np.int64)
+    s, filled, limit, target, before = 0, 0, 0, 256, (None, 0)
+    block, block_key = 0, np.zeros(0, dtype=wide)
     while True:
         if s - block >= len(block_key) and s < len(seeds):
-            block, block_key = s, sign * text[seeds[s:s + most]].astype(np.int64)
+            block, block_key = s, sign * text[seeds[s:s + most]].astype(wide)
         seed_key = block_key[s - block:s - block + target]
         more = s + len(seed_key) < len(seeds)
         if not len(near[0]):
             parts, n = [], 0
             while n < target and (key := queue.next_key()) is not None and not (len(seed_key) and key > seed_key[-1]):
                 parts.append(queue.pop(key, most))
-                parts[-1] = np.full(len(parts[-1][0]), key, dtype=np.int64), *parts[-1]
+                parts[-1] = np.full(len(parts[-1][0]), key, dtype=wide), *parts[-1]
                 n += len(parts[-1][0])
             if not n and not len(seed_key):
                 return filled
@@ -261,9 +282,10 @@ def _sweep(text, sign: int, seeds, prefixes, depth: int, memory: int, out, share
         place = np.concatenate((near[1][:n], seeds[s:s + n_seeds]))
         rank = 2 * key
         rank[n:] += 1
-        by = np.argsort(rank, kind="stable")
-        key, place, rank = key[by], place[by], rank[by]
-        symbol = sign * text[place - 1].astype(np.int64)  # place 0 wraps round and is left out below
+        by = np.argsort(rank, kind="stable") if 0 < n < len(rank) else np.arange(len(rank))
+        if 0 < n < len(rank):
+            key, place, rank = key[by], place[by], rank[by]
+        symbol = sign * text[place - 1].astype(wide)  # place 0 wraps round and is left out below
         fits = (place > 0) & (symbol >= key + (rank & 1 if sign < 0 else 0))
         inside = symbol[fits & (symbol <= limit)]
         taken = int(np.searchsorted(rank, 2 * int(inside.min()), "right")) if len(inside) else len(rank)
@@ -273,8 +295,8 @@ def _sweep(text, sign: int, seeds, prefixes, depth: int, memory: int, out, share
         symbol = symbol[at]
         if minima:
             shared = np.concatenate((near[2][:n], prefixes[s:s + n_seeds]))[by]
-            behind = np.concatenate(([-1 if before[0] is None else before[0]], rank[:-1]))
-            touch = np.flatnonzero(~queued & (behind == rank - 1))
+            follows = np.concatenate(([before[0] == int(rank[0]) - 1], rank[:-1] == rank[1:] - 1))
+            touch = np.flatnonzero(~queued & follows)
             if len(touch):
                 other = np.where(touch > 0, place[touch - 1], before[1])
                 shared[touch] = common_prefix(text, other, place[touch], depth)
@@ -304,10 +326,10 @@ def _induce(text: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray | None, de
     Without ``prefixes`` of the seeds, only the order means something.
     """
     n = len(text)
-    larger, shared = room(n, np.int64, memory), room(n + 1, np.int16, memory)
+    larger, shared = room(n, _whole(n), memory), room(n + 1, np.int16, memory)
     filled = _sweep(text, 1, seeds, prefixes, depth, memory, larger, shared)
     shared[filled] = 0
-    order, prefix = room(n, np.int64, memory), room(n + 1, np.int16, memory)
+    order, prefix = room(n, _whole(n), memory), room(n + 1, np.int16, memory)
     _sweep(text, -1, larger[:filled][::-1], None if prefixes is None else shared[1:filled + 1][::-1], depth, memory, order, prefix)
     prefix[n] = 0
     return order[::-1], prefix[1:][::-1]
@@ -315,17 +337,31 @@ def _induce(text: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray | None, de
 
 def _doubled(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order and common prefixes of a string of names that fits the bound, by prefix doubling."""
-    text, reach, ranks = names, 1, names
-    while int(ranks.max()) + 1 < len(ranks) and reach < depth:
-        ahead = np.full(len(ranks), -1, dtype=np.int64)
-        ahead[:-reach or None] = ranks[reach:]
-        pair = ranks * (len(ranks) + 1) + ahead + 1
-        by = np.argsort(pair, kind="stable")
+    n = len(names)
+    whole = _whole(n)
+    reach, ranks, order = 1, names.astype(whole), stable_order(names).astype(whole)
+    levels = [(reach, ranks)]
+    while int(ranks[order[-1]]) + 1 < n and reach < depth:
+        # By what comes ``reach`` names later; what has nothing there comes first.
+        order = np.concatenate((np.arange(max(n - reach, 0), n, dtype=whole), order[order >= reach] - whole(reach)))
+        order = order[stable_order(ranks[order])]
+        ahead = np.full(n, -1, dtype=whole)
+        ahead[:-reach] = ranks[reach:]
+        sorted_ranks, ahead = ranks[order], ahead[order]
+        new = (sorted_ranks[1:] != sorted_ranks[:-1]) | (ahead[1:] != ahead[:-1])
         ranks = np.empty_like(ranks)
-        ranks[by] = np.cumsum(np.concatenate(([0], np.diff(pair[by]) != 0)))
+        ranks[order] = np.cumsum(np.concatenate(([0], new)))
         reach *= 2
-    order = np.argsort(ranks, kind="stable")
-    return order, np.concatenate(([0], common_prefix(text, order[:-1], order[1:], depth)))
+        levels.append((reach, ranks))
+    # Common prefixes by halves: two places agree on ``reach`` names if their ranks at that reach do.
+    a, b = order[:-1].copy(), order[1:].copy()
+    for reach, ranks in reversed(levels):
+        same = np.flatnonzero(np.maximum(a, b) + reach <= n)
+        same = same[ranks[a[same]] == ranks[b[same]]]
+        a[same] += whole(reach)
+        b[same] += whole(reach)
+    shared = np.minimum(b - order[1:], depth)
+    return order, np.concatenate(([0], shared))
 
 
 def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -335,11 +371,15 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
     if not count:
         return _induce(text, lms, np.zeros(0, dtype=np.int16), depth, memory)
     rough, _ = _induce(text, _by_symbol(text, lms, memory), None, depth, memory)
-    ranked, at = room(count, np.int64, memory), 0  # which LMS place comes when, by its substring
+    ranked, at = room(count, _whole(count), memory), 0  # which LMS place comes when, by its substring
+    number = room(len(text), _whole(count), memory)
+    number[:] = -1
+    for a in range(0, count, _BLOCK):
+        number[lms[a:a + _BLOCK]] = np.arange(a, min(a + _BLOCK, count))
     for a in range(0, len(rough), _BLOCK):
         part = rough[a:a + _BLOCK]
-        which = np.minimum(np.searchsorted(lms, part), count - 1)
-        which = which[lms[which] == part]
+        which = number[part]
+        which = which[which >= 0]
         ranked[at:at + len(which)] = which
         at += len(which)
     names, name = room(count, np.int64, memory), 0
@@ -347,16 +387,18 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
     for a in range(1, count, _BLOCK):
         left, right = ranked[a - 1:min(a + _BLOCK, count) - 1], ranked[a:a + _BLOCK]
         size = [np.minimum(np.where(w + 1 < count, lms[np.minimum(w + 1, count - 1)] + 1, len(text)) - lms[w], depth) for w in (left, right)]
-        new = (size[0] != size[1]) | (common_prefix(text, lms[left], lms[right], size[0]) < size[0])
+        new = size[0] != size[1]
+        alike = np.flatnonzero(~new)
+        new[alike] = common_prefix(text, lms[left[alike]], lms[right[alike]], size[0][alike]) < size[0][alike]
         numbered = name + np.cumsum(new)
         names[right], name = numbered, int(numbered[-1])
     if name + 1 == count:
         order, shared = ranked, np.zeros(count, dtype=np.int16)
-    elif 40 * count <= memory:
+    elif 24 * count <= memory:
         order, shared = _doubled(np.asarray(names), depth // 2 + 1)
     else:
         order, shared = suffix_order(names, depth // 2 + 1, memory)
-    seeds, prefixes = room(count, np.int64, memory), room(count, np.int16, memory)
+    seeds, prefixes = room(count, lms.dtype, memory), room(count, np.int16, memory)
     prefixes[0] = 0
     seeds[0] = lms[order[0]]
     for a in range(1, count, _BLOCK):
