@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, NAVIGATION
+from .quality_rules import BOILERPLATE, CLOSED, NAVIGATION, any_of, unspaced
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ITEMS = r"(?:\s*[|»>/·-]\s*\S+)*$"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 LINES = f"""
@@ -18,6 +19,11 @@ select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
 from j group by doc_id
 """
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 RULES = f"""
 with d as (select doc_id, coalesce(text, '') as t, trim(coalesce(text, ''), {_SPACES}) as s from documents),
 w as (select doc_id, t, case when s = '' then [] else regexp_split_to_array(s, '[ \\t\\n\\x0b\\f\\r]+') end as ws from d),
@@ -26,13 +32,13 @@ r as (select doc_id, i from (select *, count(*) over (partition by doc_id, win)
 c as (select doc_id, count(*) as n from (select distinct doc_id, i + k as p from r, (select unnest(range(0, 5)) as k)) group by doc_id),
 l as (select doc_id, line, pos, trim(line, {_SPACES}) as x from (
       select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from d)),
-f as (select *, len(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+')) as n from l),
+f as (select *, len(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+')) + len(regexp_extract_all(x, {_quoted(unspaced(''))})) as n from l),
 b as (select *, x <> '' and (not regexp_matches(x, '[\\p{{L}}\\p{{N}}]')
           or (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100 > length(x) * 30
-          or (n <= 3 and not regexp_matches(x, '[.!?:;…。！？؟]["''”’»)\\]]*$'))
+          or (n <= 3 and not regexp_matches(x, {_quoted(CLOSED)}))
           or len(regexp_split_to_array(x, '\\s[|»>]\\s|\\s[|»>]$')) >= 3
-          or (n <= 5 and regexp_matches(lower(x), '^(?:{NAVIGATION})(?:\\s*[|»>/·-]\\s*\\S+)*$'))
-          or (n <= 25 and regexp_matches(lower(x), '{BOILERPLATE}'))) as bad from f),
+          or (n <= 5 and regexp_matches(lower(x), {_quoted('^(?:' + any_of(NAVIGATION) + ')' + _ITEMS)}))
+          or (n <= 25 and regexp_matches(lower(x), {_quoted(any_of(BOILERPLATE))}))) as bad from f),
 a as (select doc_id, count(*) filter (x <> '') - count(distinct line) filter (x <> '') as n_dup_lines,
              count(*) filter (bad) as n_failed_lines,
              coalesce(sum(length(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]', '', 'g'))) filter (not bad), 0) as left_chars from b group by doc_id),

@@ -61,11 +61,32 @@ def test_rule_counts(spark, documents, source):
     ("Copyright 2020, all rights reserved.", True), ("Yes!", False), ("Home » News", True),
     ("menu " + "-" * 60 + "x and so on", False), ("home" + "/a" * 20_000 + " and so on", False), ("home / about- news |team|", True),
     ("Er sagte: „Nein.“", False), ("La lune est belle…", False),
+    ("我们今天在公园里看到了很多漂亮的花", False), ("วันนี้เราไปเดินเล่นที่สวนสาธารณะ", False), ("公园", True), ("今日は天気がいいので散歩に行きました", False),
+    ("首页 | 新闻 | 关于我们", True), ("Tous droits réservés 2020, une entreprise du groupe.", True), ("Startseite / Impressum", True),
 ])
 def test_line_rules(spark, line, fails):
     assert spark.createDataFrame([(line,)], "x string").select(failing(F.col("x"))).first()[0] is fails
 
 
+def test_lists_and_scripts_are_parameters(spark):
+    chinese = "我们今天在公园里看到了很多漂亮的花\n他们明天要去学校学习新的课程和语言"
+    rows = [(1, chinese), (2, "Etusivu / uutiset / muuta\n" + "a line that is long enough to stay here. " * 3), (3, None)]
+    plain = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert plain[1].n_failed_lines == 0 and plain[1].base_failed and not plain[1].kept and plain[2].n_failed_lines == 0
+    wide = {r.doc_id: r for r in quality_rules(frame(spark, rows), count_unspaced=True, navigation=("etusivu",), boilerplate=()).collect()}
+    assert wide[1].kept and wide[1].text == chinese and wide[2].n_failed_lines == 1 and not wide[3].kept
+
+
+def test_rules_equal_sql_on_odd_rows(spark):
+    from panelforge.llm.sql import RULES
+    import pandas as pd
+    rows = EDGE + [(20, "公园\n我们今天在公园里看到了很多漂亮的花\nวันนี้เราไปเดินเล่นที่สวน"), (21, "Menü | Suche\nDatenschutzerklärung lesen, bitte.\nconditions d’utilisation of a site in a line.")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841, read by its name
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed_lines", "kept"]
+    want = sorted(duckdb.sql(f"select {', '.join(names)} from ({RULES})").fetchall())
+    assert sorted(tuple(r) for r in quality_rules(frame(spark, rows)).select(names).collect()) == want
+
+
 def test_documents_that_lose_too_much_are_rejected(spark):
     good = "This sentence is long enough to stay in the text and ends as it should do here.\n"
     bad = "Home | About | Contact | Imprint | News | Weather | Sports\n"
