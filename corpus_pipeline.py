@@ -26,8 +26,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and so do the documents that the rules reject. A row without id is judged like any other."""
-    return _documents(quality_rules(docs, carry=("lang", "source")).where("kept"))
+    """Failing lines go, and so do the documents that the rules reject. Texts in scripts that don't part words are counted by
+    characters. A row without id is judged like any other."""
+    return _documents(quality_rules(docs, carry=("lang", "source"), count_unspaced=True).where("kept"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
