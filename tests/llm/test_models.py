@@ -1,5 +1,7 @@
 """Language network and ordinal classifier: gradients, held-out accuracy, odd rows."""
 
+import unicodedata
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import language_id as li, quality_classifier as qc, queries
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_gradients_by_differences():
@@ -66,6 +68,47 @@ def test_language_query_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def plain_probabilities(net, data):
+    """Mean label probabilities of a text, one byte after the other, by loops."""
+    def squash(x):
+        return x / (1 + np.abs(x))
+
+    def gate(x):
+        return 0.5 + 0.5 * squash(x)
+
+    total, n = np.zeros(len(net.langs)), len(net.u[0])
+    for a in range(0, len(data), li.SEGMENT):
+        part = data[a:a + li.SEGMENT]
+        padded, states = part + b" " * (li.SEGMENT - len(part)), [{}, {}]
+        for d, places in enumerate((range(li.SEGMENT), range(li.SEGMENT - 1, -1, -1))):
+            h = np.zeros(n)
+            for t in places:
+                x, u = net.x[d][padded[t]].astype(float), h @ net.u[d].astype(float)
+                r, z = gate(x[:n] + u[:n]), gate(x[n:2 * n] + u[n:2 * n])
+                h = z * h + (1 - z) * squash(x[2 * n:] + r * u[2 * n:])
+                states[d][t] = h
+        for t in range(len(part)):
+            score = np.concatenate([states[0][t], states[1][t]]) @ net.v + net.c
+            p = np.exp(score - score.max())
+            total += p / p.sum()
+    return total / len(data)
+
+
+def test_language_query_equals_a_plain_network(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    net = li.train(docs, "doc_id", "text", "lang", held_out, li.PER_LANGUAGE, li.SNIPPET)
+    texts = dict(duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet' where strlen(text) < 1500").fetchall())
+    got = {r.doc_id: r for r in queries.op1_language(spark, SMALL).collect()}
+    assert len(texts) > 50
+    for i, text in texts.items():
+        if not any(unicodedata.category(c).startswith("L") for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = plain_probabilities(net, text.lower().encode("utf-8", "replace"))
+        assert got[i].score == pytest.approx(p.max(), abs=2e-3) and p[net.langs.index(got[i].lang_pred)] > p.max() - 2e-3
+
+
 def test_language_odd_rows(spark):
     rows = [(i, "the and of with that " * 5, "en") for i in range(40)] + [(100 + i, "der und die das nicht " * 5, "de") for i in range(40)]
     rows += [(200, None, "en"), (201, "", None), (202, "123 %%% 456", "de"), (None, "the and of that " * 4, None), (203, "é" * 300_000, None), (203, "the of and", "")]
@@ -92,9 +135,63 @@ def test_ordinal_thresholds_and_held_out_accuracy():
     assert chosen[good].mean() > 0.85 and chosen[~good].mean() < 0.35
 
 
-def test_classifier_query(spark):
+def plain_buckets(text, n):
+    """The features of a text, each written out and hashed by itself."""
+    import xxhash
+    marks, words = ".,;:!?\"'()[]{}%$#&*|<>-_/\\", text.split()
+    names = {"empty"} if not words else set()
+    forms = {}
+    for w in words:
+        low = w.strip(marks).lower()
+        names |= {"w " + low, "p " + low[:4]}
+        form = ""
+        for c in w:
+            kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+            form += "" if form.endswith(kind) else kind
+        forms.setdefault(form[:8], []).append(w)
+    for form, held in forms.items():
+        names.add(f"s {form} {round(4 * (len(held) / len(words)) ** 0.5)}")
+    if words:
+        lines = [x.strip() for x in text.split("\n") if x.strip()]
+        names.add(f"share {10 * len(set(words)) // len(words)}")
+        names.add(f"symbols {int(20 * (sum(any(c in '#*$%&|<>' for c in w) for w in words) / len(words)) ** 0.5)}")
+        names.add(f"open {10 * sum(not x.endswith(('.', '!', '?')) for x in lines) // len(lines)}")
+        names.add(f"line {int(4 * np.log2(1 + len(words) / len(lines)))}")
+    return {xxhash.xxh3_64_intdigest(x.encode()) % n for x in names}
+
+
+def test_classifier_query_equals_a_plain_scorer(spark):
+    """Each document's score by cumulative links, one feature after the other, with the weights the query fits."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = qc.train(docs, qc.graded(spark.read.parquet(f"{SF}/labels.parquet")))
+    texts = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
     rows = queries.op10_quality_classifier(spark, SF).collect()
-    assert len(rows) == 1000 and all(0 <= r.expected_grade <= 2 and 0 <= r.tail <= 1 and r.selected == (r.tail >= 0.5) for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and 0 < model.cut < 1 and model.thresholds[0] < model.thresholds[1]
+    for r in rows:
+        score = sum(float(model.weights[b]) for b in plain_buckets(texts[r.doc_id] or "", len(model.weights)))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert (r.expected_grade, r.tail) == pytest.approx((sum(tails), tails[1]), abs=1e-4)
+        assert r.selected == (r.tail >= model.cut)
+
+
+def test_cut_parts_best():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 40):
+        tails, wanted = rng.integers(0, 8, n) / 8, rng.random(n) < 0.5
+        wanted[:2] = True, False
+
+        def share(cut):
+            return (tails[wanted] >= cut).mean() - (tails[~wanted] >= cut).mean()
+
+        assert share(qc.best_cut(tails, wanted)) == pytest.approx(max(share(x) for x in (*tails, 2.0)) if max(share(x) for x in tails) >= 0 else max(share(x) for x in tails))
+    assert qc.best_cut(np.array([0.2, 0.3]), np.array([True, True])) == 0.5
+
+
+def test_few_ratings_still_teach():
+    table = qc.Buckets(1 << 12)
+    rows = [table.of(t) for t in ["a fine text about rivers"] * 5 + ["vile words of hate"] * 4]
+    model = qc.fit(rows, np.array([2] * 5 + [0] * 4), 3, 1 << 12)
+    assert model.tails(rows[0])[1] > model.tails(rows[-1])[1] + 0.2
 
 
 def test_classifier_odd_rows(spark):
@@ -108,7 +205,7 @@ def test_classifier_odd_rows(spark):
 
 def test_repeated_ids_train_once(spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(qc, "fit", lambda rows, grades, levels, buckets: taken.append(len(rows)) or qc.Ordinal(np.zeros(buckets, np.float32), np.arange(2.0)))
+    monkeypatch.setattr(qc, "fit", lambda rows, grades, levels, buckets, *_: taken.append(len(rows)) or qc.Ordinal(np.zeros(buckets, np.float32), np.arange(2.0)))
     docs = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "another")], "doc_id long, text string")
     qc.train(docs, spark.createDataFrame([(1, 0), (2, 2)], "doc_id long, grade int"), max_docs=2)
     assert taken == [2]
