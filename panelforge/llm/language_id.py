@@ -12,6 +12,7 @@ from .text import per_text, text_of
 
 HIDDEN, STEPS, PER_LANGUAGE, SNIPPET = 8, 220, 300, 1_024
 SEGMENT, TRAINED_LENGTH, LANES = 128, 48, 2_048
+MAX_LANGS = 500
 
 
 _WORD = re.compile(r"[^\W\d_]")
@@ -194,15 +195,17 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, per_language: int, snippet: int) -> Net:
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, per_language: int, snippet: int,
+          max_langs: int = MAX_LANGS) -> Net:
     """Fit on about ``per_language`` snippets of ``snippet`` characters of each language, chosen by hash of the id.
 
-    At most twice that many are collected, all languages together. Rows held out and rows without a language take no part.
+    Learned are the ``max_langs`` values of the language column with the most rows, so a dirty column stays bounded. At most twice that many are collected, all languages together. Rows held out and rows without a language take no part.
     """
     usable = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held")
     ).where(~F.col("held") & F.col("lang").isNotNull() & (F.col("lang") != "") & (F.col("text") != ""))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
     if not counts:
         return Net.random([], HIDDEN, 1)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])

@@ -117,6 +117,8 @@ def test_language_odd_rows(spark):
     by = {o[0]: o for o in out}
     assert len(out) == len(rows) and all(by[i][1:3] == ("und", 0.0) for i in (200, 201, 202)) and by[None][3] is True
     assert by[1][1] == "en" and by[101][1] == "de" and by[None][1] == "en"
+    never = F.lit(False)
+    assert li.train(df, "doc_id", "text", "lang", never, 9, 99, max_langs=1).langs == ["de"]
     unlabelled = li.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
     assert li.identify(df.limit(0)).count() == 0
