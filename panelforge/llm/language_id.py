@@ -199,7 +199,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out,
           max_langs: int = MAX_LANGS) -> Net:
     """Fit on about ``per_language`` snippets of ``snippet`` characters of each language, chosen by hash of the id.
 
-    Learned are the ``max_langs`` values of the language column with the most rows, so a dirty column stays bounded. At most twice that many are collected, all languages together. Rows held out and rows without a language take no part.
+    Learned are the ``max_langs`` values of the language column with the most rows, so a dirty column stays bounded. At
+    most twice that many snippets are collected, all languages together. Rows held out and rows without a language take
+    no part.
     """
     usable = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held")
