@@ -8,18 +8,21 @@ is what a task gets, of any size; its suffixes are sorted with their common pref
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import staged
 from .suffix_sort import MEMORY, room, suffix_order
 from .text import map_batches, mixed, text_of
 
 LENGTH, ANCHOR, PART = 200, 32, 1 << 22
+SHARE = 4 << 20
+"""Bytes that a task sorts on average; a byte takes some 35 bytes of memory until the bound of the sorter. A share may be of any size."""
 SHARD_SEGMENTS = 6_000
 """Segments of one anchor, about 300 bytes each, that go to one task together; more are cut by where the string stands."""
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -130,6 +133,12 @@ def _segments_of(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return map_batches(docs, lambda: body, _COUNTED)
 
 
+def _cut_bytes(n: Column, windows: Column, length: int, shard: int) -> Column:
+    """Bytes, at most, that ``_cut_segments`` makes of the ``n`` segments of an anchor, which hold ``windows`` strings."""
+    pieces = F.when(n <= shard, n).when(n <= 16 * shard, F.least(windows, n * F.ceil(n / shard))).otherwise(windows)
+    return windows + pieces * length
+
+
 def _cut_segments(texts: DataFrame, length: int, anchor: int, shard: int) -> DataFrame:
     """Bytes of the listed segments; those of an anchor with very many are cut by where the string stands to the anchor."""
     def body(batch):
@@ -174,8 +183,11 @@ def _joint_text(batches, memory: int) -> tuple[np.ndarray, list[pa.RecordBatch]]
         return np.memmap(file, dtype=np.uint8, mode="r", shape=(n,)) if n else np.zeros(0, dtype=np.uint8), rows
 
 
-def _sort_shards(parts: DataFrame, length: int, memory: int) -> DataFrame:
-    """Repeated ranges (id, mark, start, end) in the single segments. What a task gets is one shard, of any size."""
+def _sort_shards(parts: DataFrame, length: int, memory: int, tasks: int) -> DataFrame:
+    """Repeated ranges (id, mark, start, end) in the single segments. What a task gets is one shard, of any size.
+
+    The number of tasks is given, as adaptive execution would merge them by the number of cores.
+    """
     def run(batches):
         text, rows = _joint_text(batches, memory)
         if not len(text):
@@ -194,7 +206,7 @@ def _sort_shards(parts: DataFrame, length: int, memory: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "mark", "start", "end"])
 
-    return parts.repartition("shard").mapInArrow(run, "id bigint, mark int, start bigint, end bigint")
+    return parts.repartition(tasks, "shard").mapInArrow(run, "id bigint, mark int, start bigint, end bigint")
 
 
 def _removed(batch: pa.RecordBatch) -> dict:
@@ -215,7 +227,7 @@ def _removed(batch: pa.RecordBatch) -> dict:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
-    shard: int = SHARD_SEGMENTS, memory: int = MEMORY,
+    shard: int = SHARD_SEGMENTS, memory: int = MEMORY, share: int = SHARE,
 ) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept.
 
@@ -223,7 +235,8 @@ def remove_repeats(
     row or another, is removed; overlaps count, and strings are judged on the input. ``kept`` holds the bytes that stay
     where something was removed, and is null where the text stays whole. Null texts are empty; texts shorter than
     ``length`` stay. Rows are documents of their own: rows that repeat an id and a text lose all of it, if it is long
-    enough. Rows without id are told apart by their text alone.
+    enough. Rows without id are told apart by their text alone. A task sorts ``share`` bytes on average, so its memory
+    doesn't grow with the input.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("given"), F.encode(text_of(text_col), "UTF-8").alias("data"))
     rows = rows.withColumn("id", F.coalesce("given", F.xxhash64("data"))).withColumn(
@@ -235,7 +248,10 @@ def remove_repeats(
     place = F.struct("id", "mark", "start", "windows")
     distinct = staged(spots.groupBy("gram", "content").agg(F.sum("times").alias("copies"), F.min(place).alias("at")), "distinct")
 
-    open_grams = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 and least = 1")
+    open_grams = staged(distinct.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"), F.sum("at.windows").alias("windows")).where("n > 1 and least = 1").drop("least"), "open")
+    n_bytes = open_grams.agg(F.sum(_cut_bytes(F.col("n"), F.col("windows"), length, shard))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n_bytes / share))
     looked_at = distinct.join(open_grams.select("gram", "n"), "gram").select(
         "at.*", "gram", F.col("n").cast("int").alias("n"), (F.col("copies") == 1).alias("single"))
     listed = looked_at.groupBy("id", "mark").agg(
@@ -243,7 +259,7 @@ def remove_repeats(
     concerned = spots.select("id", "mark").distinct()
     texts = staged(long_enough.join(concerned.hint("shuffle_hash"), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]), "texts")
     parts = _cut_segments(texts.join(listed, ["id", "mark"]), length, anchor, shard)
-    sorted_out = _sort_shards(parts, length, memory)
+    sorted_out = _sort_shards(parts, length, memory, tasks)
 
     copied = spots.join(distinct.where("copies > 1").select("gram", "content"), ["gram", "content"]).select(
         "id", "mark", "start", (F.col("start") + F.col("windows") * F.col("times") + (length - 1)).alias("end"))

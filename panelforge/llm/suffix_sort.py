@@ -370,7 +370,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
     count = len(lms)
     if not count:
         return _induce(text, lms, np.zeros(0, dtype=np.int16), depth, memory)
-    rough, _ = _induce(text, _by_symbol(text, lms, memory), None, depth, memory)
+    rough = _induce(text, _by_symbol(text, lms, memory), None, depth, memory)[0]
     ranked, at = room(count, _whole(count), memory), 0  # which LMS place comes when, by its substring
     number = room(len(text), _whole(count), memory)
     number[:] = -1
@@ -382,6 +382,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
         which = which[which >= 0]
         ranked[at:at + len(which)] = which
         at += len(which)
+    rough = number = part = None  # a slice keeps its array
     names, name = room(count, np.int64, memory), 0
     names[ranked[0]] = 0
     for a in range(1, count, _BLOCK):
@@ -398,6 +399,7 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
         order, shared = _doubled(np.asarray(names), depth // 2 + 1)
     else:
         order, shared = suffix_order(names, depth // 2 + 1, memory)
+    ranked = names = left = right = None
     seeds, prefixes = room(count, lms.dtype, memory), room(count, np.int16, memory)
     prefixes[0] = 0
     seeds[0] = lms[order[0]]
@@ -407,4 +409,5 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
         ahead = [np.where(w + same < count, lms[np.minimum(w + same, count - 1)], len(text)) - lms[w] for w in (left, right)]
         sure = np.minimum(np.minimum(*ahead), depth)
         prefixes[a:a + _BLOCK] = sure + common_prefix(text, lms[left] + sure, lms[right] + sure, depth - sure)
+    lms = order = shared = left = right = same = None
     return _induce(text, seeds, prefixes, depth, memory)

@@ -1,6 +1,7 @@
 """Removed repeats against a dictionary of all strings; the sorter against sorted()."""
 
 import random
+import re
 import tracemalloc
 
 import duckdb
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 
 import brute
-from panelforge.llm import queries, suffix_sort
+from helpers import plan_of
+from panelforge.llm import queries, suffix_dedup, suffix_sort
 from panelforge.llm.suffix_dedup import remove_repeats, repeated_windows, segments
 from panelforge.llm.suffix_sort import DiskQueue, suffix_order
 
@@ -157,6 +159,30 @@ def test_equals_brute_force(spark, crowd, shard):
     assert result(remove_repeats(df, shard=shard, memory=1 << 12)) == brute_repeats(crowd, 200)
 
 
+@pytest.mark.parametrize("shard", [6_000, 4, 1])
+def test_tasks_follow_the_bytes_to_sort(spark, crowd, monkeypatch, shard):
+    """As many tasks as the bytes give, whatever adaptive execution would merge, with the same rows."""
+    inner, seen = suffix_dedup._sort_shards, []
+
+    def spy(parts, *given):
+        out = inner(parts, *given)
+        seen.append((parts.selectExpr("sum(length(data) + 1)").first()[0], plan_of(out)))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", spy)
+    df = spark.createDataFrame(crowd, "doc_id long, text string")
+    assert result(remove_repeats(df, shard=shard, share=1_000)) == brute_repeats(crowd, 200)
+    n_bytes, plan = seen[0]
+    tasks = int(re.search(r"hashpartitioning\(shard#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)[1])
+    assert n_bytes > 20_000 and n_bytes / 1_000 <= tasks <= 4 * n_bytes / 1_000
+
+
+@pytest.mark.parametrize("text", [b"ba", b"bab", b"bb", b"b", b"baab"])
+def test_texts_of_few_turns(text):
+    order, prefixes = suffix_order(np.frombuffer(text, dtype=np.uint8), 5)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_query_equals_brute_force(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     assert result(queries.op4_suffix_dedup(spark, SF)) == brute_repeats(rows, 200)
